@@ -117,21 +117,24 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     frees_shuffles(spark)
     nodes = staged(nodes_of(docs), "nodes")
-    repeated = nodes.groupBy("node").agg(F.sum("n").alias("places")).where("places >= 2").select("node")
+    # counts are staged before each join: a join straight on an aggregate shares its shuffle, and a hot key could not be split
+    repeated = staged(nodes.groupBy("node").agg(F.sum("n").alias("places")).where("places >= 2").select("node"), "repeated-nodes")
     per_row = nodes.select("node", "_rid").join(repeated, "node").groupBy("_rid").agg(F.collect_list("node").alias("nodes"))
     segments = staged(segments_of(docs.join(per_row, "_rid")), "segments")
     drop_staged(nodes)
+    drop_staged(repeated)
 
     place = F.xxhash64("_rid", "first")
-    paths = segments.groupBy("node", "path", "size").agg(F.count("*").alias("places"), F.min(place).alias("one"))
+    paths = staged(segments.groupBy("node", "path", "size").agg(F.count("*").alias("places"), F.min(place).alias("one")), "paths")
     compact = segments.join(paths, ["node", "path", "size"])
     whole = compact.where("places >= 2").select("_rid", F.col("first").alias("start"), (F.col("first") + F.col("size") + (WINDOW - 1)).alias("stop"))
     ends = compact.where((F.col("places") == 1) | (place == F.col("one"))).select("node", "places", "_rid", "first", F.posexplode("windows").alias("k", "window"))
-    twice = ends.groupBy("node", "window").agg(F.sum("places").alias("seen")).where("seen >= 2").select("node", "window")
+    twice = staged(ends.groupBy("node", "window").agg(F.sum("places").alias("seen")).where("seen >= 2").select("node", "window"), "windows")
     single = ends.where("places = 1").select("node", "window", "_rid", (F.col("first") + F.col("k")).alias("start"))
     part = single.join(twice, ["node", "window"]).select("_rid", "start", (F.col("start") + WINDOW).alias("stop"))
     out = staged(whole.unionByName(part), "repeats")
-    drop_staged(segments)
+    for table in (segments, paths, twice):
+        drop_staged(table)
     return out
 
 
