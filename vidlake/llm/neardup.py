@@ -267,7 +267,8 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     places = leaves.select("_rid", "tree", "key").join(kept, ["tree", "key"]).groupBy("_rid").agg(F.collect_list(F.struct("tree", "key", "blocks", mine.alias("block"))).alias("places"))
     places = staged(places.join(trees.select("_rid", "copies"), "_rid"), "places")
     drop_staged(trees)
-    links = staged(verified(placed(texts.join(places, "_rid").select("_rid", "text", "copies", "places"))), "links")
+    # places grow with the table: a broadcast of the small ones would only change the plan from size to size
+    links = staged(verified(placed(texts.join(places.hint("merge"), "_rid").select("_rid", "text", "copies", "places"))), "links")
     drop_staged(places)
 
     labels = components(links.where("_rid <> root").select(F.col("_rid").alias("a"), F.col("root").alias("b")))
