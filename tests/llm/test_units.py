@@ -162,7 +162,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 def test_html_main_text():
     found = html_text.blocks(PAGE)
     path, score = html_text.best_container(found)
-    assert path == "article" and score > 0
+    assert path == "body/article" and score > 0
     assert html_text.extract(PAGE, path) == "Head & more\nFirst one.\nSecond part <x> end."
     assert html_text.extract(PAGE, "div.other") == html_text.extract(PAGE, None) == html_text.extract(PAGE, path)
 
