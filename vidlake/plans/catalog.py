@@ -1,4 +1,4 @@
 """Registered queries of the core engine and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import patch_plans, pixel_plans, retrieval  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
