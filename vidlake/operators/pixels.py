@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ramp
-from ..functions.vectors import median
 
 #: Candidate periods, weights, and (lo, hi) of each ramp.
 CANDIDATES = (2, 4, 8, 16, 32)
@@ -136,23 +135,25 @@ def spectrum(profile: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), size_at)
 
 
-def peak(profile: Column, magnitudes: Column, n: int) -> Column:
-    """The grid's bin over the median of its neighbours (itself and the next ones aside); null if unmeasurable."""
-    size, bins = F.size(profile), F.size(magnitudes)
-    at = F.least(F.bround(size / F.lit(float(n)), 0).cast("int"), bins - 1)
-    width = F.greatest(F.lit(8), F.floor(at / 8).cast("int"))
-    lo, hi = F.greatest(F.lit(1), at - width), F.least(bins, at + width + 1)
-    before = F.slice(magnitudes, lo + 1, F.greatest(lo, at - 1) - lo)
-    start = F.least(hi, at + 2)
-    after = F.slice(magnitudes, start + 1, hi - start)
-    around = F.concat(before, after)
-    return F.when((size >= 2 * n) & (F.size(around) > 0), F.element_at(magnitudes, at + 1) / (median(around) + EPS))
+def peaks(arrays: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys..., axis, peak): the grid's bin over the median of its neighbours (itself and the next ones aside).
+
+    The spectrum is exploded once to rows; a profile too short, or a bin without neighbours, has a null peak.
+    """
+    size = F.col("size")
+    rows = arrays.select(*keys, "axis", F.size("profile").alias("size"), F.posexplode(spectrum(F.col("profile"))).alias("k", "m"))
+    at = F.least(F.bround(size / F.lit(float(n)), 0).cast("int"), F.floor(size / 2).cast("int"))
+    rows = rows.withColumn("at", at).withColumn("width", F.greatest(F.lit(8), F.floor(F.col("at") / 8).cast("int")))
+    k, at, width = F.col("k"), F.col("at"), F.col("width")
+    near = ((k >= F.greatest(F.lit(1), at - width)) & (k < at - 1)) | ((k >= at + 2) & (k < at + width + 1))
+    found = rows.groupBy(*keys, "axis", "size").agg(F.max(F.when(k == at, F.col("m"))).alias("top"), F.percentile(F.when(near, F.col("m")), F.lit(0.5)).alias("floor"))
+    return found.select(*keys, "axis", F.when(size >= 2 * n, F.col("top") / (F.col("floor") + EPS)).alias("peak"))
 
 
 def fft_score(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Prominence of the grid's frequency, averaged over the axes; 1 where neither can tell."""
-    arrays = as_arrays(gradient_profiles(pixels, keys), keys).withColumn("m", spectrum(F.col("profile")))
-    found = arrays.groupBy(*keys).agg(F.coalesce(F.avg(peak(F.col("profile"), F.col("m"), n)), F.lit(1.0)).alias("fft_peak"))
+    arrays = as_arrays(gradient_profiles(pixels, keys), keys)
+    found = peaks(arrays, keys, n).groupBy(*keys).agg(F.coalesce(F.avg("peak"), F.lit(1.0)).alias("fft_peak"))
     return found.withColumn("fft", ramp(F.col("fft_peak"), *RAMPS["fft"]))
 
 

@@ -1,4 +1,4 @@
 """Registered queries of the core engine and their SQL."""
 
-from . import patch_plans, pixel_plans, retrieval  # noqa: F401
+from . import patch_plans, pixel_plans, retrieval, stream_plans  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
