@@ -17,4 +17,43 @@ QUERIES = {
     f.__name__: f
     for f in (op1_ngram_jaccard, op2_chat_format, op3_toxicity, op4_quality, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_simple8b, op9_html_text, op10_language_id)
 }
-SQL = {"op2_chat_format": OP2_SQL}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP1_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : least(i + 4, len(w))], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 5 * c >= 4 * (x.n + y.n - c) UNION SELECT x.r, y.r FROM d x JOIN d y ON x.text = y.text AND x.r <> y.r),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT d.doc_id, c.class_id, coalesce(l.n, 0) AS n_links FROM d
+JOIN (SELECT reach.a, min(x.doc_id) AS class_id FROM reach JOIN d x ON x.r = reach.b GROUP BY reach.a) c ON c.a = d.r
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = d.r
+"""
+
+_BENCH_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_BENCH_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS g FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i) WHERE len(w) > 0),
+dw AS (SELECT r, i, k, array_to_string(w[i : i + k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM bw), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) WHERE len(w) >= k),
+hits AS (SELECT dw.r, dw.i, dw.k, bw.item_id FROM dw JOIN bw ON bw.k = dw.k AND bw.g = dw.g),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 33)) AS i) WHERE len(w) >= 35),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+starts AS (SELECT r, i FROM win SEMI JOIN twice USING (g)),
+words AS (SELECT r, i, w[i] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+marked AS (SELECT r, i, word, max(CASE WHEN s.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM words LEFT JOIN starts s USING (r, i)),
+kept AS (SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS t FROM marked GROUP BY r)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+SQL = {"op1_ngram_jaccard": OP1_SQL, "op2_chat_format": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL}
