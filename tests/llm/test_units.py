@@ -27,7 +27,7 @@ def plain():
     return tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
-ODD = st.text(alphabet=list("ab 's'rellvd\n\t\r .,!1é  中\U0001f600~<>"), max_size=120)
+ODD = st.text(alphabet=list("²½_\u0301\x1c\u00a0" "ab 's'rellvd\n\t\r .,!1é  中\U0001f600~<>"), max_size=120)
 
 
 @settings(max_examples=300, deadline=None)
