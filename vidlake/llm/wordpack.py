@@ -15,7 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, shared_dir
+from .common import BLOCK_BYTES, BYTE_POWERS, mix, read_table, shared_dir
 
 MAGIC = b"S8B1"
 END_ID = 2
@@ -49,11 +49,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(plain)
     if not n:
         return np.zeros(0, np.uint64), over.astype(np.uint32), ids[over]
-    bits = np.zeros(n, np.int64)
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = (plain >> (bits.astype(np.uint64))) >= np.uint64(1 << shift)
-        bits[big] += shift
-    bits += plain > 0
+    if plain.max() < 1 << 53:
+        bits = np.frexp(plain.astype(np.float64))[1].astype(np.int64)
+    else:
+        bits = np.array([int(x).bit_length() for x in plain.tolist()], np.int64)
     padded = np.r_[bits, np.zeros(240, np.int64)]
     best = np.full(n, 15, np.int64)
     sizes: dict[int, np.ndarray] = {}
@@ -174,31 +173,173 @@ def read_shard(file) -> Iterator[tuple[int | None, np.ndarray]]:
         yield None if doc["null"] else int(doc["id"]), ids
 
 
-#: A space after a non-space is a boundary of the byte-level pattern, so the parts encode alone as within the text.
-_PARTS = re.compile(r"(?<=\S)(?= )")
-_CACHE_PARTS = 300_000
+#: A non-ASCII character that is no letter or digit (it may be white space or a mark): such texts are encoded whole.
+_UNSURE = re.compile(r"[^\x00-\x7f\w]")
+_CACHE_PARTS = 1_000_000
+_JOINED = 1 << 14
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_ALNUM = np.array([chr(c).isalnum() and c < 128 or c >= 128 for c in range(256)])
+_MARK = np.isin(np.arange(256), list(b",.;:!?*#$%&|)"))
+
+
+def part_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """First bytes of the parts of texts laid end to end; ``rows`` are the first bytes of the texts.
+
+    A part starts at white space after anything else, and at a mark after a
+    letter or digit: both are piece boundaries of the byte-level pattern in
+    any text (no piece holds white space after another character, none goes on
+    from a letter or digit to a mark), so parts encode alone as within the text.
+    """
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _SPACE[data[1:]] & ~_SPACE[data[:-1]] | _MARK[data[1:]] & _ALNUM[data[:-1]]
+    cut[rows[rows < len(data)]] = True
+    return np.flatnonzero(cut)
+
+
+class PartTable:
+    """Hash of a part -> where its ids lie in one flat array, in two sorted runs of which the newer is small.
+
+    An entry also holds the part's length and first eight bytes, which a
+    lookup compares, so that a false match needs all three to agree.
+    """
+
+    def __init__(self):
+        self.ids = np.zeros(0, np.uint32)
+        self.runs = [np.zeros((5, 0), np.uint64), np.zeros((5, 0), np.uint64)]
+
+    def __len__(self) -> int:
+        return sum(r.shape[1] for r in self.runs)
+
+    def find(self, keys: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, first id, ids) of each key."""
+        known = np.zeros(len(keys), bool)
+        first, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for run in self.runs:
+            if run.shape[1]:
+                at = np.minimum(np.searchsorted(run[0], keys), run.shape[1] - 1)
+                hit = (run[0][at] == keys) & (run[1][at] == sizes) & (run[2][at] == heads)
+                known |= hit
+                first[hit], count[hit] = run[3][at[hit]], run[4][at[hit]]
+        return known, first, count
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, heads: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        first = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, ids])
+        fresh = np.concatenate([self.runs[1], np.stack([keys, sizes, heads, first.astype(np.uint64), counts.astype(np.uint64)])], axis=1)
+        self.runs[1] = fresh[:, np.argsort(fresh[0], kind="stable")]
+        if self.runs[1].shape[1] * 4 > self.runs[0].shape[1]:
+            both = np.concatenate(self.runs, axis=1)
+            self.runs = [both[:, np.argsort(both[0], kind="stable")], np.zeros((5, 0), np.uint64)]
 
 
 class CachedEncoder:
-    """The tokenizers library, asked once for each distinct part of the texts."""
+    """The tokenizers library, asked once for each distinct part of the texts.
+
+    New parts are encoded side by side in long strings, each after a provable
+    boundary (a line feed where it has no white space of its own), and their
+    ids are told apart by the bytes of their tokens.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))  # one character stands for one byte
+        self.table = PartTable()
+
+    def _alone(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _encode_parts(self, parts: list[str]) -> list[np.ndarray]:
+        """The ids of each part."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(parts)
+        beside = []
+        for k, p in enumerate(parts):
+            if p[-1].isspace() or p[0].isspace() and p[0] not in " \n":
+                out[k] = self._alone(p)
+            else:
+                beside.append(k)
+        strings, bounds, lo, size = [], [], 0, 0
+        for hi, k in enumerate(beside, 1):
+            size += len(parts[k])
+            if size > _JOINED or hi == len(beside):
+                strings.append("".join([p if (p := parts[j])[0] in " \n" else "\n" + p for j in beside[lo:hi]]))
+                bounds.append((lo, hi))
+                lo, size = hi, 0
+        feed = len(self._alone("\n"))
+        for (lo, hi), found in zip(bounds, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
+            mine = beside[lo:hi]
+            added = np.fromiter((parts[k][0] not in " \n" for k in mine), np.int64, hi - lo)
+            lengths = np.fromiter((len(parts[k].encode()) for k in mine), np.int64, hi - lo) + added
+            ids = np.array(found.ids, np.uint32)
+            ends = np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(ends, np.cumsum(lengths)) + 1
+            if cuts[-1] != len(ids) or not np.array_equal(ends[cuts - 1], np.cumsum(lengths)):
+                raise AssertionError("parts did not end at token ends")
+            for k, a, b in zip(mine, (np.r_[0, cuts[:-1]] + feed * added).tolist(), cuts.tolist(), strict=True):
+                out[k] = ids[a:b]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_PARTS.split(t) for t in texts]
-        if len(self.known) > _CACHE_PARTS:
-            self.known.clear()
-        known = self.known
-        new = [p for p in set(chain.from_iterable(parts)).difference(known)]
-        if new:
-            for part, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[part] = got.ids
-        return [np.array([*chain.from_iterable(map(known.__getitem__, p)), END_ID], np.uint32) for p in parts]
+        """The ids of each text, with the end id."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        sure = []
+        for k, text in enumerate(texts):
+            if _UNSURE.search(text):
+                out[k] = np.append(self._alone(text), np.uint32(END_ID))
+            else:
+                sure.append(k)
+        raw = [texts[k].encode() for k in sure]
+        lo, held = 0, 0
+        for hi, piece in enumerate(raw, 1):
+            held += len(piece)
+            if held > BLOCK_BYTES or hi == len(raw):
+                for k, ids in zip(sure[lo:hi], self._encode_block(raw[lo:hi]), strict=True):
+                    out[k] = ids
+                lo, held = hi, 0
+        return out
+
+    def _encode_block(self, texts: list[bytes]) -> list[np.ndarray]:
+        whole = b"".join(texts)
+        data = np.frombuffer(whole, np.uint8)
+        rows = np.cumsum([0, *map(len, texts)])
+        starts = part_starts(data, rows[:-1])
+        stops = np.r_[starts[1:], len(data)]
+        up, down = BYTE_POWERS.to(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+        sizes = (stops - starts).astype(np.uint64)
+        hashes = mix((sums[stops] - sums[starts]) * down[starts] + sizes)
+        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        padded = np.r_[data, np.zeros(8, np.uint8)]
+        heads = padded[starts[at][:, None] + np.arange(8)].copy()
+        heads[np.arange(8) >= sizes[at].astype(np.int64)[:, None]] = 0
+        heads = heads.view(np.uint64).ravel()
+        known, first, count = self.table.find(keys, sizes[at], heads)
+        if len(self.table) > _CACHE_PARTS and not known.all():
+            self.table = PartTable()
+            known[:] = False
+        new = np.flatnonzero(~known)
+        if len(new):
+            a, b = starts[at[new]].tolist(), stops[at[new]].tolist()
+            found = self._encode_parts([whole[x:y].decode() for x, y in zip(a, b, strict=True)])
+            self.table.add(keys[new], sizes[at[new]], heads[new], np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+            known, first, count = self.table.find(keys, sizes[at], heads)
+        counts = count[inverse]
+        total = np.cumsum(counts)
+        ids = self.table.ids[np.repeat(first[inverse] - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)]
+        cut = np.r_[0, total][np.searchsorted(starts, rows)].tolist()
+        end = np.array([END_ID], np.uint32)
+        return [np.concatenate([ids[x:y], end]) for x, y in zip(cut, cut[1:], strict=False)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> CachedEncoder:
+    """One encoder a Python worker: what it has learnt serves the worker's later tasks."""
+    return CachedEncoder(path)
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -221,15 +362,15 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
         context = TaskContext.get()
         name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}.s8b"
         store, base = open_store(folder)
-        encoder = CachedEncoder(path)
+        coder = encoder(path)
         writer = None
         for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 512)):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}")
                     writer = ShardWriter(out)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
                     writer.add(doc_id, ids)
         if writer:
             total = writer.close()
