@@ -20,6 +20,11 @@ def _blocks(df: DataFrame, key: str, size: int, total: int) -> tuple[DataFrame,
     return df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long vectors as rows of a matrix, without Python objects."""
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
+
+
 def topk_inner_product(queries: DataFrame, refs: DataFrame, k: int, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """The k best references of each query: (by..., q, rank, ref_id, score).
 
@@ -44,8 +49,7 @@ def topk_inner_product(queries: DataFrame, refs: DataFrame, k: int, by: list[str
         ids = b["ref_id"].to_numpy().astype(np.int64)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        refs_m = np.array(b["vec"].to_pylist(), np.float64)[order]
-        m = np.array(a["vec"].to_pylist(), np.float64) @ refs_m.T
+        m = _matrix(a["vec"]) @ _matrix(b["vec"])[order].T
         keep = min(k, len(ids))
         # every reference tied with the k-th is a candidate: the final rank breaks ties by id
         floor = np.partition(m, len(ids) - keep, axis=1)[:, len(ids) - keep]
