@@ -174,19 +174,45 @@ def test_html_odd_pages(page):
     assert html_text.extract("<p>a<p>b", None) == "a\nb"
 
 
+def plain_grams(text):
+    """N-gram counts by words, as strings."""
+    out = {}
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split(" "):
+        framed = f"_{word}_"
+        for n in (1, 2, 3):
+            for k in range(len(framed) - n + 1 if word else 0):
+                if framed[k : k + n] != "_":
+                    out[framed[k : k + n]] = out.get(framed[k : k + n], 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 5])
+def test_gram_counts_equal_plain(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK_CHARS", block)
+    for text in ("", "a", " a ", "The cat's 2 HATS_on été 中文 x²y", "ab  cd\nab", "zz top " * 9, "İstanbul ǅ"):
+        codes, counts = langid.gram_counts(text)
+        assert {langid.gram_text(c): n for c, n in zip(codes.tolist(), counts.tolist(), strict=True)} == plain_grams(text)
+        best = [langid.gram_text(c) for c in langid.ranked(codes, counts, 10).tolist()]
+        assert best == [g for g, _ in sorted(plain_grams(text).items(), key=lambda x: (-x[1], x[0]))[:10]]
+
+
+def profile_of(text):
+    return langid.ranked(*langid.gram_counts(text)).tolist()
+
+
 def test_out_of_place_by_hand():
-    assert langid.out_of_place(["a", "b", "c"], {"b": 0, "a": 1}, 10) == 1 + 1 + 10
-    model = langid.Identifier({"x": langid.ranked(langid.gram_counts("aba aba abc")), "y": langid.ranked(langid.gram_counts("zzz yyy zyz"))})
+    assert langid.out_of_place([1, 2, 3], {2: 0, 1: 1}, 10) == 1 + 1 + 10
+    model = langid.Identifier({"x": profile_of("aba aba abc"), "y": profile_of("zzz yyy zyz")})
     assert model.predict("aba")[0] == "x" and model.predict("zyz")[0] == "y"
     assert model.predict(None) == model.predict("12 34!") == ("und", 0.0)
     assert langid.Identifier({}).predict("abc") == ("und", 0.0)
 
 
 def test_identifier_matches_plain_ranking():
-    langs = {"x": langid.ranked(langid.gram_counts("the cat sat on the mat " * 3)), "y": langid.ranked(langid.gram_counts("le chat est la " * 3))}
+    langs = {"x": profile_of("the cat sat on the mat " * 3), "y": profile_of("le chat est la " * 3)}
     model = langid.Identifier(langs)
     for text in ("the rat sat", "la table est le chat", "q" * 50, "a b c d e f g " * 30):
-        doc = langid.ranked(langid.gram_counts(text))
+        doc = profile_of(text)
         far = {n: langid.out_of_place(doc, {g: r for r, g in enumerate(p)}, langid.PROFILE) for n, p in langs.items()}
         name = min(far, key=lambda n: (far[n], n))
         assert model.predict(text) == (name, 1 - far[name] / (langid.PROFILE * len(doc)))

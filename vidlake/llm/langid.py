@@ -8,9 +8,8 @@ length where the language lacks it; the smallest total wins.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,34 +19,56 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, read_table
 
-MAX_N = 3
 PROFILE = 400
 #: Training texts of each language, at most (in expectation): the profile's fit is on this bounded sample.
 SAMPLE_PER_LANG = 2000
-_WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 200_000
-
-
-def grams_of_word(word: str) -> list[str]:
-    framed = f"_{word}_"
-    return [g for n in range(1, MAX_N + 1) for k in range(len(framed) - n + 1) if (g := framed[k : k + n]) != "_"]
-
-
-def gram_counts(text: str | None) -> Counter:
-    """N-gram counts of a whole text; one lookup for each distinct word."""
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        for gram in grams_of_word(word):
-            out[gram] += n
-    return out
-
-
-def ranked(counts: Counter, size: int = PROFILE) -> list[str]:
+#: Characters of a text counted at a time.
+BLOCK_CHARS = 1 << 20
+_EDGE = ord("_") + 1
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Code point -> itself plus one for letters, the word edge for everything else."""
+    alpha = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+    return np.where(alpha, np.arange(1, 0x110001), _EDGE).astype(np.int64)
+
+
+def gram_text(code: int) -> str:
+    """The n-gram of a code: three fields of 21 bits, code point plus one or 0, so codes sort as their strings."""
+    return "".join(chr(c - 1) for c in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if c)
+
+
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the 1- to 3-grams of a whole text's lower-cased words, framed by ``_``."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    line = np.r_[_EDGE, _letters()[points], _EDGE]
+    line = line[np.r_[True, (line[1:] != _EDGE) | (line[:-1] != _EDGE)]]
+    parts = []
+    for lo in range(0, max(1, len(line) - 1), BLOCK_CHARS):
+        one = line[lo : lo + BLOCK_CHARS + 2]
+        own = min(BLOCK_CHARS, len(line) - lo)
+        single = one[:own] << 42
+        pair = single[: len(one) - 1] + (one[1:][:own] << 21)
+        triple = pair[: len(one) - 2] + one[2:][:own]
+        parts.append(np.unique(np.concatenate([single[one[:own] != _EDGE], pair, triple[one[1:-1][: len(triple)] != _EDGE]]), return_counts=True))
+    if len(parts) == 1:
+        codes, counts = parts[0]
+    else:
+        codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    return codes, counts
+
+
+def ranked(codes: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.ndarray:
     """Most frequent first; ties in code-point order."""
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+    if len(codes) > size:
+        floor = np.partition(counts, len(counts) - size)[len(counts) - size]
+        codes, counts = codes[counts >= floor], counts[counts >= floor]
+    return codes[np.lexsort((codes, -counts))[:size]]
 
 
-def profiles(docs: DataFrame, sample: int = SAMPLE_PER_LANG, size: int = PROFILE) -> dict[str, list[str]]:
+def profiles(docs: DataFrame, sample: int = SAMPLE_PER_LANG, size: int = PROFILE) -> dict[str, list[int]]:
     """Profiles of the languages in ``docs`` (doc_id, text, lang; null langs are skipped).
 
     Rows are taken by a hash of their id so that a language gives about
@@ -59,83 +80,62 @@ def profiles(docs: DataFrame, sample: int = SAMPLE_PER_LANG, size: int = PROFILE
     chosen = known.join(share, "lang").where(unit < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
         for batch in batches:
+            held: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(gram_counts(text))
-            if sum(map(len, held.values())) > 500_000:
-                yield _flat(held)
-        yield _flat(held)
+                held.setdefault(lang, []).append(gram_counts(text))
+                if sum(map(len, held.values())) >= 256:
+                    yield from _sums(held)
+            yield from _sums(held)
 
-    sums = chosen.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     from pyspark.sql import Window
 
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    out: dict[str, list[str]] = {}
+    out: dict[str, list[int]] = {}
     # size rows a language
     for row in sums.withColumn("rank", best).where(F.col("rank") <= size).orderBy("lang", "rank").collect():
         out.setdefault(row["lang"], []).append(row["gram"])
     return out
 
 
-def _flat(held: dict[str, Counter]) -> pa.RecordBatch:
-    rows = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
+def _sums(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    """The texts counted so far, added up by language."""
+    for lang, each in held.items():
+        codes, at = np.unique(np.concatenate([c for c, _ in each]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([n for _, n in each])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
     held.clear()
-    cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "gram", "n"])
 
 
-def out_of_place(document: list[str], profile: dict[str, int], size: int) -> int:
+def out_of_place(document: list[int], profile: dict[int, int], size: int) -> int:
+    """The distance in its plain form."""
     return sum(abs(profile[g] - r) if g in profile else size for r, g in enumerate(document))
 
 
 class Identifier:
-    """Scores whole texts; words map to n-gram numbers once, and distances are array lookups."""
+    """Scores whole texts; distances are lookups in a table of ranks by language."""
 
-    def __init__(self, langs: dict[str, list[str]], size: int = PROFILE):
+    def __init__(self, langs: dict[str, list[int]], size: int = PROFILE):
         self.names, self.size = sorted(langs), size
-        self.number: dict[str, int] = {}
-        self.grams: list[str] = []
-        self.known: dict[str, np.ndarray] = {}
-        self.places = [{g: r for r, g in enumerate(langs[name])} for name in self.names]
-
-    def _grams(self, word: str) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > _CACHE_WORDS:
-                self.known.clear()
-            number = self.number
-            found = self.known[word] = np.array([number.setdefault(g, len(number)) for g in grams_of_word(word)], np.int32)
-        return found
+        self.codes = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.asarray(langs[n], np.int64) for n in self.names)]))
+        self.place = np.full((len(self.names), len(self.codes) + 1), size, np.int64)
+        for k, name in enumerate(self.names):
+            self.place[k, np.searchsorted(self.codes, langs[name])] = np.arange(len(langs[name]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, 1 - its distance / the largest possible); ('und', 0) without letters or languages."""
-        words = Counter(_WORD.findall((text or "").lower()))
-        if not words or not self.names:
+        document = ranked(*gram_counts(text), self.size)
+        if not len(document) or not self.names:
             return "und", 0.0
-        if len(self.number) > 5_000_000:
-            self.number.clear()
-            self.known.clear()
-            self.grams.clear()
-        lists = [self._grams(w) for w in words]
-        self.grams.extend(list(self.number)[len(self.grams) :]) if len(self.grams) < len(self.number) else None
-        flat = np.concatenate(lists)
-        weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, lists), np.int64, len(lists)))
-        seen, at = np.unique(flat, return_inverse=True)
-        total = np.bincount(at, weight)
-        if len(seen) > self.size:
-            floor = np.partition(total, len(total) - self.size)[len(total) - self.size]
-            keep = total >= floor
-            seen, total = seen[keep], total[keep]
-        grams = self.grams
-        best = sorted(zip((-total).tolist(), [grams[i] for i in seen.tolist()], strict=True))[: self.size]
-        document = [g for _, g in best]
-        far = [out_of_place(document, p, self.size) for p in self.places]
-        k = min(range(len(far)), key=lambda i: (far[i], self.names[i]))
-        return self.names[k], max(0.0, 1.0 - far[k] / (self.size * len(document)))
-
-
-def identify(docs: DataFrame, langs: dict[str, list[str]], keep: list[str], size: int = PROFILE) -> DataFrame:
+        at = np.minimum(np.searchsorted(self.codes, document), len(self.codes) - 1)
+        place = self.place[:, np.where(self.codes[at] == document, at, len(self.codes))]
+        far = np.where(place < self.size, np.abs(place - np.arange(len(document))), self.size).sum(axis=1)
+        k = int(np.argmin(far))
+        return self.names[k], max(0.0, 1.0 - float(far[k]) / (self.size * len(document)))
+
+
+def identify(docs: DataFrame, langs: dict[str, list[int]], keep: list[str], size: int = PROFILE) -> DataFrame:
     """lang_pred and score of every row's whole text; narrow, Arrow batches."""
     source = docs.select(*keep, docs["text"].alias("_text"))
     schema = T.StructType(source.schema.fields[:-1] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
