@@ -75,9 +75,11 @@ def profiles(docs: DataFrame, sample: int = SAMPLE_PER_LANG, size: int = PROFILE
     ``sample`` texts at most; their n-gram counts are summed in Spark.
     """
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    share = known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    # a row a language, as many as the model itself holds on the driver
+    found = known.groupBy("lang").count().collect()
+    share = known.sparkSession.createDataFrame([(r["lang"], sample / r["count"]) for r in found], "lang string, share double")
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = known.join(share, "lang").where(unit < F.col("share")).select("lang", "text")
+    chosen = known.join(F.broadcast(share), "lang").where(unit < F.col("share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
