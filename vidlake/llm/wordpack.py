@@ -365,7 +365,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
         coder = encoder(path)
         writer = None
         for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 512)):
+            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 if writer is None:
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}")
