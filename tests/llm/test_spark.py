@@ -115,14 +115,14 @@ def test_token_files(spark, documents, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = corpus(5)
+    texts = corpus(5) + [f"row {k} of many, in one batch" for k in range(2500)]
     folder = f"file://{tmp_path}/ids"
     shards = wordpack.write_shards(documents(texts, [*range(5, len(texts) + 4), None]), folder)
     rows = wordpack.read_shards(spark, folder, shards).orderBy("start").collect()
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     plain.encode_special_tokens = True
     at = 0
-    for row, (doc_id, text) in zip(rows, [(None, texts[-1]), *zip(range(5, 999), texts[:-1], strict=False)], strict=True):
+    for row, (doc_id, text) in zip(rows, [(None, texts[-1]), *zip(range(5, 9999), texts[:-1], strict=False)], strict=True):
         ids = plain.encode(text or "", add_special_tokens=False).ids + [2]
         assert tuple(row) == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)

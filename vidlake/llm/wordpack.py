@@ -253,35 +253,33 @@ class CachedEncoder:
     def _alone(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _encode_parts(self, parts: list[str]) -> list[np.ndarray]:
-        """The ids of each part."""
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(parts)
-        beside = []
-        for k, p in enumerate(parts):
-            if p[-1].isspace() or p[0].isspace() and p[0] not in " \n":
-                out[k] = self._alone(p)
-            else:
-                beside.append(k)
-        strings, bounds, lo, size = [], [], 0, 0
-        for hi, k in enumerate(beside, 1):
-            size += len(parts[k])
-            if size > _JOINED or hi == len(beside):
-                strings.append("".join([p if (p := parts[j])[0] in " \n" else "\n" + p for j in beside[lo:hi]]))
-                bounds.append((lo, hi))
-                lo, size = hi, 0
-        feed = len(self._alone("\n"))
-        for (lo, hi), found in zip(bounds, self.tokenizer.encode_batch_fast(strings, add_special_tokens=False), strict=True):
-            mine = beside[lo:hi]
-            added = np.fromiter((parts[k][0] not in " \n" for k in mine), np.int64, hi - lo)
-            lengths = np.fromiter((len(parts[k].encode()) for k in mine), np.int64, hi - lo) + added
-            ids = np.array(found.ids, np.uint32)
-            ends = np.cumsum(self.sizes[ids])
-            cuts = np.searchsorted(ends, np.cumsum(lengths)) + 1
-            if cuts[-1] != len(ids) or not np.array_equal(ends[cuts - 1], np.cumsum(lengths)):
-                raise AssertionError("parts did not end at token ends")
-            for k, a, b in zip(mine, (np.r_[0, cuts[:-1]] + feed * added).tolist(), cuts.tolist(), strict=True):
-                out[k] = ids[a:b]
-        return out
+    def _encode_new(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, counts) of parts given by their bytes; ids and counts follow ``order``."""
+        head, tail = data[starts], data[starts + sizes - 1]
+        # parts that end in white space, or start with a rarer one, are encoded alone
+        apart = _SPACE[tail] | _SPACE[head] & (head != 32) & (head != 10)
+        beside, alone = np.flatnonzero(~apart), np.flatnonzero(apart)
+        s, z = starts[beside], sizes[beside]
+        added = (~_SPACE[data[s]]).astype(np.int64)
+        ends = np.cumsum(z + added)
+        begin, before = ends - z, np.cumsum(z) - z
+        line = np.full(int(ends[-1]) if len(ends) else 0, 10, np.uint8)
+        step = np.arange(int(z.sum()))
+        line[np.repeat(begin - before, z) + step] = data[np.repeat(s - before, z) + step]
+        edges = np.unique(np.r_[0, ends[np.searchsorted(ends, np.arange(_JOINED, len(line), _JOINED))], len(line)]).tolist()
+        strings = [line[a:b].tobytes().decode() for a, b in zip(edges, edges[1:], strict=False)]
+        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(f.ids, np.uint32) for f in found)])
+        reach = np.cumsum(self.sizes[ids])
+        cuts = np.searchsorted(reach, ends) + 1
+        if len(ends) and (cuts[-1] != len(ids) or not np.array_equal(reach[cuts - 1], ends)):
+            raise AssertionError("parts did not end at token ends")
+        first = np.r_[0, cuts[:-1]][: len(cuts)]
+        keep = np.ones(len(ids), bool)
+        keep[first[added == 1]] = False  # the line feed put before
+        own = [self._alone(data[a : a + n].tobytes().decode()) for a, n in zip(starts[alone].tolist(), sizes[alone].tolist(), strict=True)]
+        counts = np.r_[cuts - first - added, np.fromiter(map(len, own), np.int64, len(own))]
+        return np.r_[beside, alone], np.concatenate([ids[keep], *own]), counts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
@@ -296,7 +294,7 @@ class CachedEncoder:
         lo, held = 0, 0
         for hi, piece in enumerate(raw, 1):
             held += len(piece)
-            if held > BLOCK_BYTES or hi == len(raw):
+            if held > 4 * BLOCK_BYTES or hi == len(raw):
                 for k, ids in zip(sure[lo:hi], self._encode_block(raw[lo:hi]), strict=True):
                     out[k] = ids
                 lo, held = hi, 0
@@ -324,9 +322,9 @@ class CachedEncoder:
             known[:] = False
         new = np.flatnonzero(~known)
         if len(new):
-            a, b = starts[at[new]].tolist(), stops[at[new]].tolist()
-            found = self._encode_parts([whole[x:y].decode() for x, y in zip(a, b, strict=True)])
-            self.table.add(keys[new], sizes[at[new]], heads[new], np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+            order, ids, counts = self._encode_new(data, starts[at[new]], sizes[at[new]].astype(np.int64))
+            new = new[order]
+            self.table.add(keys[new], sizes[at[new]], heads[new], ids, counts)
             known, first, count = self.table.find(keys, sizes[at], heads)
         counts = count[inverse]
         total = np.cumsum(counts)
