@@ -241,7 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns, class_id, n_links, and ``is_kept`` for one row of each class.
+    """``keep`` columns, class_id, n_links, and ``is_kept`` for one row of each class, that of the least doc_id.
 
     ``docs`` is a stored table with doc_id and text. A class joins equal texts
     and texts linked by Jaccard >= NUM / DEN, transitively; class_id is its
@@ -257,7 +257,9 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     print_of = F.unhex(F.md5(whole.cast("binary")))
     texts = numbered.select("_rid", whole.alias("text"))
     base = numbered.select("_rid", "doc_id", print_of.alias("print"))
-    copies = staged(base.groupBy("print").agg(F.min("_rid").alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("first")
+    copies = base.groupBy("print").agg(first, F.count("*").alias("copies")).select("print", "copies", F.col("first._rid").alias("rep"), F.col("first.doc_id").alias("first_id"))
+    copies = staged(copies, "copies")
     trees = staged(signatures(texts, prefix).join(copies.select(F.col("rep").alias("_rid"), "copies"), "_rid"), "signatures")
 
     leaves = trees.select("_rid", "size", F.posexplode("keys").alias("tree", "key"))
@@ -274,12 +276,13 @@ def near_duplicates(docs: DataFrame, keep: list[str]) -> DataFrame:
     labels = components(links.where("_rid <> root").select(F.col("_rid").alias("a"), F.col("root").alias("b")))
     total = links.groupBy("_rid").agg(F.sum("links").alias("links"))
     classes = labels.select(F.col("v").alias("rep"), "label").join(total.withColumnRenamed("_rid", "rep"), "rep", "left").join(copies.select("rep", "first_id"), "rep")
-    least = classes.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    classes = staged(classes.join(least, "label").select("rep", "label", "links", "class_id"), "classes")
+    least = classes.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "rep")).alias("first"))
+    least = least.select("label", F.col("first.first_id").alias("class_id"), F.col("first.rep").alias("kept"))
+    classes = staged(classes.join(least, "label").select("rep", "links", "class_id", "kept"), "classes")
     rows = numbered.select("_rid", *keep, print_of.alias("_print"))
     own = copies.select(F.col("print").alias("_print"), "rep", "copies", "first_id").join(classes, "rep", "left")
-    own = own.select("_print", F.col("rep").alias("_rep"), F.coalesce("label", "rep").alias("_label"), F.when(F.col("label").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return rows.join(own, "_print").select(*keep, "class_id", "n_links", (F.col("_rid") == F.col("_label")).alias("is_kept"))
+    own = own.select("_print", F.coalesce("kept", "rep").alias("_kept"), F.when(F.col("kept").isNull(), F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return rows.join(own, "_print").select(*keep, "class_id", "n_links", (F.col("_rid") == F.col("_kept")).alias("is_kept"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
