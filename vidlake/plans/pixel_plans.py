@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ramp
 from ..operators import degrade as dg
 from ..operators import pixels as px
+from ..operators import views
 from ..sources import frames as src
 from ..sources import providers as pr
 from ..sources import sinks
@@ -126,6 +127,12 @@ def g12_frame_difference(spark, sf_dir):
     return px.difference(_pairs(spark))
 
 
+@query("frame_no:i image:s share:d largest:d", f"{_PAIR} SELECT frame_no, printf('frame_%05d.png', frame_no) AS image, avg(CASE WHEN abs(src - imp) > 30 THEN 1.0 ELSE 0.0 END) AS share, max(abs(src - imp)) AS largest FROM pairs GROUP BY frame_no")
+def g13_frame_views(spark, sf_dir):
+    p = fx.planes(spark, 4, 32)
+    return views.frame_views(p, pr.quantised(p.where("frame_no < 3"), 48))
+
+
 @query("id:i up:d down:d flat:d", f"SELECT event_id AS id, {ramp_sql('value', 20.0, 80.0)} AS up, {ramp_sql('value', 80.0, 20.0)} AS down, 0.0 AS flat FROM events")
 def p2_ramp(spark, sf_dir):
     e = fx.table(spark, sf_dir, "events")
