@@ -155,8 +155,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, modu
 
 
 def _train(flat: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, size: int, rounds: int = 200) -> tuple[np.ndarray, float]:
-    keys, value = np.concatenate(flat), np.concatenate(vals).astype(float)
+    """Class-balanced logistic regression by Adagrad, over the features that the sample holds."""
+    held, keys = np.unique(np.concatenate(flat), return_inverse=True)
+    value = np.concatenate(vals).astype(float)
     owner = np.repeat(np.arange(len(y)), [len(f) for f in flat])
+    out = np.zeros(size)
+    size = len(held)
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
     w, b = np.zeros(size), 0.0
     seen, seen_b = np.full(size, 1e-10), 1e-10
@@ -168,7 +172,8 @@ def _train(flat: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, size:
         seen_b += gap.sum() ** 2
         w -= 1.0 * g / np.sqrt(seen)
         b -= 0.2 * gap.sum() / np.sqrt(seen_b)
-    return w, float(b)
+    out[held] = w
+    return out, float(b)
 
 
 COLUMNS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("p_quality", pa.float64())]
