@@ -41,8 +41,8 @@ def g1_centred_patch(spark, sf_dir):
 _SIZES = "sizes AS (SELECT event_id AS frame_no, 300 + event_id % 1700 AS width, 200 + event_id % 900 AS height FROM events WHERE event_id % 20 = 0)"
 
 
-def _sizes(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").where("event_id % 20 = 0")
+def _sizes(spark, sf_dir, whole=False):
+    e = fx.table(spark, sf_dir, "events").where("true" if whole else "event_id % 20 = 0")
     i = F.col("event_id")
     return e.select(i.alias("frame_no"), (300 + i % 1700).cast("int").alias("width"), (200 + i % 900).cast("int").alias("height"))
 
@@ -50,14 +50,14 @@ def _sizes(spark, sf_dir):
 _GRID = "cells AS (SELECT frame_no, width, height, r.r * (width // 256) + c.c AS ord, r.r * 256 AS y0, c.c * 256 AS x0 FROM sizes, range(40) r(r), range(40) c(c) WHERE r.r < height // 256 AND c.c < width // 256)"
 
 
-@query("frame_no:i ord:i y0:i x0:i", f"WITH {_SIZES}, {_GRID} SELECT * FROM cells")
-def g2_grid(spark, sf_dir):
-    return pa.grid(_sizes(spark, sf_dir))
+@query("frame_no:i ord:i y0:i x0:i", f"WITH {_SIZES}, {_GRID} SELECT * FROM cells", whole=True)
+def g2_grid(spark, sf_dir, whole=False):
+    return pa.grid(_sizes(spark, sf_dir, whole))
 
 
-@query("frame_no:i n_blocks:i last_y:i last_x:i", f"WITH {_SIZES} SELECT frame_no, (width // 8) * (height // 8) AS n_blocks, (height // 8 - 1) * 8 AS last_y, (width // 8 - 1) * 8 AS last_x FROM sizes")
-def g3_small_blocks(spark, sf_dir):
-    return pa.grid(_sizes(spark, sf_dir), 8).groupBy("frame_no").agg(F.count("*").alias("n_blocks"), F.max("y0").alias("last_y"), F.max("x0").alias("last_x"))
+@query("frame_no:i n_blocks:i last_y:i last_x:i", f"WITH {_SIZES} SELECT frame_no, (width // 8) * (height // 8) AS n_blocks, (height // 8 - 1) * 8 AS last_y, (width // 8 - 1) * 8 AS last_x FROM sizes", whole=True)
+def g3_small_blocks(spark, sf_dir, whole=False):
+    return pa.grid(_sizes(spark, sf_dir, whole), 8).groupBy("frame_no").agg(F.count("*").alias("n_blocks"), F.max("y0").alias("last_y"), F.max("x0").alias("last_x"))
 
 
 _KEYPOINTS = "kps AS (SELECT event_id % 97 AS frame_no, event_id AS kp_id, CAST(event_id * 131 % 1920 AS DOUBLE) + 0.25 AS x, CAST(event_id * 71 % 1080 AS DOUBLE) + 0.75 AS y, CAST(event_id * 13 % 9 AS DOUBLE) AS size, CAST(event_id * 7 % 100 AS DOUBLE) / 100 AS response FROM events WHERE event_id < 4000)"
@@ -74,8 +74,8 @@ spread AS (SELECT frame_no, i - 1 AS ord, kept[i].x AS x, kept[i].y AS y FROM wa
 cut AS (SELECT frame_no, ord, x AS cx, y AS cy, y - 128 AS y0, x - 128 AS x0 FROM spread WHERE x >= 128 AND y >= 128 AND x + 128 <= 1920 AND y + 128 <= 1080)"""
 
 
-def _keypoints(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events").where("event_id < 4000")
+def _keypoints(spark, sf_dir, whole=False):
+    e = fx.table(spark, sf_dir, "events").where("true" if whole else "event_id < 4000")
     i = F.col("event_id")
     return e.select((i % 97).alias("frame_no"), i.alias("kp_id"), ((i * 131 % 1920).cast("double") + 0.25).alias("x"), ((i * 71 % 1080).cast("double") + 0.75).alias("y"), (i * 13 % 9).cast("double").alias("size"), ((i * 7 % 100).cast("double") / 100).alias("response"))
 
@@ -84,26 +84,26 @@ def _frames_97(spark):
     return spark.range(97).select(F.col("id").alias("frame_no"), F.lit(1920).alias("width"), F.lit(1080).alias("height"))
 
 
-@query("frame_no:i ord:i x:i y:i", f"{_SPREAD} SELECT * FROM spread")
-def g4_spread_points(spark, sf_dir):
+@query("frame_no:i ord:i x:i y:i", f"{_SPREAD} SELECT * FROM spread", whole=True)
+def g4_spread_points(spark, sf_dir, whole=False):
     point = F.struct((-F.col("size")).alias("a"), (-F.col("response")).alias("b"), F.col("kp_id").alias("c"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
-    listed = _keypoints(spark, sf_dir).groupBy("frame_no").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("p"))
+    listed = _keypoints(spark, sf_dir, whole).groupBy("frame_no").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("p"))
     return listed.select("frame_no", F.posexplode(pa.spread_points(F.col("p"))).alias("ord", "q")).select("frame_no", "ord", "q.x", "q.y")
 
 
-@query("frame_no:i ord:i y0:i x0:i", f"{_SPREAD} SELECT * FROM cut")
-def g5_keypoint_patches(spark, sf_dir):
-    return pa.keypoint_patches(_keypoints(spark, sf_dir), _frames_97(spark))
+@query("frame_no:i ord:i y0:i x0:i", f"{_SPREAD} SELECT * FROM cut", whole=True)
+def g5_keypoint_patches(spark, sf_dir, whole=False):
+    return pa.keypoint_patches(_keypoints(spark, sf_dir, whole), _frames_97(spark))
 
 
-@query("frame_no:i ord:i half:i", f"{_SPREAD} SELECT frame_no, ord, CASE WHEN x0 + 256 <= 960 THEN 0 WHEN x0 > 960 THEN 1 END AS half FROM cut WHERE x0 + 256 <= 960 OR x0 > 960")
-def g6_keypoint_halves(spark, sf_dir):
-    return pa.keypoint_patches(_keypoints(spark, sf_dir), _frames_97(spark)).where("half is not null")
+@query("frame_no:i ord:i half:i", f"{_SPREAD} SELECT frame_no, ord, CASE WHEN x0 + 256 <= 960 THEN 0 WHEN x0 > 960 THEN 1 END AS half FROM cut WHERE x0 + 256 <= 960 OR x0 > 960", whole=True)
+def g6_keypoint_halves(spark, sf_dir, whole=False):
+    return pa.keypoint_patches(_keypoints(spark, sf_dir, whole), _frames_97(spark)).where("half is not null")
 
 
-@query("frame_no:i ord:i half:i", f"WITH {_SIZES}, {_GRID} SELECT frame_no, ord, CASE WHEN x0 + 256 < width // 2 THEN 0 ELSE 1 END AS half FROM cells")
-def g7_grid_halves(spark, sf_dir):
-    return pa.grid(_sizes(spark, sf_dir)).withColumn("half", pa.half_of_cell(F.col("x1"), F.col("width")))
+@query("frame_no:i ord:i half:i", f"WITH {_SIZES}, {_GRID} SELECT frame_no, ord, CASE WHEN x0 + 256 < width // 2 THEN 0 ELSE 1 END AS half FROM cells", whole=True)
+def g7_grid_halves(spark, sf_dir, whole=False):
+    return pa.grid(_sizes(spark, sf_dir, whole)).withColumn("half", pa.half_of_cell(F.col("x1"), F.col("width")))
 
 
 @query("half:i n:i mean_v:d", f"WITH {fx.planes_sql(2, 33)} SELECT CASE WHEN x < 33 // 2 THEN 0 ELSE 1 END AS half, count(*) AS n, avg(v) AS mean_v FROM pixels GROUP BY 1")
@@ -112,19 +112,20 @@ def g8_two_halves(spark, sf_dir):
     return p.groupBy("half").agg(F.count("*").alias("n"), F.avg("v").alias("mean_v"))
 
 
-@query("frame_no:i split:i", f"WITH {_SIZES} SELECT frame_no, round_even(width / 2.0::DOUBLE / 256.0::DOUBLE, 0) * 256 AS split FROM sizes")
-def g9_middle_split(spark, sf_dir):
-    return _sizes(spark, sf_dir).select("frame_no", sc.middle_split(F.col("width"), 256).alias("split"))
+@query("frame_no:i split:i", f"WITH {_SIZES} SELECT frame_no, round_even(width / 2.0::DOUBLE / 256.0::DOUBLE, 0) * 256 AS split FROM sizes", whole=True)
+def g9_middle_split(spark, sf_dir, whole=False):
+    return _sizes(spark, sf_dir, whole).select("frame_no", sc.middle_split(F.col("width"), 256).alias("split"))
 
 
 @query(
     "frame_no:i left_x:i right_x:i row_y:i",
     f"""WITH {_SIZES}, m AS (SELECT *, CAST(round_even(width / 2.0::DOUBLE / 256.0::DOUBLE, 0) * 256 AS INT) AS col, CAST(round_even(height / 2.0::DOUBLE / 256.0::DOUBLE, 0) * 256 AS INT) AS row_ FROM sizes)
 SELECT frame_no, CASE WHEN col >= 256 AND row_ + 256 <= height THEN col - 256 END AS left_x, CASE WHEN col + 256 <= width AND row_ + 256 <= height THEN col END AS right_x, CASE WHEN col + 256 <= width AND row_ + 256 <= height THEN row_ END AS row_y FROM m""",
+    whole=True,
 )
-def g10_middle_patches(spark, sf_dir):
+def g10_middle_patches(spark, sf_dir, whole=False):
     left, right = pa.middle_patches(F.col("width"), F.col("height"))
-    return _sizes(spark, sf_dir).select("frame_no", left.alias("l"), right.alias("r")).select("frame_no", F.col("l.x0").alias("left_x"), F.col("r.x0").alias("right_x"), F.col("r.y0").alias("row_y"))
+    return _sizes(spark, sf_dir, whole).select("frame_no", left.alias("l"), right.alias("r")).select("frame_no", F.col("l.x0").alias("left_x"), F.col("r.x0").alias("right_x"), F.col("r.y0").alias("row_y"))
 
 
 _CORNERS = "least({0}) >= -1.0 AND least({1}) >= -1.0 AND greatest({0}) <= 1920 AND greatest({1}) <= 1080"
@@ -314,16 +315,16 @@ _SOFT = f"""WITH {_SLOTS}, g AS (SELECT clip, bit_index, avg(response) AS m, cou
 soft AS (SELECT c.clip, b.b AS bit_index, coalesce(m * sqrt(n) / (s + 1e-12), 0.0) AS z, CASE WHEN m IS NULL THEN '?' WHEN m * sqrt(n) / (s + 1e-12) > 0 THEN '1' ELSE '0' END AS bit FROM (SELECT DISTINCT clip FROM resp) c CROSS JOIN range(32) b(b) LEFT JOIN g ON g.clip = c.clip AND g.bit_index = b.b)"""
 
 
-def _slot_responses(spark, sf_dir):
+def _slot_responses(spark, sf_dir, whole=False):
     e = fx.table(spark, sf_dir, "events")
-    k = F.col("event_id") % 37
-    kept = e.where((k < 32) & ~((F.col("user_id") % 7 == 3) & (k == 5)))
+    k = F.col("event_id") % (32 if whole else 37)
+    kept = e if whole else e.where((k < 32) & ~((F.col("user_id") % 7 == 3) & (k == 5)))
     return kept.select(F.col("user_id").alias("clip"), k.alias("bit_index"), (F.col("value") - 50.0).alias("response"))
 
 
-@query("clip:i bit_index:i sign:i bit:s", f"{_SOFT} SELECT clip, bit_index, sign(z) AS sign, bit FROM soft")
-def a13_soft_votes(spark, sf_dir):
-    return vo.soft_slots(_slot_responses(spark, sf_dir), ["clip"]).withColumn("sign", F.signum("z"))
+@query("clip:i bit_index:i sign:i bit:s", f"{_SOFT} SELECT clip, bit_index, sign(z) AS sign, bit FROM soft", whole=True)
+def a13_soft_votes(spark, sf_dir, whole=False):
+    return vo.soft_slots(_slot_responses(spark, sf_dir, whole), ["clip"]).withColumn("sign", F.signum("z"))
 
 
 _CARRIED = "CASE WHEN 40 + clip % 200 < 5 * 32 THEN (40 + clip % 200) // 5 ELSE 32 END"
@@ -334,15 +335,16 @@ _CARRIED = "CASE WHEN 40 + clip % 200 < 5 * 32 THEN (40 + clip % 200) // 5 ELSE
     f"""{_SOFT}, l AS (SELECT clip, {_CARRIED} AS carried, string_agg(bit, '' ORDER BY bit_index) AS votes FROM soft GROUP BY clip),
 d AS (SELECT clip, carried, substr(votes, 1, CAST(carried AS INT)) AS decoded FROM l)
 SELECT clip, carried, decoded, CASE WHEN decoded <> '' AND NOT contains(decoded, '?') THEN list_sum(list_transform(range(len(decoded)), lambda i: CAST(substr(decoded, CAST(i AS INT) + 1, 1) AS BIGINT) * CAST(pow(2, len(decoded) - 1 - i) AS BIGINT))) END AS watermark FROM d""",
+    whole=True,
 )
-def a14_decode(spark, sf_dir):
-    slots = vo.soft_slots(_slot_responses(spark, sf_dir), ["clip"]).withColumn("frames", 40 + F.col("clip") % 200)
+def a14_decode(spark, sf_dir, whole=False):
+    slots = vo.soft_slots(_slot_responses(spark, sf_dir, whole), ["clip"]).withColumn("frames", 40 + F.col("clip") % 200)
     return vo.decode(slots, ["clip"], F.col("frames"), F.lit(5))
 
 
-@query("clip:i weakest:d", f"{_SOFT}, c AS (SELECT *, {_CARRIED} AS carried FROM soft) SELECT clip, least(1e6, min(abs(z))) AS weakest FROM c WHERE bit_index < carried GROUP BY clip")
-def a15_weakest_slot(spark, sf_dir):
-    slots = vo.soft_slots(_slot_responses(spark, sf_dir), ["clip"]).withColumn("frames", 40 + F.col("clip") % 200)
+@query("clip:i weakest:d", f"{_SOFT}, c AS (SELECT *, {_CARRIED} AS carried FROM soft) SELECT clip, least(1e6, min(abs(z))) AS weakest FROM c WHERE bit_index < carried GROUP BY clip", whole=True)
+def a15_weakest_slot(spark, sf_dir, whole=False):
+    slots = vo.soft_slots(_slot_responses(spark, sf_dir, whole), ["clip"]).withColumn("frames", 40 + F.col("clip") % 200)
     return vo.decode(slots, ["clip"], F.col("frames"), F.lit(5)).withColumn("weakest", F.least(F.lit(1e6), F.col("weakest")))
 
 

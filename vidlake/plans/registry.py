@@ -28,20 +28,28 @@ def _sql_column(name: str, kind: str) -> str:
     return f'{c} AS "{name}"'
 
 
-def query(columns: str, sql: str | None = None) -> Callable:
+def query(columns: str, sql: str | None = None, whole: bool = False) -> Callable:
     """Register the decorated (spark, sf_dir) -> DataFrame by its name.
 
     ``columns`` is "name:kind ..." with kinds i, d (rounded to 6 places), s, b.
-    ``sql`` is the DuckDB form; None where SQL cannot express it.
+    ``sql`` is the DuckDB form; None where SQL cannot express it. Where that form is
+    bound to a subset of the rows, ``whole`` also registers name_whole, without SQL:
+    the same function called with whole=True.
     """
     pairs = [c.split(":") for c in columns.split()]
 
-    def add(f: Callable) -> Callable:
+    def registered(f: Callable, name: str, **kept: bool) -> Callable:
         def run(spark, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir).select(*[_column(*p) for p in pairs])
+            return f(spark, sf_dir, **kept).select(*[_column(*p) for p in pairs])
+
+        run.__name__, run.__doc__ = name, f.__doc__
+        QUERIES[name] = run
+        return run
 
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
+    def add(f: Callable) -> Callable:
+        run = registered(f, f.__name__)
+        if whole:
+            registered(f, f"{f.__name__}_whole", whole=True)
         if sql is not None:
             SQL[f.__name__] = f"SELECT {', '.join(_sql_column(*p) for p in pairs)} FROM ({sql.strip()}) AS result"
         return run
