@@ -3,8 +3,10 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
+from vidlake.operators import search as se
 from vidlake.plans.catalog import QUERIES
 
 N = 4300
@@ -15,6 +17,8 @@ def sf(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("whole"))
     events = [(i, clip_of(i), float(i * i * 17 % 101)) for i in range(N)]
     spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(f"{at}/events.parquet")
+    vectors = np.random.default_rng(3).normal(size=(70, 8)).astype(np.float32)
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
@@ -80,3 +84,24 @@ def test_every_vote_counts(spark, sf):
     assert rows(spark, sf, "a14_decode_whole") == sorted(((c, carried[c], d, None if "?" in d else int(d, 2)) for c, d in decoded.items()), key=repr)
     weakest = dict(rows(spark, sf, "a15_weakest_slot_whole"))
     assert weakest == pytest.approx({c: min(abs(scores[c, b] or 0.0) for b in range(carried[c])) for c in clips}, abs=2e-6)
+
+
+def test_every_query_is_scored(spark, sf):
+    v = np.random.default_rng(3).normal(size=(70, 8)).astype(np.float32).astype(float)
+    q = v + (np.arange(70) % 5 * 0.3)[:, None] * np.roll(v, -1, axis=0)
+    scores = q / np.linalg.norm(q, axis=1, keepdims=True) @ v.T
+    order = np.argsort(-scores, axis=1, kind="stable")
+
+    def checked(name, want):
+        found = {r[:-1]: r[-1] for r in rows(spark, sf, name)}
+        assert found == pytest.approx(want, abs=2e-6)
+
+    checked("j3_full_scores_whole", {(i, j): scores[i, j] for i in range(70) for j in range(70)})
+    checked("j3_ranked_scores_whole", {(i, k + 1, int(j)): scores[i, j] for i in range(70) for k, j in enumerate(order[i])})
+    checked("j2_topk_expression_whole", {(i, k + 1, int(j)): scores[i, j] for i in range(70) for k, j in enumerate(order[i][:3])})
+
+
+def test_blocks_give_all_pairs(spark):
+    side = spark.range(50).selectExpr("id AS q", "id AS ref_id", "array(double(id), 1D) AS vec")
+    found = {(r["q"], r["ref_id"]): r["score"] for r in se.full_scores_in_blocks(side, side, 8).collect()}
+    assert found == {(a, b): a * b + 1.0 for a in range(50) for b in range(50)}

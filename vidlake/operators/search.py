@@ -25,6 +25,17 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
+def _sides(queries: DataFrame, refs: DataFrame, by: list[str], block: int) -> tuple[DataFrame, DataFrame, str]:
+    """Both sides with the numbers of their tiles (_qb, _rb), and the columns of a tile's scores."""
+    n_q, n_r = queries.count(), refs.count()
+    q, q_blocks = _blocks(queries.select(*by, "q", "vec"), "q", block, n_q)
+    r, r_blocks = _blocks(refs.select("ref_id", "vec"), "ref_id", block, n_r)
+    left = q.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))).select(F.col("_block").alias("_qb"), F.col("_other").alias("_rb"), *by, "q", "vec")
+    right = r.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).select(F.col("_other").alias("_qb"), F.col("_block").alias("_rb"), "ref_id", "vec")
+    schema = ", ".join(f"{c} {t}" for c, t in left.dtypes if c in by + ["q"]) + ", ref_id long, score double"
+    return left, right, schema
+
+
 def topk_inner_product(queries: DataFrame, refs: DataFrame, k: int, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """The k best references of each query: (by..., q, rank, ref_id, score).
 
@@ -35,12 +46,7 @@ def topk_inner_product(queries: DataFrame, refs: DataFrame, k: int, by: list[str
     is shuffled afterwards is k rows a query and reference block.
     """
     by = by or []
-    n_q, n_r = queries.count(), refs.count()
-    q, q_blocks = _blocks(queries.select(*by, "q", "vec"), "q", block, n_q)
-    r, r_blocks = _blocks(refs.select("ref_id", "vec"), "ref_id", block, n_r)
-    left = q.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))).select(F.col("_block").alias("_qb"), F.col("_other").alias("_rb"), *by, "q", "vec")
-    right = r.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).select(F.col("_other").alias("_qb"), F.col("_block").alias("_rb"), "ref_id", "vec")
-    schema = ", ".join(f"{c} {t}" for c, t in left.dtypes if c in by + ["q"]) + ", ref_id long, score double"
+    left, right, schema = _sides(queries, refs, by, block)
 
     def tile(a: pa.Table, b: pa.Table) -> pa.Table:
         keys = a.select([*by, "q"])
@@ -77,6 +83,18 @@ def full_scores(queries: DataFrame, refs: DataFrame) -> DataFrame:
     return queries.select("q", F.col("vec").alias("_a")).crossJoin(refs.select("ref_id", F.col("vec").alias("_b"))).select("q", "ref_id", dot("_a", "_b").alias("score"))
 
 
+def full_scores_in_blocks(queries: DataFrame, refs: DataFrame, block: int = BLOCK // 4) -> DataFrame:
+    """J3 on whole tables: the same rows, a matrix product for each pair of blocks."""
+    left, right, schema = _sides(queries, refs, [], block)
+
+    def tile(a: pa.Table, b: pa.Table) -> pa.Table:
+        q, ids = a["q"].to_numpy(), b["ref_id"].to_numpy()
+        m = _matrix(a["vec"]) @ _matrix(b["vec"]).T if len(q) and len(ids) else np.empty((len(q), len(ids)))
+        return pa.table({"q": np.repeat(q, len(ids)), "ref_id": pa.array(np.tile(ids, len(q)), pa.int64()), "score": m.ravel()})
+
+    return left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInArrow(tile, schema)
+
+
 def offset_similarity(refs: DataFrame, max_offset: int = 60) -> DataFrame:
     """(d, s_self): mean inner product of vectors d apart, d = 1..min(max_offset, n - 1).
 

@@ -39,20 +39,25 @@ def j1_topk_ip(spark, sf_dir):
     return se.topk_inner_product(fx.degraded(spark, sf_dir), fx.reference(spark, sf_dir), 10)
 
 
-@query("q:i rank:i ref_id:i score:d", f"{BASE}, {fx.topk_sql('refs', 3)} SELECT * FROM top WHERE q % 10 = 0")
-def j2_topk_expression(spark, sf_dir):
-    queries = fx.degraded(spark, sf_dir).where(F.col("q") % 10 == 0)
-    return se.topk_by_expression(queries, fx.reference(spark, sf_dir), 3)
+@query("q:i rank:i ref_id:i score:d", f"{BASE}, {fx.topk_sql('refs', 3)} SELECT * FROM top WHERE q % 10 = 0", whole=True)
+def j2_topk_expression(spark, sf_dir, whole=False):
+    queries = fx.degraded(spark, sf_dir)
+    return se.topk_by_expression(queries if whole else queries.where(F.col("q") % 10 == 0), fx.reference(spark, sf_dir), 3)
+
+
+def _all_scores(spark, sf_dir, whole):
+    queries, refs = fx.degraded(spark, sf_dir), fx.reference(spark, sf_dir)
+    return se.full_scores_in_blocks(queries, refs) if whole else se.full_scores(queries.where(F.col("q") % 50 == 0), refs)
 
 
-@query("q:i ref_id:i score:d", f"{BASE} SELECT q.q, r.ref_id, list_dot_product(q.vec, r.vec) AS score FROM queries q CROSS JOIN refs r WHERE q.q % 50 = 0")
-def j3_full_scores(spark, sf_dir):
-    return se.full_scores(fx.degraded(spark, sf_dir).where(F.col("q") % 50 == 0), fx.reference(spark, sf_dir))
+@query("q:i ref_id:i score:d", f"{BASE} SELECT q.q, r.ref_id, list_dot_product(q.vec, r.vec) AS score FROM queries q CROSS JOIN refs r WHERE q.q % 50 = 0", whole=True)
+def j3_full_scores(spark, sf_dir, whole=False):
+    return _all_scores(spark, sf_dir, whole)
 
 
-@query("q:i place:i ref_id:i score:d", f"{BASE}, s AS (SELECT q.q, r.ref_id, list_dot_product(q.vec, r.vec) AS score FROM queries q CROSS JOIN refs r WHERE q.q % 50 = 0) SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ref_id) AS place FROM s")
-def j3_ranked_scores(spark, sf_dir):
-    s = se.full_scores(fx.degraded(spark, sf_dir).where(F.col("q") % 50 == 0), fx.reference(spark, sf_dir))
+@query("q:i place:i ref_id:i score:d", f"{BASE}, s AS (SELECT q.q, r.ref_id, list_dot_product(q.vec, r.vec) AS score FROM queries q CROSS JOIN refs r WHERE q.q % 50 = 0) SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, ref_id) AS place FROM s", whole=True)
+def j3_ranked_scores(spark, sf_dir, whole=False):
+    s = _all_scores(spark, sf_dir, whole)
     return s.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "ref_id")))
 
 
