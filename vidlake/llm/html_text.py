@@ -4,7 +4,8 @@
    less links. 2. Each page votes for the generalised path (tags and classes,
    digits removed) of its best container; votes are summed by host and path in
    Spark. 3. Every page is extracted again under its host's winning path; a
-   page without that path falls back to its own best container.
+   page where that path holds clearly less text than its own best container
+   (another template of the host) is extracted under its own.
 """
 
 from __future__ import annotations
@@ -140,6 +141,14 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+#: The winning path must hold this share of the weight of the page's own best container.
+NEAR = 0.8
+
+
+def _weight(block: Block) -> float:
+    return max(0, len(block.text) - 2 * block.links) * (1.0 if block.kind in ("p", "pre", "blockquote", "h1", "h2", "h3") else 0.5)
+
+
 def best_container(found: list[Block]) -> tuple[str, float]:
     """The path of the container with the most paragraph text of its own; ('', 0) for none.
 
@@ -147,25 +156,38 @@ def best_container(found: list[Block]) -> tuple[str, float]:
     """
     scores: dict[str, float] = {}
     for block in found:
-        weight = max(0, len(block.text) - 2 * block.links) * (1.0 if block.kind in ("p", "pre", "blockquote", "h1", "h2", "h3") else 0.5)
+        weight = _weight(block)
         for depth in range(min(2, len(block.path))):
             path = "/".join(block.path[: len(block.path) - depth])
             scores[path] = scores.get(path, 0.0) + weight / (1 << depth)
     return max(scores.items(), key=lambda x: (x[1], x[0]), default=("", 0.0))
 
 
+def under(found: list[Block], path: str) -> list[Block]:
+    return [b for b in found if (p := "/".join(b.path)) == path or p.startswith(path + "/")]
+
+
 def text_under(found: list[Block], path: str) -> str:
-    mine = [b.text for b in found if (p := "/".join(b.path)) == path or p.startswith(path + "/")]
-    return "\n".join(mine)
+    return "\n".join(b.text for b in under(found, path))
+
+
+def chosen_path(found: list[Block], winner: str | None) -> str:
+    """The winner where it holds the page's own best container or near as much; else the page's own, the wider of both if one holds the other."""
+    own, score = best_container(found)
+    mine = under(found, winner) if winner else []
+    if not mine or score <= 0:
+        return winner if mine else own
+    if own == winner or winner.startswith(own + "/"):
+        return own
+    if own.startswith(winner + "/") or sum(map(_weight, mine)) >= NEAR * sum(map(_weight, under(found, own))):
+        return winner
+    return own
 
 
 def extract(page: str | None, winner: str | None) -> str:
     found = blocks(page)
-    text = text_under(found, winner) if winner else ""
-    if not text:
-        own, score = best_container(found)
-        text = text_under(found, own) if score > 0 else "\n".join(b.text for b in found)
-    return text
+    text = text_under(found, path) if (path := chosen_path(found, winner)) else ""
+    return text or "\n".join(b.text for b in found)
 
 
 def host_of(url):
