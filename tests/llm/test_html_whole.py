@@ -16,3 +16,25 @@ def test_the_vote_still_decides_between_near_containers():
     page = "<div class='a'><p>" + "x" * 90 + "</p></div><div class='b'><p>" + "y" * 100 + "</p></div>"
     assert html_text.extract(page, "div.a") == "x" * 90
     assert html_text.extract(page.replace("x" * 90, "x" * 50), "div.a") == "y" * 100
+
+
+def words(n):
+    return ("word " * n)[: n - 1] + "."
+
+
+def test_sibling_containers_of_an_article_stay_together(spark, stored):
+    parts = [words(40), words(200), words(300)]
+    page = "<article><h1>{}</h1><section class='intro'><p>{}</p></section><section class='body'><p>{}</p></section></article>".format(*parts)
+    want = "\n".join(parts)
+    assert html_text.best_container(html_text.blocks(page))[0] == "article"
+    assert html_text.extract(page, None) == html_text.extract(page, "article/section.body") == want
+    pages = stored([(k, f"http://h/{k}", page) for k in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_text.extract_pages(pages, ["page_id"]).collect()} == {want}
+
+
+def test_widening_stops_at_links_and_below_the_body():
+    story = f"<div class='wrap'><div class='intro'><p>{words(100)}</p></div><div class='body'><p>{words(300)}</p></div></div>"
+    assert html_text.extract(f"<body>{story}<div class='box'><p>x</p></div></body>", None) == f"{words(100)}\n{words(300)}"
+    links = f"<main><article><p>{words(200)}</p></article><div class='list'><a href='/'>{words(60)}</a></div></main>"
+    assert html_text.extract(links, None) == words(200)
+    assert html_text.extract(f"<main><h1>Title here</h1><article><p>{words(200)}</p></article></main>", None) == f"Title here\n{words(200)}"

@@ -1,8 +1,9 @@
 """Main-text extraction by consensus host paths.
 
 1. Every page's containers are scored by the text of their own paragraphs,
-   less links. 2. Each page votes for the generalised path (tags and classes,
-   digits removed) of its best container; votes are summed by host and path in
+   less links; the best is widened to the ancestors that hold the rest of the
+   article. 2. Each page votes for the generalised path (tags and classes,
+   digits removed) of that container; votes are summed by host and path in
    Spark. 3. Every page is extracted again under its host's winning path; a
    page where that path holds clearly less text than its own best container
    (another template of the host) is extracted under its own.
@@ -150,17 +151,31 @@ def _weight(block: Block) -> float:
 
 
 def best_container(found: list[Block]) -> tuple[str, float]:
-    """The path of the container with the most paragraph text of its own; ('', 0) for none.
+    """The path of the container with the most paragraph text of its own, widened; ('', 0) for none.
 
     A block counts whole for its nearest container and half for the one above.
     """
-    scores: dict[str, float] = {}
+    scores: dict[tuple[str, ...], float] = {}
     for block in found:
         weight = _weight(block)
         for depth in range(min(2, len(block.path))):
-            path = "/".join(block.path[: len(block.path) - depth])
+            path = block.path[: len(block.path) - depth]
             scores[path] = scores.get(path, 0.0) + weight / (1 << depth)
-    return max(scores.items(), key=lambda x: (x[1], x[0]), default=("", 0.0))
+    path, score = max(scores.items(), key=lambda x: (x[1], "/".join(x[0])), default=((), 0.0))
+    return "/".join(_widened(found, path) if score > 0 else path), score
+
+
+def _widened(found: list[Block], path: tuple[str, ...]) -> tuple[str, ...]:
+    """The outermost article or main around ``path``, else its farthest ancestor below the body, as long as each step adds a block that is not mostly links."""
+    tops = [k for k, t in enumerate(path, 1) if t.split(".")[0] in ("article", "main")]
+    steps = [k for k in tops[::-1] if k < len(path)] if tops else [k for k in range(len(path) - 1, 0, -1) if path[k - 1].split(".")[0] != "body"]
+    for k in steps:
+        added = [b for b in found if b.path[:k] == path[:k] and b.path[: len(path)] != path]
+        if any(len(b.text) > 2 * b.links for b in added):
+            path = path[:k]
+        elif added:
+            break
+    return path
 
 
 def under(found: list[Block], path: str) -> list[Block]:
