@@ -38,3 +38,19 @@ def test_widening_stops_at_links_and_below_the_body():
     links = f"<main><article><p>{words(200)}</p></article><div class='list'><a href='/'>{words(60)}</a></div></main>"
     assert html_text.extract(links, None) == words(200)
     assert html_text.extract(f"<main><h1>Title here</h1><article><p>{words(200)}</p></article></main>", None) == f"Title here\n{words(200)}"
+
+
+def test_names_and_figures_do_not_cut_an_article():
+    page = (
+        f"<body><article><h2 id='search'>Search</h2><p class='notice'>{words(30)}</p><section id='related-work'><h3>Related work</h3><p>{words(50)}</p></section>"
+        f"<div class='social-history'><p>{words(300)}</p></div><figure><pre>code()</pre><figcaption>Caption <math><mi>x</mi></math></figcaption></figure>"
+        f"<div class='share'><a href='/'>{words(300)}</a></div><div class='ad'>buy</div></article></body>"
+    )
+    want = ["Search", words(30), "Related work", words(50), words(300), "code()", "Caption x"]
+    assert html_text.extract(page, None) == "\n".join(want)
+
+
+def test_short_boilerplate_goes_outside_an_article():
+    page = f"<div class='c'><div id='search'>find</div><p>{words(100)}</p><p class='copyright'>me</p><h2 id='legal'>Legal</h2><div class='ad'>buy <span>now</div><p>{words(60)}</p></div>"
+    assert html_text.extract(page, None) == f"{words(100)}\nLegal\n{words(60)}"
+    assert html_text.extract(f"<article><div class='ad'>open<p>{words(300)}</p></article>", None) == f"open\n{words(300)}"

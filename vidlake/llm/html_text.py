@@ -24,13 +24,18 @@ from .common import read_table
 
 #: Fixed tag lists, by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg canvas object textarea title math".split())
-DROP = frozenset("nav header footer aside form button select menu dialog figure figcaption label fieldset head".split())
+RAW = frozenset("script style noscript template iframe svg canvas object textarea title".split())
+DROP = frozenset("nav header footer aside form button select menu dialog label fieldset head".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body".split())
 #: A paragraph ends at these; list items and cells end their own kind.
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
-#: Words of class, id or role that mark boilerplate; matched as whole words.
+#: Blocks of text that never are boilerplate for their names.
+PROSE = frozenset("p pre blockquote li dd dt td th tr figure figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A block with a boilerplate name is dropped if it has fewer characters than this, or mostly links.
+SHORT = 200
+#: Words of class or id that mark boilerplate; matched as whole words.
 NOISE = re.compile(
     r"(?<![a-z])(ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|header|footer|sidebar|aside|widget|related|recommend\w*|share|social|"
     r"cookies?|consent|notices?|alert|popup|modal|newsletter|subscribe|signup|login|comments?|comment-\w+|replies|respond|disqus|pagination|pager|toolbar|copyright|legal|search)(?![a-z])",
@@ -50,13 +55,18 @@ class Block:
         self.path, self.text, self.links, self.kind = path, text, links, kind
 
 
-def _noisy(tag: str, attrs: str) -> tuple[bool, str]:
+def _noisy(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether a tag is boilerplate, whether its names say so, and its generalised classes.
+
+    ``inside`` an article or main, ids (anchors) and the names of PROSE say nothing.
+    """
     if not attrs.strip():
-        return tag in DROP, ""
+        return tag in DROP, False, ""
     found = {k.lower(): (a or b or c).strip() for k, a, b, c in _ATTR.findall(attrs)}
-    named = f"{found.get('class', '')} {found.get('id', '')}"
-    bad = tag in DROP or bool(_HIDDEN.search(attrs)) or found.get("role", "").lower() in NOISE_ROLES or tag not in ("html", "body", "article", "main") and bool(NOISE.search(named.replace("_", "-")))
-    return bad, re.sub(r"\d+", "", ".".join(found.get("class", "").split()))
+    bad = tag in DROP or bool(_HIDDEN.search(attrs)) or found.get("role", "").lower() in NOISE_ROLES
+    named = found.get("class", "") if inside else f"{found.get('class', '')} {found.get('id', '')}"
+    could = tag in BLOCK - HEADINGS and tag not in ("html", "body", "article", "main") and not (inside and tag in PROSE)
+    return bad, could and bool(NOISE.search(named.replace("_", "-"))), re.sub(r"\d+", "", ".".join(found.get("class", "").split()))
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -65,7 +75,8 @@ def blocks(page: str | None) -> list[Block]:
     Unclosed tags stay open until an ancestor closes; a stray end tag is skipped.
     """
     page = page or ""
-    stack: list[tuple[str, str, bool]] = []
+    # tag, classes, dropped, and for a boilerplate name the blocks before it (else -1)
+    stack: list[tuple[str, str, bool, int]] = []
     out: list[Block] = []
     parts: list[str] = []
     links = 0
@@ -75,7 +86,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal links, kind
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(tuple(f"{t}.{c}" if c else t for t, c, _ in stack if t in CONTAINER), text, links, kind))
+            out.append(Block(tuple(f"{t}.{c}" if c else t for t, c, *_ in stack if t in CONTAINER), text, links, kind))
         parts.clear()
         links, kind = 0, ""
 
@@ -84,9 +95,20 @@ def blocks(page: str | None) -> list[Block]:
         if raw and not (stack and stack[-1][2]):
             text = entities.unescape(raw)
             parts.append(text)
-            if any(t == "a" for t, _, _ in stack):
+            if any(t == "a" for t, *_ in stack):
                 links += len(text)
 
+    def close(k: int) -> None:
+        """Close the tags from the k-th on; those named like boilerplate lose what is short or mostly links."""
+        if any(start >= 0 for *_, start in stack[k:]):
+            flush()
+        while len(stack) > k:
+            start = stack.pop()[3]
+            if start >= 0:
+                chars = sum(len(b.text) for b in out[start:])
+                if chars < SHORT or 2 * sum(b.links for b in out[start:]) >= chars:
+                    del out[start:]
+
     at, size = 0, len(page)
     while at < size:
         found = _TOKEN.search(page, at)
@@ -103,11 +125,10 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = name.lower()
         if found.group(2):
-            if any(t == tag for t, _, _ in stack):
+            if any(t == tag for t, *_ in stack):
                 if tag in BLOCK:
                     flush()
-                while stack.pop()[0] != tag:
-                    pass
+                close(max(k for k, e in enumerate(stack) if e[0] == tag))
             elif tag in BLOCK and not (stack and stack[-1][2]):
                 flush()
             continue
@@ -126,19 +147,20 @@ def blocks(page: str | None) -> list[Block]:
                 # an open paragraph ends here, and the inline tags left open in it
                 last = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), None)
                 if last is not None and stack[last][0] == "p":
-                    del stack[last:]
+                    close(last)
             elif tag in ("li", "dd", "dt", "td", "th", "tr"):
                 last = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK - {"p"}), None)
                 if last is not None and (stack[last][0] == tag or {stack[last][0], tag} <= {"dd", "dt"} or {stack[last][0], tag} <= {"td", "th"}):
-                    del stack[last:]
+                    close(last)
         if tag in VOID:
             continue
-        bad, classes = _noisy(tag, attrs)
+        bad, named, classes = _noisy(tag, attrs, any(t in ("article", "main") for t, *_ in stack))
         if not attrs.endswith("/") or tag in BLOCK:
-            stack.append((tag, classes, bad or bool(stack and stack[-1][2])))
+            stack.append((tag, classes, bad or bool(stack and stack[-1][2]), len(out) if named else -1))
             if tag in BLOCK:
                 kind = tag
     flush()
+    close(0)
     return out
 
 
