@@ -1,14 +1,13 @@
-"""N-gram Jaccard join with a MinHash LSH forest and exact verification.
+"""N-gram Jaccard join with MinHash banding and exact verification.
 
 Shingles are SHINGLE-word runs (a text of fewer words, but not none, is one
-shingle). Each text has TREES signatures of DEPTH hash values, the labels of
-its leaves in TREES sorted prefix tries. Matched prefixes shorten from DEPTH,
-level by level, until a pair at the threshold meets in some trie with the
-target recall (``prefix_length``); texts under one such prefix form a bucket.
+shingle). Each text has TREES keys of equally many hash values, fixed by the
+threshold and the target recall (``prefix_length``, DEPTH at most): banding,
+not a forest of tries. Texts of one key form a bucket.
 Buckets with equal members are kept once, large ones are cut into blocks, and
 every pair of blocks is a tile in which all pairs are verified exactly and at
 once. Tiles give counts and a spanning forest, never rows by pair; a pair in
-several buckets counts in the first trie it shares.
+several buckets counts in the first key it shares.
 """
 
 from __future__ import annotations
