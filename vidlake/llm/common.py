@@ -6,14 +6,18 @@ UTF-8 form of the whole text; a null text counts as empty.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -26,45 +30,92 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local session may fall back to /tmp."""
+    """The folder that driver and executors share, with its scheme; a local session may fall back to /tmp."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "vidlake-shared")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "vidlake-shared")
+    path, store = _path(spark, found.rstrip("/"))
+    return store.makeQualified(path).toString()
+
+
+def _path(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+#: Folders written and not yet removed, with their sessions; they go at the end of the driver program at the latest.
+_written: dict[str, SparkSession] = {}
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[folder] = spark
+    return folder
+
+
+def remove(folder: str) -> None:
+    spark = _written.pop(folder, None)
+    if spark is not None:
+        path, store = _path(spark, folder)
+        store.delete(path, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for folder in list(_written):
+        try:
+            remove(folder)
+        except Exception:  # the session may have ended first
+            return
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.staged_at = folder
+    return out
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Remove a staged table that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def drop_staged(*tables: DataFrame) -> None:
+    """Remove staged tables that no later step reads."""
+    for df in tables:
+        remove(df.staged_at)
 
 
-def frees_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of an ended job are of no use once its result is staged: let Spark remove them."""
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+@contextmanager
+def frees_shuffles(spark: SparkSession):
+    """Within, shuffle files of an ended job are removed: its result is staged. The caller's setting comes back after."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
-def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
-    """Number the rows of a stored table by scan position.
+def print_of(text: Column) -> Column:
+    """The first 128 bits of a text's SHA-256; a null text counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
-    The same scan gives the same numbers in every job of a session, so nulls
-    and repeats in ``doc_id`` do not matter. ``docs`` must be a table scan
-    (or a projection of one), not a shuffled result.
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """id, print, text, copies and first (none, doc_id) of each different text of ``docs`` (doc_id, text); staged.
+
+    Ids are written with the texts and read from there only, so they cannot
+    change with the number of executors. Copies are counted before the
+    shuffle, which bounds a large group of them by one row a map task.
     """
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    rows = docs.select(print_of(F.col("text")).alias("print"), F.coalesce("text", F.lit("")).alias("text"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("own"))
+    each = rows.groupBy("print").agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.min("own").alias("first"))
+    return staged(each.select(F.monotonically_increasing_id().alias("id"), "print", "text", "copies", "first"), "texts")
 
 
 def crc_mod(col: str, modulus: int):
@@ -80,21 +131,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class Powers:
-    """Growing tables of powers of an odd base and of its inverse, modulo 2**64."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up))
-            self.up, self.down = (np.cumprod(np.r_[U64(1), np.full(n - 1, b, U64)], dtype=U64) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-
-BYTE_POWERS, WORD_POWERS = Powers(0x9E3779B97F4A7C15), Powers(0xD6E8FEB86659FD93)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -109,36 +145,39 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)), at
 
 
-def _hash_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and start bytes of the words of ``data``; no word crosses an offset in ``breaks``."""
-    n = len(data)
-    word = ~IS_SPACE[data]
-    cut = np.zeros(n + 1, bool)
-    cut[breaks[breaks < n]] = True
-    cut[[0, n]] = True
-    before = np.r_[False, word[:-1]]
-    starts = np.flatnonzero(word & (~before | cut[:-1]))
-    after = np.r_[word[1:], False]
-    ends = np.flatnonzero(word & (~after | cut[1:])) + 1
-    up, down = BYTE_POWERS.to(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), starts
-
-
-def word_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of a string column and the n+1 word offsets of its rows."""
+    column = column.fill_null("").cast(pa.large_string())
+    lists = pc.ascii_split_whitespace(column)
+    words = lists.flatten()
+    at = lists.offsets.to_numpy(zero_copy_only=False)
+    at = at - at[0]
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty piece
+    return words.filter(pa.array(real)), np.r_[0, np.cumsum(real)][at]
+
+
+def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """xxh3 of each word's bytes; equal words of the block are found exactly and hashed once."""
+    coded = words.dictionary_encode()
+    unique = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], U64)
+    return unique[coded.indices.to_numpy(zero_copy_only=False)] if len(unique) else np.zeros(0, U64)
+
+
+def word_blocks(column: pa.Array, seed: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, last row + 1, word hashes, n+1 word offsets) over blocks of whole rows.
 
     A row larger than a block is hashed in pieces cut at white space.
     """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     data, at = text_buffers(column)
     rows, first = len(at) - 1, 0
     while first < rows:
         last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, "right")) - 1)
         lo, hi = int(at[first]), int(at[last])
         if hi - lo <= 2 * BLOCK_BYTES:
-            hashes, starts = _hash_block(data[lo:hi], at[first : last + 1] - lo)
-            offsets = np.searchsorted(starts, at[first : last + 1] - lo)
+            words, offsets = split_words(column.slice(first, last - first))
+            hashes = word_hashes(words, seed)
         else:
             parts, p = [], lo
             while p < hi:
@@ -148,7 +187,7 @@ def word_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
                     q = q + int(gap[0]) if len(gap) else min(hi, q + BLOCK_BYTES)
                     if len(gap):
                         break
-                parts.append(_hash_block(data[p:q], np.zeros(0, np.int64))[0])
+                parts.append(word_hashes(split_words(pa.array([data[p:q].tobytes().decode()]))[0], seed))
                 p = q
             hashes = np.concatenate(parts)
             offsets = np.array([0, len(hashes)])
@@ -156,23 +195,47 @@ def word_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         first = last
 
 
+_ODD = U64(0x9E3779B97F4A7C17)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, order counting; mixed at each level, so no sum of powers can cancel."""
+    return mix(a * _ODD + b + U64(1))
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k words, by start; runs may cross rows (see ``gram_valid``)."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    up, down = WORD_POWERS.to(len(words) + 1)
-    sums = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[:n] + U64(k))
-
-
-def span_hashes(words: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Hash of words[start:stop] for each pair of bounds."""
-    up, down = WORD_POWERS.to(len(words) + 1)
-    sums = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(U64))
+    out, done, part, width = None, 0, words, 1
+    while True:
+        if k // width % 2:
+            own = part[done : done + n]
+            out = own if out is None else paired(out, own)
+            done += width
+        if done == k:
+            return mix(out + U64(k))
+        part = paired(part[:-width], part[width:])
+        width *= 2
+
+
+def exact_runs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, and one for each run of five by start: equal for equal words and no others."""
+    coded = words.dictionary_encode()
+    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    base = max(2, len(coded.dictionary))
+    if len(ids) < 5:
+        return ids, np.zeros(0, np.int64)
+    if base**5 < 1 << 62:
+        n = len(ids) - 4
+        runs = np.zeros(n, np.int64)
+        for k in range(5):
+            runs = runs * base + ids[k : k + n]
+        return ids, runs
+    two = np.unique(ids[:-1] * base + ids[1:], return_inverse=True)[1]
+    four = np.unique(two[:-2] * (len(two) + 1) + two[2:], return_inverse=True)[1]
+    return ids, four[:-1] * base + ids[4:]
 
 
 def gram_valid(n_words: int, offsets: np.ndarray, k: int) -> np.ndarray:
