@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, BYTE_POWERS, mix, read_table, shared_dir
+from .common import BLOCK_BYTES, drop_staged, new_folder, read_table, staged
 
 MAGIC = b"S8B1"
 END_ID = 2
@@ -173,162 +174,154 @@ def read_shard(file) -> Iterator[tuple[int | None, np.ndarray]]:
         yield None if doc["null"] else int(doc["id"]), ids
 
 
-#: A non-ASCII character that is no letter or digit (it may be white space or a mark): such texts are encoded whole.
-_UNSURE = re.compile(r"[^\x00-\x7f\w]")
 _CACHE_PARTS = 1_000_000
 _JOINED = 1 << 14
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_ALNUM = np.array([chr(c).isalnum() and c < 128 or c >= 128 for c in range(256)])
+_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 _MARK = np.isin(np.arange(256), list(b",.;:!?*#$%&|)"))
 
 
-def part_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """First bytes of the parts of texts laid end to end; ``rows`` are the first bytes of the texts.
-
-    A part starts at white space after anything else, and at a mark after a
-    letter or digit: both are piece boundaries of the byte-level pattern in
-    any text (no piece holds white space after another character, none goes on
-    from a letter or digit to a mark), so parts encode alone as within the text.
+@lru_cache(maxsize=1)
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: ASCII white space; letters and digits; marks. Outside ASCII only those that Unicode 3.2 and
+    this Python's Unicode agree on, so that the pattern's engine, which is of a version between, must agree too."""
+    old, points = unicodedata.ucd_3_2_0, [chr(c) for c in range(0x110000)]
+    kinds = [(unicodedata.category(c)[0], old.category(c)[0]) for c in points]
+    word = np.array([a in "LN" and b in "LN" for a, b in kinds])
+    mark = np.array([a in "PS" and b in "PS" for a, b in kinds])
+    space = np.zeros(0x110000, bool)
+    space[:256], word[:128], mark[:128] = _SPACE, _ALNUM[:128], _MARK[:128]
+    return space, word, mark
+
+
+#: White space outside ASCII: a run of white space may go on across it.
+_WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+def part_starts(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """First characters of the parts of texts laid end to end; ``rows`` are the first characters of the texts.
+
+    ``points`` are bytes of ASCII or code points. A part starts at ASCII white
+    space after anything but white space, and at a mark after a letter or
+    digit: both are piece boundaries of the byte-level pattern in any text (no
+    piece holds white space after another character, none goes on from a
+    letter or digit to a mark), so parts encode alone as within the text.
     """
-    cut = np.zeros(len(data), bool)
-    cut[1:] = _SPACE[data[1:]] & ~_SPACE[data[:-1]] | _MARK[data[1:]] & _ALNUM[data[:-1]]
-    cut[rows[rows < len(data)]] = True
+    space, word, mark = (_SPACE, _ALNUM, _MARK) if points.dtype == np.uint8 else _kinds()
+    blank = space[points]
+    after = blank if points.dtype == np.uint8 else blank | np.isin(points, _WIDE_SPACE)
+    cut = np.zeros(len(points), bool)
+    cut[1:] = blank[1:] & ~after[:-1] | mark[points[1:]] & word[points[:-1]]
+    cut[rows[rows < len(points)]] = True
     return np.flatnonzero(cut)
 
 
-class PartTable:
-    """Hash of a part -> where its ids lie in one flat array, in two sorted runs of which the newer is small.
-
-    An entry also holds the part's length and first eight bytes, which a
-    lookup compares, so that a false match needs all three to agree.
-    """
-
-    def __init__(self):
-        self.ids = np.zeros(0, np.uint32)
-        self.runs = [np.zeros((5, 0), np.uint64), np.zeros((5, 0), np.uint64)]
-
-    def __len__(self) -> int:
-        return sum(r.shape[1] for r in self.runs)
-
-    def find(self, keys: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known, first id, ids) of each key."""
-        known = np.zeros(len(keys), bool)
-        first, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for run in self.runs:
-            if run.shape[1]:
-                at = np.minimum(np.searchsorted(run[0], keys), run.shape[1] - 1)
-                hit = (run[0][at] == keys) & (run[1][at] == sizes) & (run[2][at] == heads)
-                known |= hit
-                first[hit], count[hit] = run[3][at[hit]], run[4][at[hit]]
-        return known, first, count
-
-    def add(self, keys: np.ndarray, sizes: np.ndarray, heads: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        first = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, ids])
-        fresh = np.concatenate([self.runs[1], np.stack([keys, sizes, heads, first.astype(np.uint64), counts.astype(np.uint64)])], axis=1)
-        self.runs[1] = fresh[:, np.argsort(fresh[0], kind="stable")]
-        if self.runs[1].shape[1] * 4 > self.runs[0].shape[1]:
-            both = np.concatenate(self.runs, axis=1)
-            self.runs = [both[:, np.argsort(both[0], kind="stable")], np.zeros((5, 0), np.uint64)]
-
-
 class CachedEncoder:
     """The tokenizers library, asked once for each distinct part of the texts.
 
     New parts are encoded side by side in long strings, each after a provable
     boundary (a line feed where it has no white space of its own), and their
-    ids are told apart by the bytes of their tokens.
+    ids are told apart by the bytes of their tokens. Parts are looked up by
+    their own bytes. A text that holds an added token's string is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))  # one character stands for one byte
-        self.table = PartTable()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.first = self.count = np.zeros(0, np.int64)
 
     def _alone(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _encode_new(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order, ids, counts) of parts given by their bytes; ids and counts follow ``order``."""
-        head, tail = data[starts], data[starts + sizes - 1]
+    def _encode_new(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts, end to end, and how many each has."""
         # parts that end in white space, or start with a rarer one, are encoded alone
-        apart = _SPACE[tail] | _SPACE[head] & (head != 32) & (head != 10)
-        beside, alone = np.flatnonzero(~apart), np.flatnonzero(apart)
-        s, z = starts[beside], sizes[beside]
-        added = (~_SPACE[data[s]]).astype(np.int64)
-        ends = np.cumsum(z + added)
-        begin, before = ends - z, np.cumsum(z) - z
-        line = np.full(int(ends[-1]) if len(ends) else 0, 10, np.uint8)
-        step = np.arange(int(z.sum()))
-        line[np.repeat(begin - before, z) + step] = data[np.repeat(s - before, z) + step]
-        edges = np.unique(np.r_[0, ends[np.searchsorted(ends, np.arange(_JOINED, len(line), _JOINED))], len(line)]).tolist()
-        strings = [line[a:b].tobytes().decode() for a, b in zip(edges, edges[1:], strict=False)]
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(f.ids, np.uint32) for f in found)])
-        reach = np.cumsum(self.sizes[ids])
-        cuts = np.searchsorted(reach, ends) + 1
-        if len(ends) and (cuts[-1] != len(ids) or not np.array_equal(reach[cuts - 1], ends)):
-            raise AssertionError("parts did not end at token ends")
-        first = np.r_[0, cuts[:-1]][: len(cuts)]
-        keep = np.ones(len(ids), bool)
-        keep[first[added == 1]] = False  # the line feed put before
-        own = [self._alone(data[a : a + n].tobytes().decode()) for a, n in zip(starts[alone].tolist(), sizes[alone].tolist(), strict=True)]
-        counts = np.r_[cuts - first - added, np.fromiter(map(len, own), np.int64, len(own))]
-        return np.r_[beside, alone], np.concatenate([ids[keep], *own]), counts
+        apart = [p[-1] in b"\t\n\x0b\x0c\r " or p[0] in b"\t\x0b\x0c\r" or not p[0] < 128 for p in parts]
+        lines: list[bytearray] = []
+        begun: list[list[int]] = []
+        for part, own in zip(parts, apart, strict=True):
+            if own:
+                continue
+            if not lines or len(lines[-1]) > _JOINED:
+                lines.append(bytearray())
+                begun.append([])
+            if part[0] not in b" \n":
+                lines[-1] += b"\n"
+            begun[-1].append(len(lines[-1]))
+            lines[-1] += part
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in lines], add_special_tokens=False)
+        beside: list[np.ndarray] = []
+        for encoded, starts, line in zip(found, begun, lines, strict=True):
+            ids = np.array(encoded.ids, np.uint32)
+            reach = np.r_[0, np.cumsum(self.sizes[ids])]
+            a = np.searchsorted(reach, starts)
+            # the line feed put before a part ends the part before
+            ends = np.r_[[s - (line[s] not in b" \n") for s in starts[1:]], len(line)].astype(np.int64)
+            b = np.searchsorted(reach, ends)
+            if not (np.array_equal(reach[a], starts) and np.array_equal(reach[b], ends)):
+                raise AssertionError("parts did not end at token ends")
+            beside += [ids[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        rest = iter(beside)
+        out = [self._alone(p.decode()) if own else next(rest) for p, own in zip(parts, apart, strict=True)]
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.fromiter(map(len, out), np.int64, len(out))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        sure = []
+        kinds: tuple[list[int], list[int]] = ([], [])
         for k, text in enumerate(texts):
-            if _UNSURE.search(text):
+            if any(a in text for a in self.added):
                 out[k] = np.append(self._alone(text), np.uint32(END_ID))
             else:
-                sure.append(k)
-        raw = [texts[k].encode() for k in sure]
-        lo, held = 0, 0
-        for hi, piece in enumerate(raw, 1):
-            held += len(piece)
-            if held > 4 * BLOCK_BYTES or hi == len(raw):
-                for k, ids in zip(sure[lo:hi], self._encode_block(raw[lo:hi]), strict=True):
-                    out[k] = ids
-                lo, held = hi, 0
+                kinds[text.isascii()].append(k)
+        for plain, mine in enumerate(kinds):
+            lo, held = 0, 0
+            for hi, k in enumerate(mine, 1):
+                held += len(texts[k]) if plain else 2 * len(texts[k])
+                if held > 4 * BLOCK_BYTES or hi == len(mine):
+                    for j, ids in zip(mine[lo:hi], self._encode_block([texts[j] for j in mine[lo:hi]], bool(plain)), strict=True):
+                        out[j] = ids
+                    lo, held = hi, 0
         return out
 
-    def _encode_block(self, texts: list[bytes]) -> list[np.ndarray]:
-        whole = b"".join(texts)
-        data = np.frombuffer(whole, np.uint8)
+    def _encode_block(self, texts: list[str], plain: bool) -> list[np.ndarray]:
+        whole = "".join(texts)
+        data = whole.encode()
         rows = np.cumsum([0, *map(len, texts)])
-        starts = part_starts(data, rows[:-1])
-        stops = np.r_[starts[1:], len(data)]
-        up, down = BYTE_POWERS.to(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        sizes = (stops - starts).astype(np.uint64)
-        hashes = mix((sums[stops] - sums[starts]) * down[starts] + sizes)
-        keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        padded = np.r_[data, np.zeros(8, np.uint8)]
-        heads = padded[starts[at][:, None] + np.arange(8)].copy()
-        heads[np.arange(8) >= sizes[at].astype(np.int64)[:, None]] = 0
-        heads = heads.view(np.uint64).ravel()
-        known, first, count = self.table.find(keys, sizes[at], heads)
-        if len(self.table) > _CACHE_PARTS and not known.all():
-            self.table = PartTable()
-            known[:] = False
-        new = np.flatnonzero(~known)
-        if len(new):
-            order, ids, counts = self._encode_new(data, starts[at[new]], sizes[at[new]].astype(np.int64))
-            new = new[order]
-            self.table.add(keys[new], sizes[at[new]], heads[new], ids, counts)
-            known, first, count = self.table.find(keys, sizes[at], heads)
-        counts = count[inverse]
+        if plain:
+            starts = part_starts(np.frombuffer(data, np.uint8), rows[:-1])
+            at = np.r_[starts, len(data)]
+        else:
+            points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+            starts = part_starts(points, rows[:-1])
+            reach = np.r_[0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))]
+            at = reach[np.r_[starts, len(points)]]
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+        coded = column.dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        if len(self.slots) > _CACHE_PARTS:
+            self._forget()
+        new = [p for p in parts if p not in self.slots]
+        if new:
+            ids, counts = self._encode_new(new)
+            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
+            self.first = np.r_[self.first, len(self.ids) + np.cumsum(counts) - counts]
+            self.count = np.r_[self.count, counts]
+            self.ids = np.r_[self.ids, ids]
+        slot = np.fromiter(map(self.slots.__getitem__, parts), np.int64, len(parts))[coded.indices.to_numpy(zero_copy_only=False)] if parts else np.zeros(0, np.int64)
+        counts = self.count[slot]
         total = np.cumsum(counts)
-        ids = self.table.ids[np.repeat(first[inverse] - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)]
+        ids = self.ids[np.repeat(self.first[slot] - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)]
         cut = np.r_[0, total][np.searchsorted(starts, rows)].tolist()
         end = np.array([END_ID], np.uint32)
         return [np.concatenate([ids[x:y], end]) for x, y in zip(cut, cut[1:], strict=False)]
@@ -341,42 +334,61 @@ def encoder(path: str) -> CachedEncoder:
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    """The store of a folder that Spark has named with its scheme; Hadoop's names of S3 are one to it."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri) if "://" in uri else re.sub(r"^(file:)?/*", "file:///", uri))
+
+
+def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, n, crc, ids (u32 bytes, with the end id) and place (a fixed number) of every row; staged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer_path)
+        for batch in batches:
+            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                ids = coder.encode(part.column(1).to_pylist())
+                raw = [x.astype("<u4").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(map(zlib.crc32, raw), pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "crc", "ids"])
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, crc long, ids binary")
+    return staged(found.withColumn("place", F.monotonically_increasing_id()), "encoded")
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None) -> list:
-    """Encode ``docs`` in ascending doc_id order into shards of ``folder``; returns (shard, file, docs, ids) rows.
+    """Encode ``docs`` and write it in ascending doc_id order to shards of ``folder``; returns (shard, file, docs, ids) rows.
 
     Each task writes one shard under a name of its own attempt and reports it,
     so a retried task never mixes with its first try: readers open only
-    reported files. Null ids come first; equal ids are ordered by text; a null
-    text is empty and holds only the end id.
+    reported files. Texts of any length are encoded whole and once; what is
+    sorted is their ids. Null ids come first; rows of equal ids go by token
+    count, then checksum, then any order, so no id is bound to one shard; a
+    null text is empty and holds only the end id. Other columns are not read.
     """
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    ready = encoded(docs, path)
+    order = ["doc_id", "n", "crc", "place"]
+    ordered = ready.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}.s8b"
         store, base = open_store(folder)
-        coder = encoder(path)
         writer = None
         for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                if writer is None:
-                    store.create_dir(base, recursive=True)
-                    out = store.open_output_stream(f"{base}/{name}")
-                    writer = ShardWriter(out)
-                for doc_id, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
-                    writer.add(doc_id, ids)
+            if writer is None and batch.num_rows:
+                store.create_dir(base, recursive=True)
+                out = store.open_output_stream(f"{base}/{name}")
+                writer = ShardWriter(out)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                writer.add(doc_id, np.frombuffer(ids, "<u4"))
         if writer:
             total = writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "file": [name], "n_docs": [len(writer.docs)], "n_ids": [total]}, schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     # one row a shard: bounded by the number of tasks
-    return sorted(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_ids long").collect())
+    shards = sorted(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_ids long").collect())
+    drop_staged(ready)
+    return shards
 
 
 def read_shards(spark: SparkSession, folder: str, shards: list) -> DataFrame:
@@ -394,19 +406,23 @@ def read_shards(spark: SparkSession, folder: str, shards: list) -> DataFrame:
         for batch in batches:
             for file, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, base = open_store(folder)
-                rows: list[list] = [[], [], [], []]
                 with store.open_input_file(f"{base}/{file}") as opened:
+                    rows: list[tuple] = []
                     for doc_id, ids in read_shard(opened):
-                        for col, v in zip(rows, (doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
-                            col.append(v)
+                        rows.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=schema.names)
+                        if len(rows) == 10_000:
+                            yield _documents(rows, schema.names)
+                            rows = []
+                    yield _documents(rows, schema.names)
 
     return listed.mapInArrow(run, schema)
 
 
-def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
+def _documents(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=names)
 
-    folder = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+
+def op8_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "ids")
     return read_shards(spark, folder, write_shards(read_table(spark, sf_dir, "documents"), folder))
