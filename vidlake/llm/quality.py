@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import U64, gram_hashes, gram_valid, mix, read_table, text_buffers, word_blocks
+from .common import U64, exact_runs, gram_hashes, gram_valid, read_table, split_words, text_buffers, word_blocks
 from .toxicity import training_sample
 
 #: Labelled rows that the classifier is fitted on, at most (in expectation).
@@ -29,25 +29,22 @@ SYMBOLS = "#*$%&|<>"
 RUN = 5
 
 
-def repeat_words(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per row, the words inside RUN-word windows that the row holds twice or more."""
+def repeat_words(texts: pa.Array) -> np.ndarray:
+    """Per row, the words inside RUN-word windows that the row holds twice or more; windows are compared word for word."""
+    words, offsets = split_words(texts)
     rows = len(offsets) - 1
-    grams = gram_hashes(words, RUN)
-    if not len(grams):
-        return np.zeros(rows, np.int64)
-    owner = np.repeat(np.arange(rows), np.diff(offsets))
+    runs = exact_runs(words)[1]
     at = np.flatnonzero(gram_valid(len(words), offsets, RUN))
-    keys = grams[at] ^ mix(owner[at].astype(U64) + U64(1))
-    order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
+    owner = np.repeat(np.arange(rows), np.diff(offsets))
+    order = np.lexsort((runs[at], owner[at]))
+    same = (runs[at][order][1:] == runs[at][order][:-1]) & (owner[at][order][1:] == owner[at][order][:-1])
     twice = np.zeros(len(at), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same
     mark = np.zeros(len(words) + 1, np.int64)
     np.add.at(mark, at[twice], 1)
     np.add.at(mark, at[twice] + RUN, -1)
-    covered = np.cumsum(mark[:-1]) > 0
-    return np.bincount(owner[covered], minlength=rows)
+    return np.bincount(owner[np.cumsum(mark[:-1]) > 0], minlength=rows)
 
 
 def duplicate_lines(text: str) -> int:
@@ -191,7 +188,7 @@ def judge(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             for first, last, words, offsets, rows, found in feature_blocks(column):
                 texts = [t or "" for t in column.slice(first, last - first).to_pylist()]
                 n_words = np.diff(offsets)
-                repeated = repeat_words(words, offsets)
+                repeated = repeat_words(column.slice(first, last - first))
                 failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT * n_words)
                 p = model.probability(rows, found, last - first)
                 values = [
