@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vidlake.llm import bpe, chat, decontam, html_text, langid, neardup, quality, substrings, toxicity, wordpack
+from vidlake.llm import bpe, chat, common, decontam, html_text, langid, neardup, quality, substrings, toxicity, wordpack
 
 from . import brute
 
@@ -50,7 +50,9 @@ def test_near_duplicates_in_blocks(spark, documents, monkeypatch):
         for _ in range(rng.randrange(0, 4)):
             words[rng.randrange(80)] = rng.choice(WORDS)
         texts.append(" ".join(words))
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1200)
+    monkeypatch.setattr(neardup, "MEMBERS", 16)
+    monkeypatch.setattr(neardup, "SIDE", 8)
     found = by_id(neardup.near_duplicates(documents(texts), ["doc_id"]))
     assert {i: (r["class_id"], r["n_links"]) for i, r in found.items()} == dict(enumerate(brute.near(texts)))
 
@@ -84,6 +86,62 @@ def test_substring_dedup_branches(spark, documents, seed):
     assert [(found[i]["n_words"], found[i]["n_removed"], found[i]["kept_sha256"]) for i in range(len(texts))] == brute.substrings(texts)
 
 
+def test_substring_dedup_compares_words_and_not_hashes(spark, documents, monkeypatch):
+    rng = random.Random(11)
+    passage = rng.choices(WORDS, k=400)
+    texts = [" ".join(rng.choices(WORDS, k=30) + passage[rng.randrange(150) : 400 - rng.randrange(150)] + rng.choices(WORDS, k=20)) for _ in range(8)]
+    texts += [" ".join(passage[:200] + ["other"] + passage[201:]), " ".join(rng.choices(WORDS, k=300)), "q r s " * 60]
+    docs = documents(texts)
+    want = brute.substrings(texts)
+    strong = by_id(substrings.dedup(docs, ["doc_id"]))
+    assert [tuple(strong[i][k] for k in ("n_words", "n_removed", "kept_sha256")) for i in range(len(texts))] == want
+    seeds = []
+
+    def weak(texts, seed, real=substrings.claims_of):
+        seeds.append(seed)
+        claims = real(texts, seed)
+        if seed == 0:  # as a false match would: a claim on other words
+            claims = claims.withColumn("at", F.col("at") + F.when(F.col("id") == claims.agg(F.min("id")).first()[0], 1).otherwise(0))
+            claims.staged_at = "none"
+        return claims
+
+    monkeypatch.setattr(substrings, "claims_of", weak)
+    found = by_id(substrings.dedup(docs, ["doc_id"]))
+    assert [tuple(found[i][k] for k in ("n_words", "n_removed", "kept_sha256")) for i in range(len(texts))] == want
+    assert seeds == [0, 1]
+
+
+def test_paths_compact(spark):
+    rows = [(k, 3, 100 + k, 101 + k) for k in range(40)] + [(90, 2, 7, 8), (91, 2, 8, 7), (95, 1, 300, 301), (96, 1, 300, 302)]
+    found = {r["path"]: (r["unitig"], r["offset"]) for r in substrings.compacted(spark.createDataFrame(rows, "path long, size int, head long, tail long")).collect()}
+    chain = [found.get(k, (k, 0)) for k in range(40)]
+    assert all(3 * (k - u) == at for k, (u, at) in enumerate(chain)) and len({u for u, _ in chain}) < 6
+    assert 95 not in found and 96 not in found
+
+
+def test_rows_do_not_depend_on_how_scans_are_cut(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(WORDS, k=50)) for _ in range(40)] * 2
+    texts += [t + " tail" for t in texts[:10]]
+    docs = documents(texts)
+    want = by_id(substrings.dedup(docs, ["doc_id"])), by_id(neardup.near_duplicates(docs, ["doc_id"], mark_kept=False))
+    steps = []
+
+    def shaken(df, name, real=common.staged):
+        steps.append(name)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(1 + 7 * (len(steps) % 3)))
+        return real(df, name)
+
+    monkeypatch.setattr(substrings, "staged", shaken)
+    monkeypatch.setattr(neardup, "staged", shaken)
+    monkeypatch.setattr(common, "staged", shaken)
+    try:
+        assert (by_id(substrings.dedup(docs, ["doc_id"])), by_id(neardup.near_duplicates(docs, ["doc_id"], mark_kept=False))) == want
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert len(steps) > 10 and all(r["n_removed"] == r["n_words"] for i, r in want[0].items() if i < 80)
+
+
 def test_decontamination(spark, documents, stored):
     rng = random.Random(2)
     items = [(k, " ".join(rng.choices(WORDS, k=n))) for k, n in enumerate((30, 13, 5, 1, 14))] + [(9, None), (10, ""), (11, "?!"), (None, "w1 w2"), (12, "Café AU lait")]
@@ -115,12 +173,11 @@ def test_token_files(spark, documents, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = corpus(5) + [f"row {k} of many, in one batch" for k in range(2500)]
+    texts = corpus(5) + ["a<|endoftext|>b"] + [f"row {k} of many, in one batch" for k in range(2500)]
     folder = f"file://{tmp_path}/ids"
     shards = wordpack.write_shards(documents(texts, [*range(5, len(texts) + 4), None]), folder)
     rows = wordpack.read_shards(spark, folder, shards).orderBy("start").collect()
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     at = 0
     for row, (doc_id, text) in zip(rows, [(None, texts[-1]), *zip(range(5, 9999), texts[:-1], strict=False)], strict=True):
         ids = plain.encode(text or "", add_special_tokens=False).ids + [2]

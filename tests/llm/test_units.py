@@ -83,7 +83,7 @@ def test_damaged_shard_is_noticed():
         list(wordpack.read_shard(io.BytesIO(bytes(data))))
 
 
-SURE = st.text(alphabet=list("ab 's'relld\n\t\r\x0b\x1c .,!$1_-é中²"), max_size=80)
+SURE = st.text(alphabet=list("ab 's'relld\n\t\r\x0b\x1c .,!$1_-é中²«»“’—。，、\u0301\u3000\u2028ß٣"), max_size=80)
 
 
 @settings(max_examples=300, deadline=None)
@@ -91,8 +91,11 @@ SURE = st.text(alphabet=list("ab 's'relld\n\t\r\x0b\x1c .,!$1_-é中²"), max_si
 def test_cached_encoder_equals_library(texts):
     import public_tokenizers
 
+    from tokenizers import Tokenizer
+
     coder = wordpack.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    plain = coder.tokenizer
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [*texts, "a<|endoftext|>b", "“x”—y，z。 w"]
     got = coder.encode(texts)
     assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
@@ -125,26 +128,86 @@ def test_quality_counters(seed):
     rng = random.Random(seed)
     texts = ["".join(rng.choice(["a", "b", "c", " ", " ", "\n", "#", "é"]) for _ in range(rng.randrange(0, 200))) for _ in range(30)] + ["", " \n \n", "a " * 50]
     for first, last, words, offsets, _, _ in quality.feature_blocks(pa.array(texts)):
-        repeated = quality.repeat_words(words, offsets)
+        repeated = quality.repeat_words(pa.array(texts[first:last]))
         for k in range(first, last):
             n, chars, symbols, dup, rep, _ = brute.base_quality(texts[k])
             assert (int(np.diff(offsets)[k - first]), quality.duplicate_lines(texts[k]), int(repeated[k - first])) == (n, dup, rep)
 
 
-def test_prefix_reaches_target():
-    k = neardup.prefix_length()
-    assert 1 - (1 - 0.8**k) ** neardup.TREES >= neardup.TARGET > 1 - (1 - 0.8 ** (k + 1)) ** neardup.TREES
+def test_prefixes_are_shortened_by_what_is_found():
+    assert neardup.shortened({}, 8) == neardup.shortened({0.8: 50}, 8) == 6
+    assert neardup.shortened({0.99: 100}, 8) == 8
+    assert neardup.shortened({0.8: 10**6}, 8, target=0.9999999) < 6
+
+
+def test_recall_of_planted_pairs_just_above_the_threshold():
+    rng = np.random.default_rng(4)
+    n, size = 5000, 90
+    left = rng.integers(0, 2**63, (n, size)).astype(np.uint64)
+    right = left.copy()
+    for k in range(n):
+        own = rng.integers(8, 11)
+        right[k, :own] = rng.integers(0, 2**63, own).astype(np.uint64)
+    common_ = np.array([len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in zip(left, right, strict=True)])
+    assert 0.8 <= common_.min() and common_.max() <= 0.85
+    offsets = np.arange(n + 1) * size
+    a, b = (neardup.min_hashes(x.reshape(-1), offsets)[1] for x in (left, right))
+    prefix = neardup.shortened({0.8: n}, neardup.DEPTH)
+    found = (a[:, :, :prefix] == b[:, :, :prefix]).all(axis=2).any(axis=1)
+    assert found.mean() >= 0.999
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_linked_pairs_are_exact(seed):
     rng = np.random.default_rng(seed)
-    base = rng.integers(0, 2**63, 60).astype(np.uint64)
-    sets = [np.unique(np.where(rng.random(60) < rng.choice([0, 0.05, 0.1, 0.5]), rng.integers(0, 2**63, 60).astype(np.uint64), base)) for _ in range(25)]
-    want = {(a, b) for a in range(25) for b in range(a + 1, 25) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
-    assert {*zip(*(x.tolist() for x in neardup.linked_pairs(sets, np.arange(25), None)), strict=True)} == want
-    x, y = neardup.linked_pairs(sets, np.arange(12), np.arange(12, 25))
-    assert {*zip(x.tolist(), y.tolist(), strict=True)} == {(a, b) for a, b in want if a < 12 <= b}
+    base = rng.integers(0, 2**62, 60)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0, 0.05, 0.1, 0.5]), rng.integers(0, 2**62, 60), base)) for _ in range(25)] + [np.zeros(0, np.int64)]
+    want = [[5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)) > 0 for y in sets] for x in sets]
+    every = np.arange(len(sets))
+    assert np.array_equal(neardup.linked(sets, every, every), want)
+    assert np.array_equal(neardup.linked(sets, every[:12], every[12:]), np.array(want)[:12, 12:])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="abc \n", max_size=40), min_size=1, max_size=6))
+def test_exact_shingles(texts):
+    sets = neardup.exact_shingles(pa.array(texts))
+    plain = []
+    for text in texts:
+        w = brute.WORD.findall(text)
+        plain.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    for x, a in zip(sets, plain, strict=True):
+        for y, b in zip(sets, plain, strict=True):
+            assert (len(x), len(np.intersect1d(x, y))) == (len(a), len(a & b))
+
+
+def thue_morse(bits):
+    s = [0]
+    while len(s) < bits:
+        s += [1 - x for x in s]
+    return s[:bits]
+
+
+#: Words of equal value under any sum of powers of an odd base, modulo 2**64.
+TWINS = [("".join("ab"[b] for b in thue_morse(n)), "".join("ba"[b] for b in thue_morse(n))) for n in (1024, 2048)]
+
+
+@pytest.mark.parametrize("pair", TWINS)
+def test_twin_words_stay_apart(pair):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    one, two = pair
+    hashes = next(common.word_blocks(pa.array([f"{one} {two} {one}"])))[2]
+    assert hashes[0] == hashes[2] != hashes[1]
+    runs = common.gram_hashes(hashes[np.array(thue_morse(2048) + [1 - x for x in thue_morse(2048)])], 35)
+    assert len(np.unique(runs)) > 35
+    text = " ".join([one] * 5 + ["mid"] + [two] * 5)
+    assert quality.repeat_words(pa.array([text])).tolist() == [brute.base_quality(text)[4]] == [0]
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["xxxxxxxx" + one, "xxxxxxxx" + two]
+    coder = wordpack.CachedEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [g.tolist() for t in texts for g in coder.encode([t])] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
 def test_spans_point_into_the_original():
