@@ -3,9 +3,11 @@
 1. From a bounded, hash-chosen sample of labelled training rows, words and word
    beginnings that separate the classes are mined (document frequencies summed
    in Spark). 2. The most precise become voters: lexicon voters fire on a word,
-   pattern voters on a word beginning. 3. A generative model of the votes, a
-   tree-augmented naive Bayes fitted by EM, estimates each voter's accuracy and
-   its strongest correlation with another voter. 4. Its posteriors over the
+   pattern voters on a word's beginning or end or on a pattern of the text
+   (PATTERNS). 3. A generative model of the votes, a tree-augmented naive Bayes
+   fitted by EM, estimates each voter's accuracy, that of the training label as
+   one voter more, and each voter's strongest correlation with another one.
+   4. Its posteriors over the
    sample train a logistic regression on the mined features, which scores every
    whole text in Arrow batches.
 """
@@ -29,39 +31,45 @@ from .common import crc_mod, read_table
 SAMPLE_ROWS = 20_000
 FEATURES = 800
 VOTERS = 48
-#: How often a training label says 1 where the truth is 1, and where it is 0.
-LABEL_HIT, LABEL_FALSE = 0.95, 0.02
+#: Bounds of a training label's estimated reliability: how often it says 1 where the truth is 1, and where it is 0.
+LABEL_HIT, LABEL_FALSE = (0.6, 0.999), (0.001, 0.4)
 #: Voters that should speak for each toxic row of the sample, where there are as many.
 COVER = 3
 #: A voter's word or beginning is toxic at least this often, and is seen in this many toxic rows at least.
 PRECISION, SUPPORT = 0.8, 3
-PREFIXES = (4, 5, 6)
+#: Lengths of the word beginnings and ends that may vote.
+PREFIXES = SUFFIXES = (4, 5, 6)
 MODULUS = 5
 _WORD = re.compile(r"\w+")
+#: Patterns of the whole text that may vote, each under its own name.
+PATTERNS = {
+    "~masked": re.compile(r"\w[*#@$%]{2,}"),
+    "~stretched": re.compile(r"([^\W\d_])\1\1"),
+    "~bangs": re.compile(r"[!?]{3}"),
+    "~shouted": re.compile(r"(?:\b[A-Z]{3,}\b\W+){3}"),
+    "~at you": re.compile(r"\byou\s+\w+[!]", re.I),
+}
 
 
 def tokens(text: str | None) -> set[str]:
-    """Distinct lower-case words of a whole text, and ``^`` + the beginnings of longer ones."""
+    """Distinct lower-case words of a whole text, ``^`` + the beginnings and ``$`` + the ends of longer ones, and names of PATTERNS."""
     words = set(_WORD.findall((text or "").lower()))
-    out = set(words)
-    for word in words:
-        for n in PREFIXES:
-            if len(word) > n:
-                out.add("^" + word[:n])
-    return out
+    out = words | {"^" + w[:n] for n in PREFIXES for w in words if len(w) > n} | {"$" + w[-n:] for n in SUFFIXES for w in words if len(w) > n}
+    return out | {name for name, pattern in PATTERNS.items() if pattern.search(text or "")}
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, size: int) -> DataFrame:
     """doc_id, text, y of about ``size`` labelled rows at most, none of them held out.
 
-    Rows are chosen by a hash of their id; the chosen ids (bounded by ``size``) are broadcast.
+    Rows are chosen by a hash of their id; the chosen ids (bounded by ``size``)
+    are broadcast. A repeated id counts once: with its greatest label, and one of its texts.
     """
-    own = labels.where((crc_mod("doc_id", modulus) != 0) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    own = labels.where((crc_mod("doc_id", modulus) != 0) & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     total = own.count()
     if total > size:
         own = own.where(unit < size / total)
-    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"])
 
 
 def mine(sample: DataFrame, size: int = FEATURES) -> list[tuple[str, int, int]]:
@@ -98,8 +106,8 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> t
     """Posterior of label 1 for each row of 0/1 ``votes``, by EM from ``start``.
 
     ``start`` is the training label itself and stays in the model as one more
-    voter of fixed reliability (LABEL_HIT, LABEL_FALSE), which keeps EM from
-    splitting the rows by language instead of by label.
+    voter, which keeps EM from splitting the rows by language instead of by
+    label; its reliability is estimated as the others' are, within bounds.
     First voters are independent given the label; then the maximum spanning
     tree of their conditional mutual information gives each at most one parent,
     and EM goes on with P(vote | label, parent's vote). The report holds each
@@ -110,9 +118,14 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> t
     prior = float(np.clip(start.mean(), 1e-3, 1 - 1e-3))
     parent = np.full(m, -1)
 
+    def reliability() -> tuple[float, float]:
+        said = start >= 0.5
+        hit, false = (q @ said + 0.5) / (q.sum() + 1), ((1 - q) @ said + 0.5) / ((1 - q).sum() + 1)
+        return float(np.clip(hit, *LABEL_HIT)), float(np.clip(false, *LABEL_FALSE))
+
     def posterior() -> np.ndarray:
-        said = np.where(start >= 0.5, np.log(LABEL_HIT / LABEL_FALSE), np.log((1 - LABEL_HIT) / (1 - LABEL_FALSE)))
-        score = said + np.log(prior / (1 - prior))
+        hit, false = reliability()
+        score = np.where(start >= 0.5, np.log(hit / false), np.log((1 - hit) / (1 - false))) + np.log(prior / (1 - prior))
         for j in range(m):
             v, u = votes[:, j], votes[:, parent[j]] if parent[j] >= 0 else np.zeros(n, np.int8)
             for given in (0, 1):
@@ -147,24 +160,27 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> t
     for _ in range(rounds):
         q = posterior()
     sure = q >= 0.5
-    return q, {"accuracy": [(float((votes[:, j] == sure).mean())) for j in range(m)], "correlated": pairs}
+    return q, {"accuracy": [(float((votes[:, j] == sure).mean())) for j in range(m)], "correlated": pairs, "label": reliability()}
 
 
 @dataclass
 class Model:
     words: dict[str, float] = field(default_factory=dict)
     starts: dict[str, float] = field(default_factory=dict)
+    ends: dict[str, float] = field(default_factory=dict)
+    patterns: dict[str, float] = field(default_factory=dict)
     bias: float = -8.0
     report: dict = field(default_factory=dict)
 
     def score(self, text: str | None) -> float:
         """Probability of label 1; an empty text scores by the bias alone."""
-        total = self.bias
         words = set(_WORD.findall((text or "").lower()))
-        total += sum(map(self.words.__getitem__, self.words.keys() & words))
+        total = self.bias + sum(map(self.words.__getitem__, self.words.keys() & words))
         if self.starts:
-            heads = {w[:n] for n in PREFIXES for w in words if len(w) > n}
-            total += sum(map(self.starts.__getitem__, self.starts.keys() & heads))
+            total += sum(map(self.starts.__getitem__, self.starts.keys() & {w[:n] for n in PREFIXES for w in words if len(w) > n}))
+        if self.ends:
+            total += sum(map(self.ends.__getitem__, self.ends.keys() & {w[-n:] for n in SUFFIXES for w in words if len(w) > n}))
+        total += sum(v for name, v in self.patterns.items() if PATTERNS[name].search(text or ""))
         return float(1 / (1 + np.exp(-max(-40.0, min(40.0, total)))))
 
 
@@ -238,11 +254,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     report["voters"] = [mined[k][0] for k in voters]
     w, b = train_linear(rows, q, len(mined))
     named = {t: float(w[k]) for t, k in number.items()}
-    return Model({t: v for t, v in named.items() if t[0] != "^"}, {t[1:]: v for t, v in named.items() if t[0] == "^"}, b, report)
+    parts = [{t[1:]: v for t, v in named.items() if t[0] == mark} for mark in "^$"]
+    return Model({t: v for t, v in named.items() if t[0] not in "^$~"}, *parts, {t: v for t, v in named.items() if t[0] == "~"}, b, report)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns, score and predicted of every row's whole text; narrow."""
+    """``keep`` columns, score and predicted of every row's whole text, however long; narrow.
+
+    ``keep`` must not name an added column. A score of just 0.5 is predicted 1;
+    repeated rows score alike; null texts are empty.
+    """
+    if {"score", "predicted"} & set(keep):
+        raise ValueError("keep names a column that is added")
     source = docs.select(*keep, docs["text"].alias("_text"))
     schema = T.StructType(source.schema.fields[:-1] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
