@@ -1,7 +1,14 @@
 """op9 keeps the whole article."""
 
+import random
+import time
+
+import pytest
+
 from vidlake.llm import html_text
 
+from . import plain_html
+
 
 def test_a_second_template_keeps_its_article(spark, stored):
     long = "".join(f"<p>Sentence {k} of this page, long enough to be an article.</p>" for k in range(4))
@@ -54,3 +61,46 @@ def test_short_boilerplate_goes_outside_an_article():
     page = f"<div class='c'><div id='search'>find</div><p>{words(100)}</p><p class='copyright'>me</p><h2 id='legal'>Legal</h2><div class='ad'>buy <span>now</div><p>{words(60)}</p></div>"
     assert html_text.extract(page, None) == f"{words(100)}\nLegal\n{words(60)}"
     assert html_text.extract(f"<article><div class='ad'>open<p>{words(300)}</p></article>", None) == f"open\n{words(300)}"
+
+
+TAGS = ["div", "div class='box3'", "div class='ad'", "div id=related", "section", "article", "main", "p", "p class=notice", "b", "a href='/x'", "span", "ul", "li", "table", "tr", "td", "h2", "nav", "aside", "blockquote", "pre", "br", "figure", "td class='x y7'"]
+
+
+def random_page(rng):
+    out, open_ = ["<body>"], []
+    for _ in range(rng.randrange(5, 120)):
+        turn = rng.random()
+        if turn < 0.45:
+            tag = rng.choice(TAGS)
+            out.append(f"<{tag}>")
+            open_.append(tag.split()[0])
+        elif turn < 0.7 and open_:
+            out.append(f"</{open_.pop() if rng.random() < 0.8 else rng.choice(open_)}>")
+        else:
+            out.append(rng.choice(["word ", "longer piece of text &amp; more. ", "x" * 90, "y " * 130, "<!-- no -->", "&lt;", " \n "]))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_equal_to_the_plain_version(seed):
+    rng = random.Random(seed)
+    for _ in range(40):
+        page, other = random_page(rng), random_page(rng)
+        found, plain = html_text.blocks(page), plain_html.blocks(page)
+        assert found.texts == [b.text for b in plain] and found.links == [b.links for b in plain]
+        assert [found.path(n) for n in found.nodes] == ["/".join(b.path) for b in plain]
+        assert html_text.best_container(found) == plain_html.best_container(plain)
+        winner = plain_html.best_container(plain_html.blocks(other))[0]
+        for path in (None, winner, "body", "body/div.box"):
+            assert html_text.extract(page, path) == plain_html.extract(page, path)
+
+
+@pytest.mark.parametrize("page", ["<a " * 40_000, "<div>x" * 20_000, "<b><p>x" * 17_000, "<div class=ad>x" * 8_000, '<a "><b x="1">' * 9_000, "<![CDATA[" * 13_000, "<" * 120_000, "<p " + "class =   " * 12_000 + ">x"])
+def test_time_grows_with_the_length(page):
+    def took(text):
+        began = time.process_time()
+        html_text.extract(text, "div/div")
+        return time.process_time() - began
+
+    took(page[:1000])
+    assert took(page * 4) <= 10 * took(page) + 0.5

@@ -261,7 +261,7 @@ def test_html(spark, stored):
     pages = stored(rows, "page_id long, url string, html string")
     found = {r["page_id"]: r for r in html_text.extract_pages(pages, ["page_id", "url"]).collect()}
     assert found[0]["text"] == "\n".join(f"Para {k} of the story with enough words." for k in range(5))
-    assert found[4]["text"] == "short"
+    assert found[4]["text"] == "\n".join(["other text that is long enough to win here, and more of it."] * 3)
     assert (found[5]["text"], found[6]["text"], found[7]["text"]) == ("", "", "a\nb")
     assert all(r["n_chars"] == len(r["text"]) for r in found.values())
 
