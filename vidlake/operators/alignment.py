@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the filter.
 GATE, PROCESS, MEASURE, SIGMA0, STREAK, JUMP = 3.0, 1.0, 4.0, 100.0, 3, 50.0
@@ -21,7 +24,7 @@ class State:
 
 
 def step(state: State, candidates: list[tuple[int, float]]) -> State:
-    """One frame in plain Python, for the streaming form; ``candidates`` in rank order."""
+    """One frame, for batch and streaming form; ``candidates`` in rank order."""
     raw = float(max(candidates, key=lambda c: c[1])[0])
     top = max(c[1] for c in candidates)
     scale = top if top > 0 else 1.0
@@ -40,54 +43,57 @@ def step(state: State, candidates: list[tuple[int, float]]) -> State:
     return replace(state, pos=pred + gain * gap, vel=state.vel + gain * gap, sigma=(1 - gain) * sp, streak=streak)
 
 
-def _first_best(candidates: Column) -> Column:
-    """The candidate of the highest score, the first on ties."""
-    return F.aggregate(candidates, F.element_at(candidates, 1), lambda best, c: F.when(c.combined > best.combined, c).otherwise(best))
-
-
-def _next(state: Column, frame: Column) -> Column:
-    """The same step as an expression: state struct(pos, vel, sigma, streak)."""
-    c = frame.c
-    raw = _first_best(c)
-    at = raw.ref_pos.cast("double")
-    top = raw.combined
-    scale = F.when(top > 0, top).otherwise(1.0)
-    pred, sp = state.pos + state.vel, state.sigma + PROCESS
-    gate = GATE * F.sqrt(sp)
-    off = F.abs(at - pred)
-    streak = F.when(off <= gate, 0).otherwise(state.streak + 1)
-    restart = state.pos.isNull() | (off > JUMP * gate) | (streak >= STREAK)
-    inside = F.filter(c, lambda x: F.abs(x.ref_pos.cast("double") - pred) <= gate)
-    best = F.when(F.size(inside) > 0, F.aggregate(inside, F.get(inside, F.lit(0)), lambda b, x: F.when(x.combined > b.combined, x).otherwise(b))).otherwise(raw)
-    gain = sp / (sp + MEASURE / F.greatest(best.combined / scale, F.lit(1e-3)))
-    gap = best.ref_pos.cast("double") - pred
-    fresh = {"pos": at, "vel": F.lit(0.0), "sigma": F.lit(SIGMA0), "streak": F.lit(0)}
-    moved = {"pos": pred + gain * gap, "vel": state.vel + gain * gap, "sigma": (1 - gain) * sp, "streak": streak}
-    return F.struct(*[F.when(restart, fresh[k]).otherwise(moved[k]).alias(k) for k in fresh])
+_MOVED = [("pos", T.DoubleType()), ("vel", T.DoubleType()), ("sigma", T.DoubleType()), ("streak", T.IntegerType()), ("raw_pos", T.LongType()), ("raw_score", T.DoubleType()), ("max_pos", T.LongType())]
 
 
 def align(candidates: DataFrame, key: str = "leak_id", radius: int = RADIUS) -> DataFrame:
     """The filter over every stream, in frame order: one row a leaked frame.
 
-    ``candidates`` has (key, leak_frame, rank, ref_pos, combined). State lives
-    in an expression fold over one stream's frames, so streams are independent
-    tasks; a stream's candidates (k a frame) are one array. A new key is a reset.
+    ``candidates`` has (key, leak_frame, rank, ref_pos, combined). Streams are
+    dealt to tasks and sorted there; a task steps through its rows and holds
+    one frame's candidates and one state, so time is linear in a stream and
+    memory does not grow with it. A new key is a reset.
     """
     if radius <= 0:
         raise ValueError("radius must be positive")
-    frames = candidates.groupBy(key, "leak_frame").agg(F.array_sort(F.collect_list(F.struct("rank", "ref_pos", F.col("combined").cast("double").alias("combined")))).alias("c"))
-    streams = frames.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("leak_frame", "c"))).alias("f"))
-    record = lambda f, s, c: F.struct(f.alias("leak_frame"), s.pos.alias("pos"), s.vel.alias("vel"), s.sigma.alias("sigma"), s.streak.alias("streak"), _first_best(c).ref_pos.alias("raw_pos"), _first_best(c).combined.alias("raw_score"), F.array_max(F.transform(c, lambda x: x.ref_pos)).alias("max_pos"))
-    nothing = F.struct(F.lit(None).cast("double").alias("pos"), F.lit(0.0).alias("vel"), F.lit(SIGMA0).alias("sigma"), F.lit(0).alias("streak"))
-    empty = F.slice(F.transform("f", lambda f: record(f.leak_frame, nothing, f.c)), 1, 0)
-
-    def fold(state: Column, frame: Column) -> Column:
-        moved = _next(state.s, frame)
-        return F.struct(moved.alias("s"), F.concat(state.out, F.array(record(frame.leak_frame, moved, frame.c))).alias("out"))
-
-    out = F.aggregate("f", F.struct(nothing.alias("s"), empty.alias("out")), fold, lambda s: s.out)
-    rows = streams.select(key, F.explode(out).alias("o")).select(key, "o.*")
-    return rows.select(
+    order = [key, "leak_frame", "rank", "ref_pos", "combined"]
+    rows = candidates.select(key, "leak_frame", "rank", F.col("ref_pos").cast("long").alias("ref_pos"), F.col("combined").cast("double").alias("combined"))
+    ordered = rows.repartition(key).sortWithinPartitions(*order)
+    schema = T.StructType(ordered.schema.fields[:2] + [T.StructField(n, t) for n, t in _MOVED])
+    kinds = {T.DoubleType(): pa.float64(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, frame, out = None, State(), [], []
+
+        def done() -> None:
+            nonlocal state
+            state = step(state, frame)
+            raw = max(frame, key=lambda c: c[1])
+            out.append((*at, state.pos, state.vel, state.sigma, state.streak, *raw, max(c[0] for c in frame)))
+            frame.clear()
+
+        def batch_of(types: list) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in schema.names]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+
+        types: list = []
+        for batch in batches:
+            types = [batch.schema.field(0).type, batch.schema.field(1).type, *(kinds[t] for _, t in _MOVED)]
+            for stream, number, ref_pos, combined in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+                if frame and at != (stream, number):
+                    done()
+                if at is None or at[0] != stream:
+                    state = State()
+                at = (stream, number)
+                frame.append((ref_pos, combined))
+            yield batch_of(types)
+        if frame:
+            done()
+            yield batch_of(types)
+
+    moved = ordered.mapInArrow(run, schema)
+    return moved.select(
         key,
         "leak_frame",
         F.bround("pos", 0).cast("int").alias("estimated_original_frame"),

@@ -10,6 +10,7 @@ from ..functions.vectors import l2_normalised
 from ..operators import alignment as al
 from ..operators import evaluation as ev
 from ..operators import search as se
+from ..operators.homography import fitted
 from . import fixtures as fx
 from .registry import query
 
@@ -212,6 +213,25 @@ def v3_verify_frame(spark, sf_dir):
     return ev.pair_score(fx.evidence(_smooth_top(spark, sf_dir)[2])).groupBy("cond", "q").agg(F.sum("inliers").alias("inliers"))
 
 
+_MATCHED = """WITH m AS (SELECT e.vec_id AS pair_id, k.k, CAST(k.k % 6 * 90 + e.vec_id % 7 AS DOUBLE) AS x0, CAST(k.k // 6 * 70 + k.k % 6 * 3 AS DOUBLE) AS y0, CASE WHEN e.vec_id % 9 = 8 THEN 9 ELSE 36 END AS n FROM embeddings e CROSS JOIN range(36) k(k)),
+kept AS (SELECT *, k % 5 = 4 AS wild FROM m WHERE k < n)
+SELECT pair_id, count(*) AS num_matches, CASE WHEN count(*) < 10 THEN 0 ELSE count(*) FILTER (WHERE NOT wild) END AS num_inliers, count(*) >= 10 AS homography_ok, 0.0 AS worst FROM kept GROUP BY pair_id"""
+
+
+@query("pair_id:i num_matches:i num_inliers:i homography_ok:b worst:d", _MATCHED)
+def v5_fitted_homography(spark, sf_dir):
+    """Points under a known projection, one in five of them displaced; nine matches are too few for a model."""
+    e = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"))
+    k, pair = F.col("k"), F.col("pair_id")
+    m = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(35)))).where(k < F.when(pair % 9 == 8, 9).otherwise(36))
+    m = m.withColumns({"x0": (k % 6 * 90 + pair % 7).cast("double"), "y0": (F.floor(k / 6) * 70 + k % 6 * 3).cast("double")})
+    w = 1.0 + F.col("x0") * 0.0001 * (pair % 4) + F.col("y0") * 0.00005
+    wild = F.when(k % 5 == 4, 60.0 + k * k % 37).otherwise(0.0)
+    m = m.withColumns({"x1": (F.col("x0") * 1.02 + F.col("y0") * 0.03 + 4.0) / w + wild, "y1": (F.col("x0") * -0.02 + F.col("y0") * 0.97 + 6.0) / w - wild * F.when(k % 2 == 0, 1).otherwise(-1)})
+    found = fitted(m, ["pair_id"])
+    return found.withColumn("worst", F.round(F.coalesce(F.array_max("inlier_errs"), F.lit(0.0)), 4))
+
+
 _POINTS = """
 points AS (SELECT l_orderkey % 40 AS pair_id, CAST(l_partkey % 640 AS DOUBLE) AS x0, CAST(l_suppkey * 37 % 480 AS DOUBLE) AS y0, l_linenumber % 3 <> 0 AS inlier, l_orderkey, l_linenumber, l_partkey FROM lineitem),
 moved AS (SELECT *, 0.0001 * x0 + 0.00005 * y0 + 1.0 AS w, 1.01 * x0 + 0.02 * y0 + 3.0 AS a, -0.01 * x0 + 0.99 * y0 + 5.0 AS b FROM points),
