@@ -311,3 +311,46 @@ def test_sinks(spark, tmp_path):
 def test_filter_stays_sane(frames):
     for state in simulate(frames):
         assert 0 < state.sigma <= al.SIGMA0 + al.PROCESS and state.streak < al.STREAK
+
+
+def test_a_long_stream_is_one_pass(spark):
+    n = 20_000
+    c = spark.range(n).selectExpr("1L AS leak_id", "id AS leak_frame", "1 AS rank", "id + 7 AS ref_pos", "1.0D AS combined")
+    found = al.align(c.unionByName(c.selectExpr("leak_id", "leak_frame", "2 AS rank", "ref_pos + 900 AS ref_pos", "0.5D AS combined")))
+    rows = found.orderBy("leak_frame").collect()
+    assert len(rows) == n and all(abs(r["pos"] - r["leak_frame"] - 7) < 1 for r in rows) and rows[5]["max_pos"] == 912
+
+
+def test_homography_is_found_among_wild_matches():
+    import numpy as np
+
+    from vidlake.operators import homography
+
+    rng = np.random.default_rng(3)
+    true = np.array([[1.02, 0.03, 4.0], [-0.02, 0.97, 6.0], [1e-4, 5e-5, 1.0]])
+    a = rng.uniform(0, 500, (120, 2))
+    at = np.column_stack([a, np.ones(120)]) @ true.T
+    b = at[:, :2] / at[:, 2:] + rng.normal(0, 0.3, (120, 2))
+    b[80:] += rng.uniform(40, 200, (40, 2))
+    h, inside = homography.fit(a, b)
+    assert inside[:80].all() and not inside[80:].any() and np.abs(h - true).max() < 0.5
+    assert np.median(homography.errors(h, a, b)[inside]) < 1
+    assert homography.fit(a[:3], b[:3])[0] is None
+    flat = np.zeros((12, 2))
+    assert homography.fit(flat, flat)[1].sum() in (0, 12)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 8])
+def test_pixelation_samples_the_middle_of_a_block(spark, n):
+    import numpy as np
+
+    from vidlake.operators import pixels
+
+    plane = np.random.default_rng(n).integers(0, 256, (2 * n, 3 * n)).astype(float)
+    rows = [(0, y, x, float(plane[y, x])) for y in range(2 * n) for x in range(3 * n)]
+    found = {(r["y"], r["x"]): r["v"] for r in pixels.pixelated(spark.createDataFrame(rows, "frame_no int, y int, x int, v double"), ["frame_no"], n).collect()}
+    low, high = (n - 1) // 2, n // 2
+    for (y, x), v in found.items():
+        top, left = y // n * n, x // n * n
+        middle = plane[top + low : top + high + 1, left + low : left + high + 1]
+        assert v == np.floor(middle.mean() + 0.5)

@@ -180,8 +180,12 @@ def detect(pixels: DataFrame, keys: list[str], n: int, weights: dict[str, float]
 
 
 def pixelated(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Every whole n x n block becomes its rounded mean; other pixels stay."""
-    mean = F.avg("v").over(Window.partitionBy(*keys, F.floor(F.col("y") / n), F.floor(F.col("x") / n)))
+    """Every n x n block becomes the value that linear resampling takes at its centre.
+
+    That is the rounded mean of the four middle pixels, or for odd n the middle one.
+    """
+    middle = [F.pmod(F.floor(F.col(c)), F.lit(n)).isin((n - 1) // 2, n // 2) for c in ("y", "x")]
+    mean = F.avg(F.when(middle[0] & middle[1], F.col("v"))).over(Window.partitionBy(*keys, F.floor(F.col("y") / n), F.floor(F.col("x") / n)))
     return pixels.withColumn("v", F.floor(mean + 0.5).cast("double"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -143,15 +141,3 @@ def build_index(name: str):
     if name not in INDEXES:
         raise ValueError(f"unknown index {name!r}; have {sorted(INDEXES)}")
     return INDEXES[name]
-
-
-def batches_of(vectors: Iterator[np.ndarray], size: int = 32) -> Iterator[np.ndarray]:
-    """Bounded batches for encoders that take a few frames at a time."""
-    held: list[np.ndarray] = []
-    for vector in vectors:
-        held.append(vector)
-        if len(held) == size:
-            yield np.stack(held)
-            held = []
-    if held:
-        yield np.stack(held)

@@ -152,7 +152,7 @@ def frame_list(spark: SparkSession, frames: int, side: int = 64) -> DataFrame:
 
 
 def half_pixelated(pixels: DataFrame, n: int, side: int = 64) -> DataFrame:
-    """Left half plane as n x n block means, the right one untouched; ``half`` marks them."""
+    """Left half plane pixelated in n x n blocks, the right one untouched; ``half`` marks them."""
     from ..operators.pixels import pixelated
 
     flat = pixelated(pixels, ["frame_no"], n).withColumnRenamed("v", "w")
@@ -162,6 +162,7 @@ def half_pixelated(pixels: DataFrame, n: int, side: int = 64) -> DataFrame:
 
 
 def half_pixelated_sql(n: int, side: int = 64) -> str:
+    centre = f"{(n - 1) // 2}, {n // 2}"
     return f"""
-flat AS (SELECT frame_no, y, x, v, floor(avg(v) OVER (PARTITION BY frame_no, y // {n}, x // {n}) + 0.5) AS w FROM pixels),
+flat AS (SELECT frame_no, y, x, v, floor(avg(CASE WHEN y % {n} IN ({centre}) AND x % {n} IN ({centre}) THEN v END) OVER (PARTITION BY frame_no, y // {n}, x // {n}) + 0.5) AS w FROM pixels),
 halves AS (SELECT frame_no, CASE WHEN x < {side // 2} THEN 0 ELSE 1 END AS half, y, CASE WHEN x < {side // 2} THEN x ELSE x - {side // 2} END AS x, CASE WHEN x < {side // 2} THEN w ELSE v END AS v FROM flat)"""

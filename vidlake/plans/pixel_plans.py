@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ramp
@@ -179,10 +182,10 @@ def p7_block_size(spark, sf_dir):
     return px.block_size(_halves(spark), KEYS, (2, 4, 8, 16))
 
 
-@query("n_true:i frame_no:i half:i block_size:i", "\nUNION ALL ".join(f"SELECT {n} AS n_true, frame_no, half, block_size FROM ({_estimate_sql(f'WITH {fx.planes_sql()}, {fx.half_pixelated_sql(n)}')}) e{n}" for n in (2, 4, 8)))
+@query("n_true:i frame_no:i half:i block_size:i", "\nUNION ALL ".join(f"SELECT {n} AS n_true, frame_no, half, block_size FROM ({_estimate_sql(f'WITH {fx.planes_sql()}, {fx.half_pixelated_sql(n)}')}) e{n}" for n in (2, 4, 8, 16)))
 def p18_check_block_size(spark, sf_dir):
-    parts = [px.block_size(_halves(spark, n), KEYS, (2, 4, 8, 16)).withColumn("n_true", F.lit(n)) for n in (2, 4, 8)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [px.block_size(_halves(spark, n), KEYS, (2, 4, 8, 16)).withColumn("n_true", F.lit(n)) for n in (2, 4, 8, 16)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _var_sql(n: int, name: str) -> str:

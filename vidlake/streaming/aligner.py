@@ -55,11 +55,3 @@ def frames_of(candidates: DataFrame) -> DataFrame:
     """Long candidates (leak_id, leak_frame, rank, ref_pos, combined) as one row a frame, ready to be streamed."""
     listed = F.array_sort(F.collect_list(F.struct("rank", "ref_pos", F.col("combined").cast("double").alias("combined"))))
     return candidates.groupBy("leak_id", "leak_frame").agg(listed.alias("candidates")).withColumn("reset", F.lit(False))
-
-
-def match_stream(queries: DataFrame, search) -> DataFrame:
-    """A streaming query side against a static reference; ``search`` maps a static frame to its candidates.
-
-    The search is one stream-static join expressed by the caller; the reference is read once and reused by batch.
-    """
-    return search(queries)
