@@ -174,45 +174,59 @@ def read_shard(file) -> Iterator[tuple[int | None, np.ndarray]]:
         yield None if doc["null"] else int(doc["id"]), ids
 
 
-_CACHE_PARTS = 1_000_000
+_CACHE_PARTS = 500_000
 _JOINED = 1 << 14
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
-_MARK = np.isin(np.arange(256), list(b",.;:!?*#$%&|)"))
+#: Kinds of characters: ASCII white space, wider white space, letters and digits, marks.
+_BLANK, _WIDE, _WORD, _MARK = 1, 2, 3, 4
+#: Marks of ASCII; an apostrophe is none, as it may begin a contraction.
+_MARKS = ",.;:!?*#$%&|)"
+#: White space outside ASCII (fixed by Unicode): a run of white space may go on across it.
+_WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_ENDS_BLANK = (*"\t\n\x0b\x0c\r ", *map(chr, _WIDE_SPACE))
+_BLANK_BYTES = tuple(c.encode() for c in _ENDS_BLANK)
+_ODD_STARTS = tuple(c.encode() for c in _ENDS_BLANK if c not in " \n")
 
 
 @lru_cache(maxsize=1)
-def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: ASCII white space; letters and digits; marks. Outside ASCII only those that Unicode 3.2 and
-    this Python's Unicode agree on, so that the pattern's engine, which is of a version between, must agree too."""
-    old, points = unicodedata.ucd_3_2_0, [chr(c) for c in range(0x110000)]
-    kinds = [(unicodedata.category(c)[0], old.category(c)[0]) for c in points]
-    word = np.array([a in "LN" and b in "LN" for a, b in kinds])
-    mark = np.array([a in "PS" and b in "PS" for a, b in kinds])
-    space = np.zeros(0x110000, bool)
-    space[:256], word[:128], mark[:128] = _SPACE, _ALNUM[:128], _MARK[:128]
-    return space, word, mark
-
-
-#: White space outside ASCII: a run of white space may go on across it.
-_WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+def _kinds() -> np.ndarray:
+    """Kinds by code point, up to the last of four-byte characters, which have none.
+
+    Outside ASCII, letters, digits and marks are those that Unicode 3.2 and
+    this Python's Unicode agree on, so that the pattern's engine, which is of a
+    version between, must agree too.
+    """
+    out = np.zeros(0x10001, np.uint8)
+    for c in range(0x80, 0x10000):
+        new, old = unicodedata.category(chr(c))[0], unicodedata.ucd_3_2_0.category(chr(c))[0]
+        out[c] = _WORD if new in "LN" and old in "LN" else _MARK if new in "PS" and old in "PS" else 0
+    out[_WIDE_SPACE] = _WIDE
+    out[[ord(c) for c in "\t\n\x0b\x0c\r "]] = _BLANK
+    out[[c for c in range(0x80) if chr(c).isalnum()]] = _WORD
+    out[list(map(ord, _MARKS))] = _MARK
+    return out
 
 
-def part_starts(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """First characters of the parts of texts laid end to end; ``rows`` are the first characters of the texts.
+def part_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """First bytes of the parts of texts laid end to end; ``rows`` are the first bytes of the texts.
 
-    ``points`` are bytes of ASCII or code points. A part starts at ASCII white
-    space after anything but white space, and at a mark after a letter or
-    digit: both are piece boundaries of the byte-level pattern in any text (no
-    piece holds white space after another character, none goes on from a
-    letter or digit to a mark), so parts encode alone as within the text.
+    A part starts at ASCII white space after anything but white space, and at a
+    mark after a letter or digit: both are piece boundaries of the byte-level
+    pattern in any text (no piece holds white space after another character,
+    none goes on from a letter or digit to a mark), so parts encode alone as
+    within the text.
     """
-    space, word, mark = (_SPACE, _ALNUM, _MARK) if points.dtype == np.uint8 else _kinds()
-    blank = space[points]
-    after = blank if points.dtype == np.uint8 else blank | np.isin(points, _WIDE_SPACE)
-    cut = np.zeros(len(points), bool)
-    cut[1:] = blank[1:] & ~after[:-1] | mark[points[1:]] & word[points[:-1]]
-    cut[rows[rows < len(points)]] = True
+    kinds = _kinds()
+    first = np.where(data < 0x80, kinds[:256][data], 0).astype(np.uint8)
+    last = first.copy()
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        b = [np.r_[data, np.zeros(3, np.uint8)][lead + k].astype(np.int64) for k in range(3)]
+        size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+        point = np.where(size == 2, (b[0] & 0x1F) << 6 | b[1] & 0x3F, np.where(size == 3, (b[0] & 0xF) << 12 | (b[1] & 0x3F) << 6 | b[2] & 0x3F, 0x10000))
+        first[lead] = last[lead + size - 1] = kinds[point]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (first[1:] == _BLANK) & (last[:-1] != _BLANK) & (last[:-1] != _WIDE) | (first[1:] == _MARK) & (last[:-1] == _WORD)
+    cut[rows[rows < len(data)]] = True
     return np.flatnonzero(cut)
 
 
@@ -246,7 +260,7 @@ class CachedEncoder:
     def _encode_new(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the parts, end to end, and how many each has."""
         # parts that end in white space, or start with a rarer one, are encoded alone
-        apart = [p[-1] in b"\t\n\x0b\x0c\r " or p[0] in b"\t\x0b\x0c\r" or not p[0] < 128 for p in parts]
+        apart = [p.endswith(_BLANK_BYTES) or p.startswith(_ODD_STARTS) for p in parts]
         lines: list[bytearray] = []
         begun: list[list[int]] = []
         for part, own in zip(parts, apart, strict=True):
@@ -278,34 +292,27 @@ class CachedEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        kinds: tuple[list[int], list[int]] = ([], [])
+        mine: list[int] = []
         for k, text in enumerate(texts):
             if any(a in text for a in self.added):
                 out[k] = np.append(self._alone(text), np.uint32(END_ID))
             else:
-                kinds[text.isascii()].append(k)
-        for plain, mine in enumerate(kinds):
-            lo, held = 0, 0
-            for hi, k in enumerate(mine, 1):
-                held += len(texts[k]) if plain else 2 * len(texts[k])
-                if held > 4 * BLOCK_BYTES or hi == len(mine):
-                    for j, ids in zip(mine[lo:hi], self._encode_block([texts[j] for j in mine[lo:hi]], bool(plain)), strict=True):
-                        out[j] = ids
-                    lo, held = hi, 0
+                mine.append(k)
+        raw = [texts[k].encode() for k in mine]
+        lo, held = 0, 0
+        for hi, piece in enumerate(raw, 1):
+            held += len(piece)
+            if held > 4 * BLOCK_BYTES or hi == len(raw):
+                for k, ids in zip(mine[lo:hi], self._encode_block(raw[lo:hi]), strict=True):
+                    out[k] = ids
+                lo, held = hi, 0
         return out
 
-    def _encode_block(self, texts: list[str], plain: bool) -> list[np.ndarray]:
-        whole = "".join(texts)
-        data = whole.encode()
+    def _encode_block(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = b"".join(texts)
         rows = np.cumsum([0, *map(len, texts)])
-        if plain:
-            starts = part_starts(np.frombuffer(data, np.uint8), rows[:-1])
-            at = np.r_[starts, len(data)]
-        else:
-            points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-            starts = part_starts(points, rows[:-1])
-            reach = np.r_[0, np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))]
-            at = reach[np.r_[starts, len(points)]]
+        starts = part_starts(np.frombuffer(data, np.uint8), rows[:-1])
+        at = np.r_[starts, len(data)]
         column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
         coded = column.dictionary_encode()
         parts = coded.dictionary.to_pylist()
@@ -339,15 +346,16 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n, crc, ids (u32 bytes, with the end id) and place (a fixed number) of every row; staged."""
+    """doc_id, n, crc, ids (with the end id; two bytes each where all fit, else four) and place (a fixed number) of every row; staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 ids = coder.encode(part.column(1).to_pylist())
-                raw = [x.astype("<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(map(zlib.crc32, raw), pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "crc", "ids"])
+                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+                raw = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(crc, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "crc", "ids"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, crc long, ids binary")
     return staged(found.withColumn("place", F.monotonically_increasing_id()), "encoded")
@@ -366,7 +374,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     ready = encoded(docs, path)
     order = ["doc_id", "n", "crc", "place"]
-    ordered = ready.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    ordered = ready.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -378,8 +386,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
                 store.create_dir(base, recursive=True)
                 out = store.open_output_stream(f"{base}/{name}")
                 writer = ShardWriter(out)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                writer.add(doc_id, np.frombuffer(ids, "<u4"))
+            for doc_id, ids, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                writer.add(doc_id, np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype(np.uint32))
         if writer:
             total = writer.close()
             out.close()
