@@ -258,36 +258,23 @@ class CachedEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _encode_new(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the parts, end to end, and how many each has."""
-        # parts that end in white space, or start with a rarer one, are encoded alone
-        apart = [p.endswith(_BLANK_BYTES) or p.startswith(_ODD_STARTS) for p in parts]
-        lines: list[bytearray] = []
-        begun: list[list[int]] = []
-        for part, own in zip(parts, apart, strict=True):
-            if own:
-                continue
-            if not lines or len(lines[-1]) > _JOINED:
-                lines.append(bytearray())
-                begun.append([])
-            if part[0] not in b" \n":
-                lines[-1] += b"\n"
-            begun[-1].append(len(lines[-1]))
-            lines[-1] += part
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in lines], add_special_tokens=False)
-        beside: list[np.ndarray] = []
-        for encoded, starts, line in zip(found, begun, lines, strict=True):
-            ids = np.array(encoded.ids, np.uint32)
-            reach = np.r_[0, np.cumsum(self.sizes[ids])]
-            a = np.searchsorted(reach, starts)
-            # the line feed put before a part ends the part before
-            ends = np.r_[[s - (line[s] not in b" \n") for s in starts[1:]], len(line)].astype(np.int64)
-            b = np.searchsorted(reach, ends)
-            if not (np.array_equal(reach[a], starts) and np.array_equal(reach[b], ends)):
-                raise AssertionError("parts did not end at token ends")
-            beside += [ids[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        rest = iter(beside)
-        out = [self._alone(p.decode()) if own else next(rest) for p, own in zip(parts, apart, strict=True)]
-        return np.concatenate([np.zeros(0, np.uint32), *out]), np.fromiter(map(len, out), np.int64, len(out))
+        """The ids of parts that neither end in white space nor start with a rarer one, end to end, and how many each has."""
+        before = [b"" if p[0] in b" \n" else b"\n" for p in parts]
+        line = b"".join([x for both in zip(before, parts, strict=True) for x in both])
+        sizes, added = (np.fromiter(map(len, x), np.int64, len(parts)) for x in (parts, before))
+        ends = np.cumsum(sizes + added)
+        begin = ends - sizes
+        edges = np.unique(np.r_[0, ends[np.searchsorted(ends, np.arange(_JOINED, len(line), _JOINED))], len(line)]).tolist()
+        found = self.tokenizer.encode_batch_fast([line[x:y].decode() for x, y in zip(edges, edges[1:], strict=False)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(f.ids, np.uint32) for f in found)])
+        reach = np.r_[0, np.cumsum(self.sizes[ids])]
+        first, stop = np.searchsorted(reach, begin), np.searchsorted(reach, ends)
+        feeds = first[added == 1] - 1
+        if not (np.array_equal(reach[first], begin) and np.array_equal(reach[stop], ends) and np.array_equal(reach[feeds], begin[added == 1] - 1)):
+            raise AssertionError("parts did not end at token ends")
+        keep = np.ones(len(ids), bool)
+        keep[feeds] = False
+        return ids[keep], stop - first
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with the end id."""
@@ -302,7 +289,7 @@ class CachedEncoder:
         lo, held = 0, 0
         for hi, piece in enumerate(raw, 1):
             held += len(piece)
-            if held > 4 * BLOCK_BYTES or hi == len(raw):
+            if held > 16 * BLOCK_BYTES or hi == len(raw):
                 for k, ids in zip(mine[lo:hi], self._encode_block(raw[lo:hi]), strict=True):
                     out[k] = ids
                 lo, held = hi, 0
@@ -318,14 +305,21 @@ class CachedEncoder:
         parts = coded.dictionary.to_pylist()
         if len(self.slots) > _CACHE_PARTS:
             self._forget()
-        new = [p for p in parts if p not in self.slots]
-        if new:
-            ids, counts = self._encode_new(new)
+        held = list(map(self.slots.get, parts))
+        if None in held:
+            new = [p for p, k in zip(parts, held, strict=True) if k is None]
+            apart = {p for p in new if p.endswith(_BLANK_BYTES) or p.startswith(_ODD_STARTS)}
+            ids, counts = self._encode_new([p for p in new if p not in apart])
+            own = [self._alone(p.decode()) for p in new if p in apart]
+            counts = np.r_[counts, np.fromiter(map(len, own), np.int64, len(own))]
+            ids = np.concatenate([ids, *own])
+            new = [p for p in new if p not in apart] + [p for p in new if p in apart]
             self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
             self.first = np.r_[self.first, len(self.ids) + np.cumsum(counts) - counts]
             self.count = np.r_[self.count, counts]
             self.ids = np.r_[self.ids, ids]
-        slot = np.fromiter(map(self.slots.__getitem__, parts), np.int64, len(parts))[coded.indices.to_numpy(zero_copy_only=False)] if parts else np.zeros(0, np.int64)
+            held = list(map(self.slots.__getitem__, parts))
+        slot = np.array(held, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
         counts = self.count[slot]
         total = np.cumsum(counts)
         ids = self.ids[np.repeat(self.first[slot] - (total - counts), counts) + np.arange(int(total[-1]) if len(total) else 0)]
@@ -351,7 +345,7 @@ def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
         for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+            for part in (batch.slice(k, 2048) for k in range(0, batch.num_rows, 2048)):
                 ids = coder.encode(part.column(1).to_pylist())
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
                 raw = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
