@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet to the shared folder and reads back as the next stage's
 docs. All stages but the last return the columns of ``documents``.
+
+In every stage: null texts count as empty and pass (no score, word or token);
+repeated rows of one text are one class, of which one row stays; a null doc_id
+is carried along; ties go as the operator's docstring says; texts of any
+length are one row and used whole; an empty table gives an empty one of the
+same columns; further columns of ``docs`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,7 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read_table(spark, sf_dir, "documents")
+    docs, before = common.read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = common.staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_staged(*before)
+        before = [docs]
     return docs
