@@ -74,7 +74,7 @@ def _remove_all() -> None:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     folder = new_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     out = df.sparkSession.read.schema(df.schema).parquet(folder)
     out.staged_at = folder
     return out
