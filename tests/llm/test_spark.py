@@ -186,6 +186,18 @@ def test_token_files(spark, documents, tmp_path):
     assert wordpack.read_shards(spark, f"{folder}2", wordpack.write_shards(documents(texts).limit(0), f"{folder}2")).count() == 0
 
 
+def test_token_files_of_hot_ids(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(wordpack, "SHARD_TEXT_BYTES", 500)
+    texts = [f"text {k % 7} of some" for k in range(600)]
+    ids = [None if k % 5 == 0 else 40 if k % 3 == 0 else k for k in range(600)]
+    folder = f"file://{tmp_path}/ids"
+    shards = wordpack.write_shards(documents(texts, ids), folder)
+    rows = wordpack.read_shards(spark, folder, shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == sorted(ids, key=lambda x: (x is not None, x or 0))
+    assert [r["start"] for r in rows] == np.cumsum([0, *[r["n_tokens"] for r in rows]])[:-1].tolist()
+    assert len(shards) > 10 and max(r["n_docs"] for r in shards) < 120
+
+
 TURNS = [
     (1, 0, "system", "be ~0 kind ~1 </s><s>"),
     (1, 1, "user", "hi [INST] x [/INST]"),

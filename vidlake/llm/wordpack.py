@@ -27,11 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCK_BYTES, drop_staged, new_folder, read_table, staged
+from .common import BLOCK_BYTES, new_folder, read_table
 
 MAGIC = b"S8B1"
 END_ID = 2
 BLOCK_IDS = 1 << 15
+#: Bytes of text in a shard, as far as MAX_SHARDS of them hold the table.
+SHARD_TEXT_BYTES = 32 << 20
+MAX_SHARDS = 20_000
+_LEAST = -(1 << 63)
 #: Selector -> (ids in a word, bits of each): the published Simple-8b table, fixed values in order.
 SELECTORS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 LIMIT = 1 << 60
@@ -339,20 +343,42 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri) if "://" in uri else re.sub(r"^(file:)?/*", "file:///", uri))
 
 
-def encoded(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n, crc, ids (with the end id; two bytes each where all fit, else four) and place (a fixed number) of every row; staged."""
+def shard_bounds(docs: DataFrame) -> np.ndarray:
+    """The doc_ids at which shards end, from a sample of about 100 ids a shard; a null id counts as the least long."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
+    n = min(max(-(-(size["bytes"] or 0) // SHARD_TEXT_BYTES), 1), MAX_SHARDS)
+    if n == 1:
+        return np.zeros(0, np.int64)
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("doc_id"))
+    # at most about 100 ids a shard, 2 million in all
+    drawn = keys.sample(min(1.0, 100 * n / size["n"]), seed=17).toArrow().column(0).to_numpy()
+    return np.sort(drawn)[np.arange(1, n) * len(drawn) // n] if len(drawn) else np.zeros(0, np.int64)
+
+
+def encoded(docs: DataFrame, tokenizer_path: str, bounds: np.ndarray) -> DataFrame:
+    """shard, doc_id, n, crc and ids (with the end id; two bytes each where all fit, else four) of every row.
+
+    A row whose id lies at one bound or more goes to any of the shards that
+    touch there, dealt by its place in its task, so one id held by any share
+    of the rows fills as many shards as it needs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer_path)
+        place = TaskContext.get().partitionId()
         for batch in batches:
             for part in (batch.slice(k, 2048) for k in range(0, batch.num_rows, 2048)):
                 ids = coder.encode(part.column(1).to_pylist())
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
                 raw = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(crc, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "n", "crc", "ids"])
+                at = part.column(0).fill_null(_LEAST).to_numpy()
+                low, high = np.searchsorted(bounds, at, "left"), np.searchsorted(bounds, at, "right")
+                shard = low + (place + np.arange(len(at))) % (high - low + 1)
+                place += len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(crc, pa.int64()), pa.array(raw, pa.binary())], names=["shard", "doc_id", "n", "crc", "ids"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, crc long, ids binary")
-    return staged(found.withColumn("place", F.monotonically_increasing_id()), "encoded")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "shard int, doc_id long, n long, crc long, ids binary")
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None) -> list:
@@ -361,14 +387,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
     Each task writes one shard under a name of its own attempt and reports it,
     so a retried task never mixes with its first try: readers open only
     reported files. Texts of any length are encoded whole and once; what is
-    sorted is their ids. Null ids come first; rows of equal ids go by token
-    count, then checksum, then any order, so no id is bound to one shard; a
-    null text is empty and holds only the end id. Other columns are not read.
+    sorted is their ids. Null ids come first, level with the least long; rows
+    of equal ids go in any order, by token count and checksum inside a shard,
+    so no id is bound to one shard; a null text is empty and holds only the
+    end id. Other columns are not read. ``docs`` is a stored table: a retried
+    task must see its rows in the same order.
     """
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
-    ready = encoded(docs, path)
-    order = ["doc_id", "n", "crc", "place"]
-    ordered = ready.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids", "n")
+    bounds = shard_bounds(docs)
+    dealt = encoded(docs, path, bounds).repartitionById(len(bounds) + 1, "shard")
+    ordered = dealt.sortWithinPartitions("doc_id", "n", "crc").select("doc_id", "ids", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -387,10 +415,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str | None = None
             out.close()
             yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "file": [name], "n_docs": [len(writer.docs)], "n_ids": [total]}, schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    # one row a shard: bounded by the number of tasks
-    shards = sorted(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_ids long").collect())
-    drop_staged(ready)
-    return shards
+    # one row a shard: bounded by MAX_SHARDS
+    return sorted(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_ids long").collect())
 
 
 def read_shards(spark: SparkSession, folder: str, shards: list) -> DataFrame:
