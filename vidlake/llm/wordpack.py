@@ -33,7 +33,7 @@ MAGIC = b"S8B1"
 END_ID = 2
 BLOCK_IDS = 1 << 15
 #: Bytes of text in a shard, as far as MAX_SHARDS of them hold the table.
-SHARD_TEXT_BYTES = 32 << 20
+SHARD_TEXT_BYTES = 16 << 20
 MAX_SHARDS = 20_000
 _LEAST = -(1 << 63)
 #: Selector -> (ids in a word, bits of each): the published Simple-8b table, fixed values in order.
