@@ -40,8 +40,9 @@ def photometric(b: Column, g: Column, r: Column, y: Column, x: Column, width: in
     out = []
     for value, gain in ((b, cfg["wb_b"]), (g, cfg["wb_g"]), (r, cfg["wb_r"])):
         v = F.pow(F.least(F.lit(1.0), F.greatest(F.lit(0.0), value / 255.0)), cfg["gamma"]) * cfg["exposure"] * gain
-        v = ((v - 0.5) * cfg["contrast"] + 0.5) * shade
-        out.append(F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), v * 255.0))).cast("int"))
+        if cfg["contrast"] != 1.0:  # at 1.0 the detour would lose the last bit, and truncation a whole step
+            v = (v - 0.5) * cfg["contrast"] + 0.5
+        out.append(F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), v * shade * 255.0))).cast("int"))
     return out
 
 

@@ -1,4 +1,4 @@
-"""Whole-plane image operations that need arrays, in Arrow batches (G11 resampling, D-geo, D-warp, D-opt, P14).
+"""Whole-plane image operations that need arrays, in Arrow batches (G11 resampling, G12, D-geo to D-codec, T10, P14).
 
 A frame row is one unit of work: nothing is grouped, so frames spread over
 tasks and memory is one plane at a time. Randomness comes from a seed by
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.providers import blur_kernel, mirrored
 
@@ -96,30 +97,114 @@ def _filtered(plane: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return sum(kernel[i, j] * padded[i : i + h, j : j + w] for i in range(kernel.shape[0]) for j in range(kernel.shape[1]) if kernel[i, j])
 
 
-def apply_optics(plane: np.ndarray, cfg: dict, rng: np.random.Generator) -> np.ndarray:
-    """D-opt: Gaussian blur, motion blur along a random direction, down- and upsampling, noise."""
-    out = plane.astype(float)
+def _bytes(plane: np.ndarray) -> np.ndarray:
+    """Rounded to whole values of 0 to 255."""
+    return np.clip(np.rint(plane), 0, 255)
+
+
+def resized(plane: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear at pixel centres, the border repeated, rounded; a plane of that size stays as it is."""
+    if plane.shape == (height, width):
+        return plane
+    y = (np.arange(height) + 0.5) * plane.shape[0] / height - 0.5
+    x = (np.arange(width) + 0.5) * plane.shape[1] / width - 0.5
+    return _bytes(sampled(plane, np.tile(x, height), np.repeat(y, width), None)).reshape(height, width)
+
+
+def apply_photometric(planes: np.ndarray, gains: tuple[float, ...], cfg: dict) -> np.ndarray:
+    """D-photo on (channel, y, x): gamma, exposure, a gain a channel, contrast, vignette; truncated.
+
+    In single precision, where every 8-bit value divided and multiplied by 255 comes back whole.
+    """
+    height, width = planes.shape[1:]
+    v = np.clip(planes.astype(np.float32) / 255, 0, 1) ** cfg["gamma"] * cfg["exposure"] * np.reshape(gains, (-1, 1, 1)).astype(np.float32)
+    yy, xx = np.mgrid[0:height, 0:width]
+    radius = np.hypot(2 * xx / width - 1, 2 * yy / height - 1) / np.sqrt(2)
+    if cfg["contrast"] != 1.0:
+        v = (v - 0.5) * cfg["contrast"] + 0.5
+    v = v * (1 - cfg["vignette"] * np.minimum(radius, 1) ** 2).astype(np.float32)
+    return np.floor(np.clip(v * 255, 0, 255)).astype(float)
+
+
+def apply_moire(planes: np.ndarray, amplitude: float, theta: float, frequency: float) -> np.ndarray:
+    """D-moire: two gratings multiplied in; truncated."""
+    yy, xx = np.mgrid[0 : planes.shape[1], 0 : planes.shape[2]]
+    along, across = xx * np.cos(theta) + yy * np.sin(theta), yy * np.cos(theta) - xx * np.sin(theta)
+    beat = np.sin(2 * np.pi * frequency * along) * np.sin(2 * np.pi * 0.97 * frequency * across)
+    return np.floor(np.clip(planes * (1 + amplitude * beat), 0, 255))
+
+
+def motion_kernel(n: int, degrees: float) -> np.ndarray:
+    """A line of ``n`` taps through the middle row, turned about the middle, of sum 1."""
+    line = np.zeros((n, n))
+    line[n // 2] = 1.0 / n
+    middle, turn = (n - 1) / 2, np.deg2rad(degrees)
+    yy, xx = np.mgrid[0:n, 0:n] - middle
+    out = sampled(line, (xx * np.cos(turn) - yy * np.sin(turn) + middle).ravel(), (xx * np.sin(turn) + yy * np.cos(turn) + middle).ravel(), 0.0).reshape(n, n)
+    return out / out.sum() if out.sum() > 0 else line
+
+
+def apply_optics(planes: np.ndarray, cfg: dict, rng: np.random.Generator) -> np.ndarray:
+    """D-opt on (channel, y, x): Gaussian blur, motion blur along a random direction, down- and upsampling, noise; 8 bits after each. One plane may come as (y, x)."""
+    if planes.ndim == 2:
+        return apply_optics(planes[None], cfg, rng)[0]
+    kernels = []
     if cfg["blur_sigma"]:
         n = int(2 * round(3 * cfg["blur_sigma"]) + 1)
         taps = np.exp(-((np.arange(n) - n // 2) ** 2) / (2 * cfg["blur_sigma"] ** 2))
-        out = _filtered(out, np.outer(taps, taps) / taps.sum() ** 2)
-    n = int(cfg["motion_blur_px"])
-    if n > 1:
-        n |= 1
-        theta = np.deg2rad(rng.uniform(0, 180))
-        kernel = np.zeros((n, n))
-        for t in np.linspace(-(n // 2), n // 2, 4 * n):
-            kernel[int(round(n // 2 + t * np.sin(theta))), int(round(n // 2 + t * np.cos(theta)))] = 1.0
-        out = _filtered(out, kernel / kernel.sum())
+        kernels.append(np.outer(taps, taps) / taps.sum() ** 2)
+    if cfg["motion_blur_px"] > 1:
+        kernels.append(motion_kernel(int(cfg["motion_blur_px"]), rng.uniform(0, 180)))
+    out = planes
+    for kernel in kernels:
+        out = np.stack([_bytes(_filtered(p, kernel)) for p in out])
     if cfg["resample"] != 1.0:
-        h, w = out.shape
-        for size in ((max(1, int(h * cfg["resample"])), max(1, int(w * cfg["resample"]))), (h, w)):
-            y = (np.arange(size[0]) + 0.5) * out.shape[0] / size[0] - 0.5
-            x = (np.arange(size[1]) + 0.5) * out.shape[1] / size[1] - 0.5
-            out = sampled(out, np.tile(x, size[0]), np.repeat(y, size[1]), None).reshape(size)
+        height, width = planes.shape[1:]
+        small = max(1, int(height * cfg["resample"])), max(1, int(width * cfg["resample"]))
+        out = np.stack([resized(resized(p, *small), height, width) for p in out])
     if cfg["noise_sigma"]:
-        out = out + rng.normal(0, cfg["noise_sigma"], out.shape)
-    return np.floor(np.clip(out, 0, 255))
+        out = np.floor(np.clip(out + rng.normal(0, cfg["noise_sigma"], out.shape), 0, 255))
+    return out
+
+
+#: The example quantisation tables of the JPEG standard (Annex K), luma and chroma, row by row.
+JPEG_LUMA = """16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62
+18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99"""
+JPEG_CHROMA = """17 18 24 47 99 99 99 99 18 21 26 66 99 99 99 99 24 26 56 99 99 99 99 99 47 66 99 99 99 99 99 99
+99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99"""
+
+
+def _quantised_blocks(plane: np.ndarray, table: str, quality: int) -> np.ndarray:
+    """The plane after its 8 x 8 cosine coefficients are rounded to steps of the table at ``quality``."""
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    steps = np.clip(np.floor((np.array(table.split(), float).reshape(8, 8) * scale + 50) / 100), 1, 255)
+    k = np.arange(8)
+    basis = np.cos(np.pi * np.outer(k, 2 * k + 1) / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None]
+    height, width = plane.shape
+    whole = np.pad(plane, ((0, -height % 8), (0, -width % 8)), "edge") - 128
+    blocks = whole.reshape(whole.shape[0] // 8, 8, whole.shape[1] // 8, 8).swapaxes(1, 2)
+    kept = np.rint(basis @ blocks @ basis.T / steps) * steps
+    back = (basis.T @ kept @ basis).swapaxes(1, 2).reshape(whole.shape)
+    return _bytes(back + 128)[:height, :width]
+
+
+def apply_codec(planes: np.ndarray, quality: int) -> np.ndarray:
+    """D-codec: what JPEG of this quality loses (entropy coding loses nothing); three planes are B, G, R with halved chroma, one is luma."""
+    if quality >= 100:
+        return planes
+    if len(planes) == 1:
+        return _quantised_blocks(planes[0], JPEG_LUMA, quality)[None]
+    b, g, r = planes
+    y = 0.299 * r + 0.587 * g + 0.114 * b
+    height, width = y.shape
+    seen = _quantised_blocks(_bytes(y), JPEG_LUMA, quality)
+    chroma = []
+    for c, reach in ((b, 1.772), (r, 1.402)):
+        even = np.pad(_bytes((c - y) / reach + 128), ((0, height % 2), (0, width % 2)), "edge")
+        small = even.reshape(even.shape[0] // 2, 2, even.shape[1] // 2, 2).mean((1, 3))
+        chroma.append(resized(_quantised_blocks(_bytes(small), JPEG_CHROMA, quality), *even.shape)[:height, :width] - 128)
+    blue, red = seen + 1.772 * chroma[0], seen + 1.402 * chroma[1]
+    return _bytes(np.stack([blue, (seen - 0.299 * red - 0.114 * blue) / 0.587, red]))
 
 
 def spectrum2d(plane: np.ndarray) -> np.ndarray:
@@ -127,34 +212,76 @@ def spectrum2d(plane: np.ndarray) -> np.ndarray:
     return np.log1p(np.fft.fftshift(np.abs(np.fft.fft2(plane - plane.mean()))))
 
 
-def on_planes(frames: DataFrame, change: Callable[[str, int, np.ndarray], np.ndarray]) -> DataFrame:
-    """A frame table with ``change(video_id, frame_no, plane)`` as its luma; size may change."""
+def on_planes(frames: DataFrame, change: Callable[[str, int, np.ndarray], np.ndarray], columns: tuple[str, ...] = ("y",)) -> DataFrame:
+    """A frame table with ``change(video_id, frame_no, planes)``, planes being (channel, y, x) of ``columns``; size may change."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(k, 32) for k in range(0, whole.num_rows, 32)):
                 rows = batch.to_pylist()
-                out = [change(r["video_id"], r["frame_no"], np.frombuffer(r["y"], np.uint8).reshape(r["height"], r["width"])) for r in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([o.shape[0] for o in out], pa.int32()), pa.array([o.shape[1] for o in out], pa.int32()), pa.array([np.clip(o, 0, 255).astype(np.uint8).tobytes() for o in out], pa.binary())],
-                    names=["video_id", "frame_no", "height", "width", "y"],
-                )
+                out = [change(r["video_id"], r["frame_no"], np.stack([np.frombuffer(r[c], np.uint8).reshape(r["height"], r["width"]) for c in columns]).astype(float)) for r in rows]
+                sizes = [pa.array([o.shape[k] for o in out], pa.int32()) for k in (1, 2)]
+                coded = [pa.array([np.clip(o[k], 0, 255).astype(np.uint8).tobytes() for o in out], pa.binary()) for k in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sizes, *coded], names=["video_id", "frame_no", "height", "width", *columns])
 
-    return frames.select("video_id", "frame_no", "height", "width", "y").mapInArrow(run, "video_id string, frame_no int, height int, width int, y binary")
+    kinds = ", ".join(f"{c} binary" for c in columns)
+    return frames.select("video_id", "frame_no", "height", "width", *columns).mapInArrow(run, f"video_id string, frame_no int, height int, width int, {kinds}")
 
 
-def simulate(frames: DataFrame, cfg: dict, seed: int = 0, out_size: tuple[int, int] | None = None) -> DataFrame:
-    """Capture of every frame: the session's view is one draw by video, shake and noise one by frame.
+def simulate(frames: DataFrame, cfg: dict, seed: int = 0, out_size: tuple[int, int] | None = None, columns: tuple[str, ...] = ("y",)) -> DataFrame:
+    """T10, capture of every frame: geometry, photometric, moire, optics, codec, in this order.
 
-    The photometric and moire steps are column expressions (``operators.degrade``); JPEG is an external codec.
+    ``columns`` are luma alone or blue, green and red. The session's view is
+    one draw by video; shake, moire, motion and noise are draws by frame. Luma
+    alone takes the gain of a grey pixel.
     """
+    gains = (cfg["wb_b"], cfg["wb_g"], cfg["wb_r"])
+    if len(columns) == 1:
+        gains = (0.114 * gains[0] + 0.587 * gains[1] + 0.299 * gains[2],)
 
-    def change(video: str, frame: int, plane: np.ndarray) -> np.ndarray:
-        h = session_homography(cfg, plane.shape[1], plane.shape[0], generator(video, None, seed))
+    def change(video: str, frame: int, planes: np.ndarray) -> np.ndarray:
+        h = session_homography(cfg, planes.shape[2], planes.shape[1], generator(video, None, seed))
         rng = generator(video, frame, seed)
-        return apply_optics(apply_geometry(plane, h, cfg, rng, out_size), cfg, rng)
+        shake = rng.integers(1 << 62)  # every channel moves alike
+        out = np.stack([apply_geometry(p, h, cfg, np.random.default_rng(shake), out_size) for p in planes])
+        out = apply_photometric(out, gains, cfg)
+        if cfg["moire"]:
+            out = apply_moire(out, cfg["moire"], rng.uniform(0, np.pi), rng.uniform(0.18, 0.42))
+        return apply_codec(apply_optics(out, cfg, rng), cfg["jpeg_quality"])
+
+    return on_planes(frames, change, columns)
+
+
+def transcoded(frames: DataFrame, quality: int, passes: int, columns: tuple[str, ...] = ("y",)) -> DataFrame:
+    """``passes`` codec passes one after another, each on what the last one left."""
+
+    def change(video: str, frame: int, planes: np.ndarray) -> np.ndarray:
+        for _ in range(passes):
+            planes = apply_codec(planes, quality)
+        return planes
+
+    return on_planes(frames, change, columns)
+
+
+def plane_difference(source: DataFrame, impaired: DataFrame, threshold: int = 30) -> DataFrame:
+    """G12 on packed luma planes: the impaired plane at the source's size, its absolute difference and where that exceeds ``threshold``."""
+    other = impaired.select("video_id", "frame_no", F.col("height").alias("imp_height"), F.col("width").alias("imp_width"), F.col("y").alias("imp"))
+    pairs = source.select("video_id", "frame_no", "height", "width", "y").join(other, ["video_id", "frame_no"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(k, 32) for k in range(0, whole.num_rows, 32)):
+                moves = []
+                for r in batch.to_pylist():
+                    plane, seen = (np.frombuffer(r[c], np.uint8).reshape(r[h], r[w]).astype(float) for c, h, w in (("y", "height", "width"), ("imp", "imp_height", "imp_width")))
+                    moves.append(np.abs(plane - resized(seen, *plane.shape)))
+                coded = [pa.array([m.astype(np.uint8).tobytes() for m in kind], pa.binary()) for kind in (moves, [np.where(m > threshold, 255, 0) for m in moves])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *coded], names=["video_id", "frame_no", "height", "width", "diff", "panel"])
 
-    return on_planes(frames, change)
+    return pairs.mapInArrow(run, "video_id string, frame_no int, height int, width int, diff binary, panel binary")
 
 
-__all__ = ["apply_geometry", "apply_optics", "blur_kernel", "generator", "homography_between", "on_planes", "projected", "sampled", "session_homography", "simulate", "spectrum2d", "warp_patch"]
+__all__ = [
+    "apply_codec", "apply_geometry", "apply_moire", "apply_optics", "apply_photometric", "blur_kernel", "generator", "homography_between", "motion_kernel", "on_planes",
+    "plane_difference", "projected", "resized", "sampled", "session_homography", "simulate", "spectrum2d", "transcoded", "warp_patch",
+]

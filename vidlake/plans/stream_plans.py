@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import degrade as dg
@@ -11,6 +14,7 @@ from ..operators import imaging as im
 from ..sources import providers as pr
 from ..sources import scratch
 from ..sources import sinks
+from ..sources.frames import pixels_of
 from ..streaming import aligner
 from . import fixtures as fx
 from .registry import query
@@ -59,18 +63,45 @@ def e1_encode_frames(spark, sf_dir):
 @query("frame_no:i y:i x:i v:d", f"WITH {fx.planes_sql()} SELECT frame_no, y, x, v FROM pixels")
 def s3_unpack_planes(spark, sf_dir):
     """Stored luma planes to long form."""
-    from ..sources.frames import pixels_of
-
     return pixels_of(stored_planes(spark))
 
 
 @query("frame_no:i height:i width:i digest:s")
 def t10_capture_simulation(spark, sf_dir):
-    """Geometry and optics of the severe condition on stored planes, one seed by session and frame."""
+    """The whole chain of the severe condition on stored planes, one seed by session and frame."""
     out = im.simulate(stored_planes(spark), dg.condition("severe"), seed=7, out_size=(80, 60))
     return out.select("frame_no", "height", "width", F.md5("y").alias("digest"))
 
 
+@query("quality:i passes:i frame_no:i moved:d")
+def s14_chained_passes(spark, sf_dir):
+    """Mean move of a pixel after one and three codec passes of four qualities, each on what the last one left."""
+    kept = stored_planes(spark)
+    runs = []
+    for quality in (90, 60, 30, 10):
+        for passes in (1, 3):
+            moved = pixels_of(im.plane_difference(kept, im.transcoded(kept, quality, passes)).withColumn("y", F.col("diff")))
+            runs.append(moved.groupBy("frame_no").agg(F.avg("v").alias("moved")).select(F.lit(quality).alias("quality"), F.lit(passes).alias("passes"), "frame_no", "moved"))
+    return reduce(DataFrame.unionAll, runs)
+
+
+_SMALL = """WITH small AS (SELECT f.range AS frame_no, y.range AS y, x.range AS x, (x.range * 7 + y.range * 13 + f.range * 31 + x.range * y.range) % 256 AS v
+  FROM range(6) f, range(32) y, range(32) x),
+taps AS (SELECT t.range AS at, least(31, greatest(0, CAST(floor(t.range / 2.0 - 0.25) AS INT) + s.range)) AS tap,
+  CASE WHEN (t.range % 2 = 0) = (s.range = 0) THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS w FROM range(64) t, range(2) s),
+wide AS (SELECT frame_no, ty.at AS y, tx.at AS x, round_even(sum(v * ty.w * tx.w), 0) AS v FROM small JOIN taps ty ON ty.tap = small.y JOIN taps tx ON tx.tap = small.x GROUP BY ALL),
+moved AS (SELECT frame_no, abs((x * 7 + y * 13 + frame_no * 31 + x * y) % 256 - v) AS d FROM wide)"""
+
+
+@query("frame_no:i changed:i largest:d", f"{_SMALL} SELECT frame_no, count(*) FILTER (WHERE d > 30) AS changed, max(d) AS largest FROM moved GROUP BY frame_no")
+def g12_resized_difference(spark, sf_dir):
+    """Frames of 64 x 64 against an impaired capture of 32 x 32, brought to their size first."""
+    found = im.plane_difference(stored_planes(spark), stored_planes(spark, side=32))
+    size = pixels_of(found.withColumn("y", F.col("diff"))).groupBy("frame_no").agg(F.max("v").alias("largest"))
+    panel = pixels_of(found.withColumn("y", F.col("panel"))).groupBy("frame_no").agg(F.count_if(F.col("v") > 0).alias("changed"))
+    return size.join(panel, "frame_no")
+
+
 @query("frame_no:i accepted:b")
 def g11_warp_resample(spark, sf_dir):
     """Patches read through a homography; null where they leave the frame."""
