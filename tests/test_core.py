@@ -35,6 +35,25 @@ def test_vectors(spark):
     assert list(r) == [25.0, [0.6, 0.8], [0.0, 0.0], 3.0, None]
 
 
+@given(st.lists(st.lists(st.integers(0, 3), min_size=6, max_size=6), min_size=1, max_size=5), st.integers(1, 8))
+def test_best_of_a_row_takes_low_columns_on_ties(rows, k):
+    row, col, score = se.best_of(np.array(rows, dtype=float), k)
+    found = sorted((int(r), -float(s), int(c)) for r, c, s in zip(row, col, score, strict=True))
+    assert found == [x for i, r in enumerate(rows) for x in sorted((i, -float(s), j) for j, s in enumerate(r))[:k]]
+
+
+def test_tile_side_grows_with_both_sides_within_bounds():
+    assert se.tile_side(0, 0, 8) == se.tile_side(6000, 2000, 8) == se.BLOCK
+    assert se.BLOCK < se.tile_side(50_000, 50_000, 8) < se.LARGEST_BLOCK == se.tile_side(10**9, 10**9, 1000)
+
+
+def test_search_of_equal_vectors_keeps_k(spark):
+    refs = spark.range(40).selectExpr("id as ref_id", "array(1D, 0D) as vec")
+    queries = spark.range(1100).selectExpr("id as q", "array(cast(id as double), 1D) as vec")
+    found = se.topk_inner_product(queries, refs, 3).collect()
+    assert sorted((r.q, r["rank"], r.ref_id, r.score) for r in found) == [(q, k + 1, k, float(q)) for q in range(1100) for k in range(3)]
+
+
 def test_blocked_search_equals_expression(spark):
     rng = np.random.default_rng(0)
     v = [(k, rng.integers(-3, 4, 8).astype(float).tolist()) for k in range(60)] + [(60 + k, [1.0] * 8) for k in range(5)]

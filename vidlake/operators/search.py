@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 
-#: Vectors of one side of a tile.
+#: Least and most vectors of one side of a tile, and query rows scored at once inside one.
 BLOCK = 2048
+LARGEST_BLOCK = 16384
+ROWS = 512
 
 
 def _blocks(df: DataFrame, key: str, size: int, total: int) -> tuple[DataFrame, int]:
@@ -23,9 +27,18 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(vectors), -1)
 
 
-def _sides(queries: DataFrame, refs: DataFrame, by: list[str], block: int) -> tuple[DataFrame, DataFrame, str]:
+def tile_side(n_q: int, n_r: int, tasks: int) -> int:
+    """Vectors of a tile's side: as many as leave each task four tiles, within the bounds.
+
+    Each side is sent once for every block of the other, so larger tiles shuffle less.
+    """
+    return min(LARGEST_BLOCK, max(BLOCK, math.isqrt(n_q * n_r // (4 * max(1, tasks)))))
+
+
+def _sides(queries: DataFrame, refs: DataFrame, by: list[str], block: int | None) -> tuple[DataFrame, DataFrame, str]:
     """Both sides with the numbers of their tiles (_qb, _rb), and the columns of a tile's scores."""
     n_q, n_r = queries.count(), refs.count()
+    block = block or tile_side(n_q, n_r, queries.sparkSession.sparkContext.defaultParallelism)
     q, q_blocks = _blocks(queries.select(*by, "q", "vec"), "q", block, n_q)
     r, r_blocks = _blocks(refs.select("ref_id", "vec"), "ref_id", block, n_r)
     left = q.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1)))).select(F.col("_block").alias("_qb"), F.col("_other").alias("_rb"), *by, "q", "vec")
@@ -34,14 +47,30 @@ def _sides(queries: DataFrame, refs: DataFrame, by: list[str], block: int) -> tu
     return left, right, schema
 
 
-def topk_inner_product(queries: DataFrame, refs: DataFrame, k: int, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best of each row; of scores tied with the k-th, those of the lowest columns."""
+    n = scores.shape[1]
+    keep = min(k, n)
+    floor = np.partition(scores, n - keep, axis=1)[:, n - keep, None]
+    chosen = scores >= floor
+    crowded = np.flatnonzero(chosen.sum(axis=1) > keep)
+    if len(crowded):
+        above, tied = scores[crowded] > floor[crowded], scores[crowded] == floor[crowded]
+        room = keep - above.sum(axis=1, keepdims=True)
+        chosen[crowded] = above | (tied & (np.cumsum(tied, axis=1) <= room))
+    row, col = np.nonzero(chosen)
+    return row, col, scores[row, col]
+
+
+def topk_inner_product(queries: DataFrame, refs: DataFrame, k: int, by: list[str] | None = None, block: int | None = None) -> DataFrame:
     """The k best references of each query: (by..., q, rank, ref_id, score).
 
     ``queries`` has (by..., q, vec) and ``refs`` (ref_id, vec). Scores are
     double inner products; ties go to the lower ref_id. Both sides are dealt
-    into blocks of bounded size, each pair of blocks is one matrix product in
-    Arrow batches, and a tile returns its own best k of each query only, so what
-    is shuffled afterwards is k rows a query and reference block.
+    into blocks of bounded size (``tile_side``, or ``block``), each pair of blocks
+    is a matrix product in Arrow batches, some query rows at a time, and a tile
+    returns its own best k of each query only, so what is shuffled afterwards is
+    at most k rows a query and reference block, however many scores tie.
     """
     by = by or []
     left, right, schema = _sides(queries, refs, by, block)
@@ -53,12 +82,13 @@ def topk_inner_product(queries: DataFrame, refs: DataFrame, k: int, by: list[str
         ids = b["ref_id"].to_numpy().astype(np.int64)
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        m = _matrix(a["vec"]) @ _matrix(b["vec"])[order].T
-        keep = min(k, len(ids))
-        # every reference tied with the k-th is a candidate: the final rank breaks ties by id
-        floor = np.partition(m, len(ids) - keep, axis=1)[:, len(ids) - keep]
-        row, col = np.nonzero(m >= floor[:, None])
-        return pa.table({**{c: keys[c].take(pa.array(row)) for c in keys.column_names}, "ref_id": pa.array(ids[col]), "score": pa.array(m[row, col])})
+        asked, held = _matrix(a["vec"]), _matrix(b["vec"])[order].T
+        best = []
+        for start in range(0, len(asked), ROWS):
+            row, col, score = best_of(asked[start : start + ROWS] @ held, k)
+            best.append((start + row, col, score))
+        row, col, score = (np.concatenate(x) for x in zip(*best, strict=True))
+        return pa.table({**{c: keys[c].take(pa.array(row)) for c in keys.column_names}, "ref_id": pa.array(ids[col]), "score": pa.array(score)})
 
     found = left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb")).applyInArrow(tile, schema)
     return ranked(found, k, by)
