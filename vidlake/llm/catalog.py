@@ -7,6 +7,7 @@ from .chat import OP2_SQL, op2_chat_format
 from .decontam import op6_decontamination
 from .html_text import op9_html_text
 from .langid import op10_language_id
+from .manifest import op12_merkle_manifest
 from .neardup import op1_ngram_jaccard
 from .quality import op4_quality
 from .substrings import op7_substring_dedup
@@ -15,7 +16,7 @@ from .wordpack import op8_simple8b
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_chat_format, op3_toxicity, op4_quality, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_simple8b, op9_html_text, op10_language_id)
+    for f in (op1_ngram_jaccard, op2_chat_format, op3_toxicity, op4_quality, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_simple8b, op9_html_text, op10_language_id, op12_merkle_manifest)
 }
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -56,4 +57,42 @@ kept AS (SELECT r, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILT
 SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
 """
 
-SQL = {"op1_ngram_jaccard": OP1_SQL, "op2_chat_format": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL}
+#: crc32 of a decimal number's digits, by the byte table of the polynomial 0xEDB88320.
+_CRC_TABLE = "crc AS (SELECT list(x ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM range(256) r(b)))"
+
+
+def _crc(digits: str) -> str:
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({digits}, ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"
+
+
+_FIELDS = " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE octet_length(encode(CAST({f} AS VARCHAR))) || ':' || {f} END" for f in ("doc_id", "source", "lang", "n_chars"))
+_TEXT_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0})) || ':' || {0} END"
+
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+rows AS (SELECT doc_id, source, sha256({_FIELDS} || {_TEXT_FIELD.format('text')}) AS leaf,
+    CASE WHEN {_crc('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN sha256({_FIELDS} || {_TEXT_FIELD.format("replace(text, chr(10), '')")}) END AS tampered FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, tampered NULLS FIRST) - 1 AS i FROM rows),
+inner_tree(source, k, j, h, n) AS (
+  SELECT source, 0, i, leaf, count(*) OVER (PARTITION BY source) FROM leaves
+  UNION ALL
+  SELECT source, max(k) + 1, j // 3, sha256(string_agg(h, '' ORDER BY j)), (max(n) + 2) // 3 FROM inner_tree WHERE n > 1 GROUP BY source, j // 3),
+subroots AS (SELECT source, h, k AS depth, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM inner_tree WHERE n = 1),
+top_tree(k, j, h, n) AS (
+  SELECT 0, i, h, n FROM subroots
+  UNION ALL
+  SELECT max(k) + 1, j // 3, sha256(string_agg(h, '' ORDER BY j)), (max(n) + 2) // 3 FROM top_tree WHERE n > 1 GROUP BY j // 3),
+tree AS (SELECT source, k AS step, j, h FROM inner_tree WHERE n > 1 UNION ALL SELECT source, depth + k, j, x.h FROM top_tree x, subroots WHERE x.n > 1),
+numbered AS (SELECT row_number() OVER () AS r, d.*, s.depth, s.i AS rank, s.h AS subroot FROM leaves d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source),
+up(r, source, depth, rank, step, j, own) AS (
+  SELECT r, source, depth, rank, 0, CASE WHEN depth = 0 THEN rank ELSE i END, coalesce(tampered, leaf) FROM numbered
+  UNION ALL
+  SELECT u.r, any_value(u.source), max(u.depth), max(u.rank), max(u.step) + 1, max(CASE WHEN u.step + 1 = u.depth THEN u.rank ELSE u.j // 3 END), sha256(string_agg(CASE WHEN x.j = u.j THEN u.own ELSE x.h END, '' ORDER BY x.j))
+  FROM up u JOIN tree x ON x.source IS NOT DISTINCT FROM u.source AND x.step = u.step AND x.j // 3 = u.j // 3 GROUP BY u.r),
+folded AS (SELECT r, arg_max(own, step) AS own FROM up GROUP BY r),
+beside AS (SELECT u.r, string_agg(x.h, '' ORDER BY x.step, x.j) AS proof FROM up u JOIN tree x ON x.source IS NOT DISTINCT FROM u.source AND x.step = u.step AND x.j // 3 = u.j // 3 AND x.j <> u.j GROUP BY u.r)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top_tree WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, own AS folded_root, own = (SELECT h FROM top_tree WHERE n = 1) AS verified
+FROM numbered JOIN folded USING (r) LEFT JOIN beside USING (r)
+"""
+
+SQL = {"op1_ngram_jaccard": OP1_SQL, "op2_chat_format": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
