@@ -9,6 +9,7 @@ from .html_text import op9_html_text
 from .langid import op10_language_id
 from .manifest import op12_merkle_manifest
 from .neardup import op1_ngram_jaccard
+from .prefixes import op11_prefix_trie
 from .quality import op4_quality
 from .substrings import op7_substring_dedup
 from .toxicity import op3_toxicity
@@ -16,7 +17,7 @@ from .wordpack import op8_simple8b
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_chat_format, op3_toxicity, op4_quality, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_simple8b, op9_html_text, op10_language_id, op12_merkle_manifest)
+    for f in (op1_ngram_jaccard, op2_chat_format, op3_toxicity, op4_quality, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_simple8b, op9_html_text, op10_language_id, op11_prefix_trie, op12_merkle_manifest)
 }
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -65,6 +66,20 @@ def _crc(digits: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({digits}, ''), lambda s: CAST(ascii(s) AS BIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"
 
 
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, {_crc('CAST(conv_id AS VARCHAR)')} % 6 AS h FROM own, crc),
+rebuilt AS (SELECT h.conv_id, list_concat(coalesce(b.ts[1 : h], []), h.ts[h + 1 : len(h.ts)]) AS ts FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+member AS (SELECT conv_id, d, ts[1 : d] AS p, len(ts) = d AS is_end FROM rebuilt, LATERAL (SELECT unnest(range(len(ts) + 1)) AS d)),
+node AS (SELECT p, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE is_end), '') AS ends,
+    CASE WHEN any_value(d) > 0 THEN (count(*) - 1) * length(any_value(p[d].text)) ELSE 0 END AS own FROM member GROUP BY p),
+kids AS (SELECT p[1 : d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+sub AS (SELECT a.p[1 : j] AS p, sum(own) AS saved, count(*) FILTER (WHERE k.p IS NULL) AS leaves FROM node a LEFT JOIN kids k ON k.p = a.p, LATERAL (SELECT unnest(range(a.d + 1)) AS j) GROUP BY 1)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM node x JOIN sub s ON s.p = x.p LEFT JOIN kids k ON k.p = x.p LEFT JOIN node u ON x.d > 0 AND u.d = x.d - 1 AND u.p = x.p[1 : x.d - 1]
+"""
+
 _FIELDS = " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE octet_length(encode(CAST({f} AS VARCHAR))) || ':' || {f} END" for f in ("doc_id", "source", "lang", "n_chars"))
 _TEXT_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0})) || ':' || {0} END"
 
@@ -95,4 +110,4 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM top_tree WHERE n = 1) AS root, sha2
 FROM numbered JOIN folded USING (r) LEFT JOIN beside USING (r)
 """
 
-SQL = {"op1_ngram_jaccard": OP1_SQL, "op2_chat_format": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
+SQL = {"op1_ngram_jaccard": OP1_SQL, "op2_chat_format": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
