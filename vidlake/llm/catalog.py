@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_byte_bpe
 from .chat import OP2_SQL, op2_chat_format
 from .decontam import op6_decontamination
+from .hidden import op13_hidden_markov
 from .html_text import op9_html_text
 from .langid import op10_language_id
 from .manifest import op12_merkle_manifest
@@ -17,7 +18,7 @@ from .wordpack import op8_simple8b
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard, op2_chat_format, op3_toxicity, op4_quality, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_simple8b, op9_html_text, op10_language_id, op11_prefix_trie, op12_merkle_manifest)
+    for f in (op1_ngram_jaccard, op2_chat_format, op3_toxicity, op4_quality, op5_byte_bpe, op6_decontamination, op7_substring_dedup, op8_simple8b, op9_html_text, op10_language_id, op11_prefix_trie, op12_merkle_manifest, op13_hidden_markov)
 }
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
