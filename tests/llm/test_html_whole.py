@@ -104,3 +104,18 @@ def test_time_grows_with_the_length(page):
 
     took(page[:1000])
     assert took(page * 4) <= 10 * took(page) + 0.5
+
+
+@pytest.mark.parametrize(
+    "attrs, shown",
+    [
+        ('data-headline="The hidden city"', True), ('title="a hidden gem"', True), ('class="a hidden b"', True), ("class=hidden", True), ('aria-hidden="true"', True), ('title="display:none"', True),
+        ("hidden", False), ('hidden=""', False), ("id=x HIDDEN", False), ("class='a' hidden='until-found'", False), ('style="color: red; display : none"', False),
+    ],
+)
+def test_only_the_attribute_itself_hides(attrs, shown):
+    prose = "Long enough prose for an article, told twice over. " * 6
+    page = html_text.blocks(f"<body><article {attrs}><p>{prose}</p></article><p>after</p></body>")
+    assert (prose.strip() in page.texts) == shown and "after" in page.texts
+    inner = html_text.blocks(f"<article><p>{prose}</p><p {attrs}>gem</p></article>")
+    assert ("gem" in inner.texts) == shown

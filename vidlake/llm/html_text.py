@@ -57,7 +57,9 @@ _NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*+)")
 _REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*+:\s*+none", re.I)
+#: An attribute's name, and its value if it has one.
+_EACH = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+_NOT_SHOWN = re.compile(r"display\s*+:\s*+none", re.I)
 
 
 class Scanner:
@@ -176,6 +178,14 @@ class Page:
         return [k for k, n in enumerate(self.nodes) if inside[n]]
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether the attribute ``hidden`` is there, or a style that shows nothing; other attributes' values say nothing."""
+    low = attrs.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    return any(name.lower() == "hidden" or name.lower() == "style" and bool(_NOT_SHOWN.search(a or b or c)) for name, a, b, c in _EACH.findall(attrs))
+
+
 def _noisy(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
     """Whether a tag is boilerplate, whether its names say so, and its generalised classes.
 
@@ -184,7 +194,7 @@ def _noisy(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
     if not attrs.strip():
         return tag in DROP, False, ""
     found = {k.lower(): (a or b or c).strip() for k, a, b, c in _ATTR.findall(attrs)}
-    bad = tag in DROP or bool(_HIDDEN.search(attrs)) or found.get("role", "").lower() in NOISE_ROLES
+    bad = tag in DROP or _hidden(attrs) or found.get("role", "").lower() in NOISE_ROLES
     named = found.get("class", "") if inside else f"{found.get('class', '')} {found.get('id', '')}"
     could = tag in BLOCK - HEADINGS and tag not in ("html", "body", "article", "main") and not (inside and tag in PROSE)
     classes = re.sub(r"[\d/]+", "", ".".join(found.get("class", "").split()))
