@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,13 +106,10 @@ def coefficient_embed(pixels: DataFrame, keys: list[str], shift: float = SHIFT,
     A change of one coefficient changes the block by shift times that basis
     image, so no forward transform is needed; the result is clipped.
     """
-    spark = pixels.sparkSession
-    table = tr.basis(spark, n)
-    rows = table.where(F.col("k") == at[0]).select(F.col("i").alias("_i"), F.col("b").alias("_b"))
-    cols = table.where(F.col("k") == at[1]).select(F.col("i").alias("_j"), F.col("b").alias("_c"))
-    image = rows.crossJoin(cols).select("_i", "_j", (F.col("_b") * F.col("_c") * shift).alias("d"))
-    ll = tr.haar_ll(pixels, keys)
-    moved = ll.select(*keys, "y", "x", F.pmod("y", F.lit(n)).alias("_i"), F.pmod("x", F.lit(n)).alias("_j")).join(F.broadcast(image), ["_i", "_j"]).select(*keys, "y", "x", "d")
+    rows = tr.basis(n)
+    image = F.array(*map(F.lit, (np.outer(rows[at[0]], rows[at[1]]) * shift).ravel().tolist()))
+    spot = F.pmod("y", F.lit(n)) * n + F.pmod("x", F.lit(n)) + 1
+    moved = tr.haar_ll(pixels, keys).select(*keys, "y", "x", F.element_at(image, spot.cast("int")).alias("d"))
     out = tr.with_ll(pixels, moved, keys)
     return out.withColumn("v", clip(F.col("v"), 0, 255))
 

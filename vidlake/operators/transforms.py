@@ -2,36 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEATHER = 32
 
 
-def basis(spark: SparkSession, n: int) -> DataFrame:
-    """(k, i, b): the orthonormal DCT-II basis of n points; n * n rows, fixed by the block side."""
-    cells = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("k"), F.pmod("id", F.lit(n)).cast("int").alias("i"))
-    angle = F.pi() * (2 * F.col("i") + 1) * F.col("k") / (2.0 * n)
-    return cells.select("k", "i", (F.when(F.col("k") == 0, F.sqrt(F.lit(1.0 / n))).otherwise(F.sqrt(F.lit(2.0 / n))) * F.cos(angle)).alias("b"))
+def basis(n: int) -> np.ndarray:
+    """The orthonormal DCT-II basis of n points, one frequency a row."""
+    k, i = np.mgrid[0:n, 0:n]
+    b = np.cos(np.pi * (2 * i + 1) * k / (2.0 * n)) * math.sqrt(2.0 / n)
+    b[0] = math.sqrt(1.0 / n)
+    return b
+
+
+def _turned(cells: DataFrame, keys: list[str], n: int, turn: Callable[[np.ndarray], np.ndarray], names: tuple[str, str, str], out: tuple[str, str, str]) -> DataFrame:
+    """Gather each block's cells into one array, turn whole batches of n x n blocks by matrix products, and spread them again.
+
+    What is shuffled is a block's own cells; a cell that is not there is 0.
+    """
+    row, col, value = names
+    at = (F.col(row) * n + F.col(col)).cast("int")
+    packed = cells.groupBy(*keys).agg(F.collect_list(F.struct(at.alias("i"), F.col(value).cast("double").alias("v"))).alias("cells"))
+    kinds = packed.select(*keys).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = max(1, (1 << 22) // (n * n))
+        for batch in batches:
+            for first in range(0, batch.num_rows, each):
+                part = batch.slice(first, each)
+                lists = part.column("cells")
+                held = lists.flatten()
+                block = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                blocks = np.zeros(part.num_rows * n * n)
+                blocks[block * n * n + held.field("i").to_numpy()] = held.field("v").to_numpy(zero_copy_only=False)
+                flat = turn(blocks.reshape(-1, n, n)).reshape(-1)
+                ends = pa.array(np.arange(part.num_rows + 1) * n * n, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.ListArray.from_arrays(ends, pa.array(flat))], names=[*keys, "turned"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "turned array<double>"])
+    spread = packed.mapInArrow(run, schema).select(*keys, F.posexplode("turned").alias("i", out[2]))
+    return spread.select(*keys, F.floor(F.col("i") / n).cast("int").alias(out[0]), F.pmod("i", F.lit(n)).alias(out[1]), out[2])
 
 
-def _turn(df: DataFrame, keys: list[str], table: DataFrame, at: str, to: str, other: str, join_on: str, out: str) -> DataFrame:
-    side = table.select(F.col(join_on).alias(at), F.col(out).alias(to), "b")
-    return df.join(F.broadcast(side), at).groupBy(*keys, other, to).agg(F.sum(F.col("v") * F.col("b")).alias("v"))
+PIXEL, FREQUENCY = ("y", "x", "v"), ("u", "w", "c")
 
 
 def dct2(blocks: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """(keys..., y, x, v) -> (keys..., u, w, c): row frequency u, column frequency w; separable."""
-    table = basis(blocks.sparkSession, n)
-    half = _turn(blocks.select(*keys, "y", "x", "v"), keys, table, "x", "w", "y", "i", "k")
-    return _turn(half, keys, table, "y", "u", "w", "i", "k").select(*keys, "u", "w", F.col("v").alias("c"))
+    """(keys..., y, x, v) -> (keys..., u, w, c): row frequency u, column frequency w."""
+    b = basis(n)
+    return _turned(blocks, keys, n, lambda x: b @ x @ b.T, PIXEL, FREQUENCY)
 
 
 def idct2(spectra: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The inverse: (keys..., u, w, c) -> (keys..., y, x, v)."""
-    table = basis(spectra.sparkSession, n)
-    half = _turn(spectra.select(*keys, "u", "w", F.col("c").alias("v")), keys, table, "w", "x", "u", "k", "i")
-    return _turn(half, keys, table, "u", "y", "x", "k", "i").select(*keys, "y", "x", "v")
+    b = basis(n)
+    return _turned(spectra, keys, n, lambda c: b.T @ c @ b, FREQUENCY, PIXEL)
 
 
 def low_pass(u: Column, w: Column, radius: float, lower: bool = True) -> Column:
@@ -41,9 +72,11 @@ def low_pass(u: Column, w: Column, radius: float, lower: bool = True) -> Column:
 
 
 def blurred(blocks: DataFrame, keys: list[str], n: int, radius: float) -> DataFrame:
-    """The block without its coefficients beyond the radius."""
-    kept = dct2(blocks, keys, n).where(low_pass(F.col("u"), F.col("w"), radius) == 1.0)
-    return idct2(kept, keys, n)
+    """The block without its coefficients beyond the radius; there and back in one step."""
+    b = basis(n)
+    u, w = np.mgrid[0:n, 0:n]
+    kept = np.sqrt(u * u + w * w) <= radius
+    return _turned(blocks, keys, n, lambda x: b.T @ (kept * (b @ x @ b.T)) @ b, PIXEL, PIXEL)
 
 
 def cliff(spectra: DataFrame, keys: list[str], radius: float, band: float) -> DataFrame:

@@ -6,6 +6,8 @@ planes are generated; every fixture has the same form in DataFrame and SQL.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +149,58 @@ def planes_sql(frames: int = 6, side: int = 64) -> str:
 pixels AS (SELECT f.f AS frame_no, y.y, x.x, CAST((x.x * 7 + y.y * 13 + f.f * 31 + x.x * y.y) % 256 AS DOUBLE) AS v FROM range({frames}) f(f) CROSS JOIN range({side}) y(y) CROSS JOIN range({side}) x(x))"""
 
 
+def clip(spark: SparkSession, sf_dir: str, side: int = 64) -> DataFrame:
+    """A clip with one frame for each row of ``supplier``: v = (7x + 13y + 31 number + xy + balance % 97 + nation) mod 256."""
+    frames = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_no"), (F.floor(F.abs("s_acctbal")) % 97 + F.col("s_nationkey")).cast("int").alias("tone"))
+    line = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    cells = frames.withColumn("y", line).withColumn("x", line)
+    return cells.select("frame_no", "y", "x", F.pmod(F.col("x") * 7 + F.col("y") * 13 + F.col("frame_no") * 31 + F.col("x") * F.col("y") + F.col("tone"), F.lit(256)).cast("double").alias("v"))
+
+
+def clip_sql(side: int = 64) -> str:
+    return f"""
+pixels AS (SELECT s_suppkey AS frame_no, y.y, x.x, CAST((x.x * 7 + y.y * 13 + s_suppkey * 31 + x.x * y.y + CAST(floor(abs(s_acctbal)) AS BIGINT) % 97 + s_nationkey) % 256 AS DOUBLE) AS v FROM supplier CROSS JOIN range({side}) y(y) CROSS JOIN range({side}) x(x))"""
+
+
+def clip_frames(spark: SparkSession, sf_dir: str, side: int = 64) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_no"), F.lit(side).alias("width"), F.lit(side).alias("height"))
+
+
+def stored_clip(spark: SparkSession, sf_dir: str, side: int = 64) -> DataFrame:
+    """The clip as a frame table of packed bytes, made in Arrow batches of whole planes."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("frame_no"), (F.floor(F.abs("s_acctbal")) % 97 + F.col("s_nationkey")).cast("int").alias("tone"))
+
+    def pack(batches):
+        y, x = np.mgrid[0:side, 0:side]
+        for batch in batches:
+            planes = [((x * 7 + y * 13 + n * 31 + x * y + t) % 256).astype(np.uint8).tobytes() for n, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            same = pa.array([side] * len(planes), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(["clip"] * len(planes)), batch.column(0), same, same, pa.array(planes, pa.binary())], names=["video_id", "frame_no", "height", "width", "y"])
+
+    return rows.mapInArrow(pack, "video_id string, frame_no int, height int, width int, y binary")
+
+
+def packed_halves(frames: DataFrame, n: int) -> DataFrame:
+    """frame_no, half, height, width, y: packed halves of packed planes, the left one pixelated in n x n blocks."""
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                plane = np.frombuffer(r["y"], np.uint8).reshape(r["height"], r["width"]).astype(float)
+                h, w = (k // n for k in plane.shape)
+                middle = sorted({(n - 1) // 2, n // 2})
+                blocks = plane[: h * n, : w * n].reshape(h, n, w, n)[:, middle][:, :, :, middle].mean((1, 3))
+                flat = np.floor(blocks + 0.5).repeat(n, 0).repeat(n, 1)
+                left = r["width"] // 2
+                for half, part in ((0, flat[:, :left]), (1, plane[:, left:])):
+                    out.append((r["frame_no"], half, *part.shape, part.astype(np.uint8).tobytes()))
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else [pa.array([], t) for t in types], names=["frame_no", "half", "height", "width", "y"])
+
+    return frames.mapInArrow(cut, "frame_no int, half int, height int, width int, y binary")
+
+
 def frame_list(spark: SparkSession, frames: int, side: int = 64) -> DataFrame:
     return spark.range(frames).select(F.col("id").cast("int").alias("frame_no"), F.lit(side).alias("width"), F.lit(side).alias("height"))
 

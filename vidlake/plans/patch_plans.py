@@ -15,7 +15,7 @@ from . import fixtures as fx
 from .pixel_plans import DETECT, KEYS, N
 from .registry import query
 
-SIDE, FRAMES, REDUNDANCY, BITS = 16, 16, 2, "10110010"
+SIDE, REDUNDANCY, BITS = 16, 2, "10110010"
 
 _SPOTS = "spots AS (SELECT event_id AS id, CAST(event_id * 37 % 2100 - 60 AS INT) AS x, CAST(event_id * 53 % 1200 - 40 AS INT) AS y FROM events)"
 
@@ -106,9 +106,9 @@ def g7_grid_halves(spark, sf_dir, whole=False):
     return pa.grid(_sizes(spark, sf_dir, whole)).withColumn("half", pa.half_of_cell(F.col("x1"), F.col("width")))
 
 
-@query("half:i n:i mean_v:d", f"WITH {fx.planes_sql(2, 33)} SELECT CASE WHEN x < 33 // 2 THEN 0 ELSE 1 END AS half, count(*) AS n, avg(v) AS mean_v FROM pixels GROUP BY 1")
+@query("half:i n:i mean_v:d", f"WITH {fx.clip_sql(33)} SELECT CASE WHEN x < 33 // 2 THEN 0 ELSE 1 END AS half, count(*) AS n, avg(v) AS mean_v FROM pixels GROUP BY 1")
 def g8_two_halves(spark, sf_dir):
-    p = fx.planes(spark, 2, 33).withColumn("half", pa.half_of_pixel(F.col("x"), F.lit(33)))
+    p = fx.clip(spark, sf_dir, 33).withColumn("half", pa.half_of_pixel(F.col("x"), F.lit(33)))
     return p.groupBy("half").agg(F.count("*").alias("n"), F.avg("v").alias("mean_v"))
 
 
@@ -147,8 +147,8 @@ def j10_suppressed(spark, sf_dir):
 
 # --- selection, carriers ------------------------------------------------------
 
-_PLANES = f"""{fx.planes_sql(FRAMES)},
-cand AS (SELECT f.f AS frame_no, CASE WHEN c.c * 16 + 16 < 32 THEN 0 ELSE 1 END AS half, r.r * 4 + c.c AS ord, c.c * 16 AS x0, r.r * 16 AS y0, c.c * 16 + 8 AS cx, r.r * 16 + 8 AS cy FROM range({FRAMES}) f(f), range(4) r(r), range(4) c(c))"""
+_PLANES = f"""{fx.clip_sql()},
+cand AS (SELECT f.f AS frame_no, CASE WHEN c.c * 16 + 16 < 32 THEN 0 ELSE 1 END AS half, r.r * 4 + c.c AS ord, c.c * 16 AS x0, r.r * 16 AS y0, c.c * 16 + 8 AS cx, r.r * 16 + 8 AS cy FROM (SELECT s_suppkey AS f FROM supplier) f, range(4) r(r), range(4) c(c))"""
 
 
 def _pick_sql(source: str, name: str = "picks", documented: bool = False) -> str:
@@ -170,12 +170,12 @@ lists AS (SELECT half, frame_no, frame_no // {REDUNDANCY} AS run, list({{'ord':
   ) SELECT half, run, frame_no, p.ord AS ord, p.x0 AS x0, p.y0 AS y0, p.x AS cx, p.y AS cy FROM w)"""
 
 
-def _candidates(spark):
-    return ca.cell_candidates(fx.frame_list(spark, FRAMES), SIDE)
+def _candidates(spark, sf_dir):
+    return ca.cell_candidates(fx.clip_frames(spark, sf_dir), SIDE)
 
 
-def _picks(spark, mode="as_written"):
-    return ca.selections(_candidates(spark), REDUNDANCY, SIDE, mode)
+def _picks(spark, sf_dir, mode="as_written"):
+    return ca.selections(_candidates(spark, sf_dir), REDUNDANCY, SIDE, mode)
 
 
 _LONG_RUN = REDUNDANCY * 3
@@ -188,17 +188,17 @@ def _long_run(sql: str) -> str:
 
 @query(_PICK_COLUMNS, f"WITH {_PLANES}, {_long_run(_pick_sql('cand'))} SELECT * FROM picks")
 def t6_select_candidate(spark, sf_dir):
-    return ca.selections(_candidates(spark), _LONG_RUN, SIDE)
+    return ca.selections(_candidates(spark, sf_dir), _LONG_RUN, SIDE)
 
 
 @query(_PICK_COLUMNS, f"WITH {_PLANES}, {_long_run(_pick_sql('cand', documented=True))} SELECT * FROM picks")
 def t6_select_documented(spark, sf_dir):
-    return ca.selections(_candidates(spark), _LONG_RUN, SIDE, "documented")
+    return ca.selections(_candidates(spark, sf_dir), _LONG_RUN, SIDE, "documented")
 
 
 @query("half:i run:i n_frames:i n_spots:i", f"WITH {_PLANES}, {_pick_sql('cand')} SELECT half, run, count(*) AS n_frames, count(DISTINCT ord) AS n_spots FROM picks GROUP BY half, run")
 def t7_pool_flush(spark, sf_dir):
-    return _picks(spark).groupBy("half", "run").agg(F.count("*").alias("n_frames"), F.countDistinct("ord").alias("n_spots"))
+    return _picks(spark, sf_dir).groupBy("half", "run").agg(F.count("*").alias("n_frames"), F.countDistinct("ord").alias("n_spots"))
 
 
 _RESIDUAL = f"""
@@ -210,29 +210,29 @@ ranked AS (SELECT * REPLACE (row_number() OVER (PARTITION BY frame_no, half ORDE
 
 @query("frame_no:i half:i x0:i y0:i residual:d", f"WITH {_PLANES}, {_RESIDUAL} SELECT * FROM scored")
 def c2_pixelation_residual(spark, sf_dir):
-    return ca.residuals(fx.planes(spark, FRAMES), _candidates(spark), SIDE)
+    return ca.residuals(fx.clip(spark, sf_dir), _candidates(spark, sf_dir), SIDE)
 
 
-def _ranked(spark):
-    scored = ca.residuals(fx.planes(spark, FRAMES), _candidates(spark), SIDE)
+def _ranked(spark, sf_dir):
+    scored = ca.residuals(fx.clip(spark, sf_dir), _candidates(spark, sf_dir), SIDE)
     return ca.by_residual(scored.withColumn("residual", F.round("residual", 9)))
 
 
 @query("frame_no:i half:i ord:i x0:i y0:i", f"WITH {_PLANES}, {_RESIDUAL} SELECT * FROM ranked")
 def w6_rank_candidates(spark, sf_dir):
-    return _ranked(spark)
+    return _ranked(spark, sf_dir)
 
 
 @query(_PICK_COLUMNS, f"WITH {_PLANES}, {_RESIDUAL}, {_pick_sql('ranked')} SELECT * FROM picks")
 def t8_replay(spark, sf_dir):
-    return ca.selections(_ranked(spark), REDUNDANCY, SIDE)
+    return ca.selections(_ranked(spark, sf_dir), REDUNDANCY, SIDE)
 
 
-@query("frame_no:i y:i x:i v:d", f"WITH {fx.planes_sql(3, 32)} SELECT frame_no, y, x, floor(avg(v) OVER (PARTITION BY frame_no, y // 2, x // 2) + 0.5) AS v FROM pixels")
+@query("frame_no:i y:i x:i v:d", f"WITH {fx.clip_sql(32)} SELECT frame_no, y, x, floor(avg(v) OVER (PARTITION BY frame_no, y // 2, x // 2) + 0.5) AS v FROM pixels")
 def c1_pixelate(spark, sf_dir):
     from ..operators.pixels import pixelated
 
-    return pixelated(fx.planes(spark, 3, 32), ["frame_no"], 2)
+    return pixelated(fx.clip(spark, sf_dir, 32), ["frame_no"], 2)
 
 
 _BIT = f"CAST(substr('{BITS}', CAST(frame_no // {REDUNDANCY} % {len(BITS)} AS INT) + 1, 1) AS INT)"
@@ -263,15 +263,15 @@ def _dc_sql(picks: str = "picks") -> str:
 marked AS (SELECT p.frame_no, p.y, p.x, CASE WHEN {_INSIDE} THEN least(255.0, greatest(0.0, CAST(round_even(p.v + 3.5::DOUBLE * ({_MASK}), 0) AS DOUBLE))) ELSE p.v END AS v FROM pixels p LEFT JOIN chosen c ON c.frame_no = p.frame_no)"""
 
 
-def _dc_marked(spark):
-    picks = _picks(spark)
-    chosen = ca.chosen_for_bits(picks, fx.frame_list(spark, FRAMES), BITS, REDUNDANCY)
-    return picks, ca.dc_embed(fx.planes(spark, FRAMES), chosen, SIDE)
+def _dc_marked(spark, sf_dir):
+    picks = _picks(spark, sf_dir)
+    chosen = ca.chosen_for_bits(picks, fx.clip_frames(spark, sf_dir), BITS, REDUNDANCY)
+    return picks, ca.dc_embed(fx.clip(spark, sf_dir), chosen, SIDE)
 
 
 @query("frame_no:i y:i x:i v:d", f"WITH {_PLANES}, {_pick_sql('cand')}, {_dc_sql()} SELECT * FROM marked")
 def c7_dc_embed(spark, sf_dir):
-    return _dc_marked(spark)[1]
+    return _dc_marked(spark, sf_dir)[1]
 
 
 @query("id:i v:d", f"SELECT id, least(255.0, greatest(0.0, CAST(round_even(value + 3.5::DOUBLE * ({_FEATHER.format('(id % 16)')}) * ({_FEATHER.format('(id // 16 % 16)')}), 0) AS DOUBLE))) AS v FROM (SELECT event_id AS id, value FROM events)")
@@ -289,25 +289,30 @@ votes AS (SELECT b.b AS bit_index, coalesce(m * sqrt(n) / (s + 1e-12), 0.0) AS z
 _DC = f"WITH {_PLANES}, {_pick_sql('cand')}, {_dc_sql()}, {_RESPONSES}"
 
 
-def _dc_responses(spark):
-    picks, marked = _dc_marked(spark)
-    return ca.dc_responses(fx.planes(spark, FRAMES), pr.quantised(marked), picks, SIDE)
+def _dc_responses(spark, sf_dir):
+    picks, marked = _dc_marked(spark, sf_dir)
+    return ca.dc_responses(fx.clip(spark, sf_dir), pr.quantised(marked), picks, SIDE)
 
 
 @query("frame_no:i left_r:d right_r:d", f"{_DC} SELECT frame_no, l AS left_r, r2 AS right_r FROM frame_resp")
 def c6_dc_response(spark, sf_dir):
-    return _dc_responses(spark).select("frame_no", F.col("left").alias("left_r"), F.col("right").alias("right_r"))
+    return _dc_responses(spark, sf_dir).select("frame_no", F.col("left").alias("left_r"), F.col("right").alias("right_r"))
 
 
-def _dc_slots(spark):
-    r = _dc_responses(spark).withColumns({"clip": F.lit(1), "bit_index": sc.slot_of(F.col("frame_no"), REDUNDANCY, len(BITS))})
+def _dc_slots(spark, sf_dir):
+    r = _dc_responses(spark, sf_dir).withColumns({"clip": F.lit(1), "bit_index": sc.slot_of(F.col("frame_no"), REDUNDANCY, len(BITS))})
     return vo.soft_slots(r, ["clip"], len(BITS))
 
 
-@query("decoded:s watermark:i carried:i", f"{_DC} SELECT string_agg(bit, '' ORDER BY bit_index) AS decoded, CAST(sum(CAST(bit AS INT) * pow(2, {len(BITS) - 1} - bit_index)) AS BIGINT) AS watermark, {len(BITS)} AS carried FROM votes")
+@query(
+    "decoded:s watermark:i carried:i",
+    f"""{_DC}, k AS (SELECT CASE WHEN count(*) < {REDUNDANCY * len(BITS)} THEN count(*) // {REDUNDANCY} ELSE {len(BITS)} END AS c FROM supplier)
+SELECT string_agg(bit, '' ORDER BY bit_index) AS decoded, CASE WHEN string_agg(bit, '') NOT LIKE '%?%' THEN CAST(sum(TRY_CAST(bit AS INT) * pow(2, c - 1 - bit_index)) AS BIGINT) END AS watermark, c AS carried FROM votes, k WHERE bit_index < c GROUP BY c""",
+)
 def c8_dc_detect(spark, sf_dir):
     """Embed, impair, replay the selection, respond and vote."""
-    return vo.decode(_dc_slots(spark), ["clip"], F.lit(FRAMES), F.lit(REDUNDANCY), len(BITS))
+    frames = fx.table(spark, sf_dir, "supplier").count()
+    return vo.decode(_dc_slots(spark, sf_dir), ["clip"], F.lit(frames), F.lit(REDUNDANCY), len(BITS))
 
 
 _SLOTS = "resp AS (SELECT user_id AS clip, event_id % 37 AS bit_index, value - 50.0::DOUBLE AS response FROM events WHERE event_id % 37 < 32 AND NOT (user_id % 7 = 3 AND event_id % 37 = 5))"
@@ -396,9 +401,9 @@ def a12_clean_control(spark, sf_dir):
 @query("bit_index:i ones:i n:i bit:i", f"{DETECT}, by_frame AS (SELECT frame_no, max(CASE WHEN half = 0 THEN confidence END) AS l, max(CASE WHEN half = 1 THEN confidence END) AS r FROM detected GROUP BY frame_no), v AS (SELECT frame_no // 2 % 3 AS bit_index, CASE WHEN l > r THEN 1 ELSE 0 END AS vote FROM by_frame) SELECT bit_index, sum(vote) AS ones, count(*) AS n, CASE WHEN sum(vote) * 2 > count(*) THEN 1 ELSE 0 END AS bit FROM v GROUP BY bit_index")
 def p19_check_recovery(spark, sf_dir):
     """Hard votes of a clip whose left half is pixelated in every frame."""
-    from ..operators.pixels import detect
+    from ..operators.detector import detect_packed
 
-    d = detect(fx.half_pixelated(fx.planes(spark), N), KEYS, N)
+    d = detect_packed(fx.packed_halves(fx.stored_clip(spark, sf_dir), N), KEYS, N)
     halves = d.groupBy("frame_no").agg(F.max(F.when(F.col("half") == 0, F.col("confidence"))).alias("left"), F.max(F.when(F.col("half") == 1, F.col("confidence"))).alias("right"))
     voted = vo.half_votes(halves).withColumns({"clip": F.lit(1), "bit_index": sc.slot_of(F.col("frame_no"), 2, 3)})
     return vo.hard_slots(voted, ["clip"])
@@ -406,9 +411,9 @@ def p19_check_recovery(spark, sf_dir):
 
 @query("frame_no:i y:i x:i v:d", f"WITH {_PLANES}, {_RESIDUAL}, {_pick_sql('ranked')}, {_CHOSEN} SELECT p.frame_no, p.y, p.x, CASE WHEN {_INSIDE} THEN p.w ELSE p.v END AS v FROM flat p LEFT JOIN chosen c ON c.frame_no = p.frame_no")
 def c3_pixelate_embed(spark, sf_dir):
-    picks = ca.selections(_ranked(spark), REDUNDANCY, SIDE)
-    chosen = ca.chosen_for_bits(picks, fx.frame_list(spark, FRAMES), BITS, REDUNDANCY)
-    return ca.pixelate_embed(fx.planes(spark, FRAMES), chosen, SIDE)
+    picks = ca.selections(_ranked(spark, sf_dir), REDUNDANCY, SIDE)
+    chosen = ca.chosen_for_bits(picks, fx.clip_frames(spark, sf_dir), BITS, REDUNDANCY)
+    return ca.pixelate_embed(fx.clip(spark, sf_dir), chosen, SIDE)
 
 
 @query(
@@ -422,9 +427,9 @@ def c20_replay_difference(spark, sf_dir):
     from ..operators.pixels import difference
     from ..sources.frames import paired
 
-    picks = ca.selections(_ranked(spark), REDUNDANCY, SIDE)
-    original = fx.planes(spark, FRAMES)
-    marked = ca.pixelate_embed(original, ca.chosen_for_bits(picks, fx.frame_list(spark, FRAMES), BITS, REDUNDANCY), SIDE)
+    picks = ca.selections(_ranked(spark, sf_dir), REDUNDANCY, SIDE)
+    original = fx.clip(spark, sf_dir)
+    marked = ca.pixelate_embed(original, ca.chosen_for_bits(picks, fx.clip_frames(spark, sf_dir), BITS, REDUNDANCY), SIDE)
     d = difference(paired(original, marked))
     at = picks.select("frame_no", "half", "y0", "x0")
     inside = d.join(at, "frame_no").where("y >= y0 and y < y0 + 16 and x >= x0 and x < x0 + 16")
@@ -436,38 +441,38 @@ _BASIS = "bas AS (SELECT k.k, i.i, CASE WHEN k.k = 0 THEN sqrt(1.0 / {n}) ELSE s
 _DCT = "spec AS (SELECT {keys}, u.k AS u, w.k AS w, sum(v * u.b * w.b) AS c FROM {source} s JOIN bas u ON u.i = s.y JOIN bas w ON w.i = s.x GROUP BY ALL)"
 
 
-def _blocks(spark, frames=2, side=32, n=8):
-    p = fx.planes(spark, frames, side)
+def _blocks(spark, sf_dir, side=32, n=8):
+    p = fx.clip(spark, sf_dir, side)
     return p.select("frame_no", F.floor(F.col("y") / n).alias("by_"), F.floor(F.col("x") / n).alias("bx"), F.pmod("y", F.lit(n)).alias("y"), F.pmod("x", F.lit(n)).alias("x"), "v")
 
 
-@query("frame_no:i by_:i bx:i u:i w:i c:d", f"WITH {fx.planes_sql(2, 32)}, {_BLOCKS}, {_BASIS.format(n=8)}, {_DCT.format(keys='frame_no, by_, bx', source='blocks')} SELECT * FROM spec")
+@query("frame_no:i by_:i bx:i u:i w:i c:d", f"WITH {fx.clip_sql(32)}, {_BLOCKS}, {_BASIS.format(n=8)}, {_DCT.format(keys='frame_no, by_, bx', source='blocks')} SELECT * FROM spec")
 def c9_dct2(spark, sf_dir):
-    return tr.dct2(_blocks(spark), ["frame_no", "by_", "bx"], 8)
+    return tr.dct2(_blocks(spark, sf_dir), ["frame_no", "by_", "bx"], 8)
 
 
-@query("frame_no:i by_:i bx:i y:i x:i v:d", f"WITH {fx.planes_sql(2, 32)}, {_BLOCKS} SELECT * FROM blocks")
+@query("frame_no:i by_:i bx:i y:i x:i v:d", f"WITH {fx.clip_sql(32)}, {_BLOCKS} SELECT * FROM blocks")
 def c9_idct2(spark, sf_dir):
     """Round trip: the inverse of the transform is the plane."""
     keys = ["frame_no", "by_", "bx"]
-    return tr.idct2(tr.dct2(_blocks(spark), keys, 8), keys, 8)
+    return tr.idct2(tr.dct2(_blocks(spark, sf_dir), keys, 8), keys, 8)
 
 
 _LL = "ll AS (SELECT frame_no, y // 4 AS y, x // 4 AS x, sum(v) / 4.0 AS v FROM {0} GROUP BY ALL)"
 
 
-@query("frame_no:i y:i x:i v:d", f"WITH {fx.planes_sql(3, 64)}, {_LL.format('pixels')} SELECT * FROM ll")
+@query("frame_no:i y:i x:i v:d", f"WITH {fx.clip_sql(64)}, {_LL.format('pixels')} SELECT * FROM ll")
 def c10_haar_ll(spark, sf_dir):
-    return tr.haar_ll(fx.planes(spark, 3, 64), ["frame_no"])
+    return tr.haar_ll(fx.clip(spark, sf_dir, 64), ["frame_no"])
 
 
-_COEFFICIENT = f"""WITH {fx.planes_sql(3, 64)}, {_BASIS.format(n=8)},
+_COEFFICIENT = f"""WITH {fx.clip_sql(64)}, {_BASIS.format(n=8)},
 marked AS (SELECT p.frame_no, p.y, p.x, p.v AS src, least(255.0, greatest(0.0, p.v + 20.0 * r.b * c.b / 4.0)) AS v FROM pixels p JOIN bas r ON r.k = 4 AND r.i = p.y // 4 % 8 JOIN bas c ON c.k = 5 AND c.i = p.x // 4 % 8)"""
 
 
 @query("frame_no:i y:i x:i v:d", f"{_COEFFICIENT} SELECT * FROM marked")
 def c11_coefficient_embed(spark, sf_dir):
-    return ca.coefficient_embed(fx.planes(spark, 3, 64), ["frame_no"])
+    return ca.coefficient_embed(fx.clip(spark, sf_dir, 64), ["frame_no"])
 
 
 _SCORES = f"""{_COEFFICIENT}, ch AS (SELECT frame_no, y // 4 AS y, x // 4 AS x, sum(v - src) / 4.0 AS v FROM marked GROUP BY ALL),
@@ -475,20 +480,20 @@ sc AS (SELECT frame_no, h.y // 8 AS by_, h.x // 8 AS bx, sum(h.v * r.b * c.b) AS
 scores AS (SELECT frame_no, avg(c) AS score, count(*) FILTER (WHERE c > 10) AS hits, count(*) AS blocks FROM sc GROUP BY frame_no)"""
 
 
-def _coefficient_scores(spark):
-    p = fx.planes(spark, 3, 64)
+def _coefficient_scores(spark, sf_dir):
+    p = fx.clip(spark, sf_dir, 64)
     return ca.coefficient_scores(p, ca.coefficient_embed(p, ["frame_no"]), ["frame_no"])
 
 
 @query("frame_no:i score:d hits:i blocks:i", f"{_SCORES} SELECT * FROM scores")
 def c12_coefficient_scores(spark, sf_dir):
-    return _coefficient_scores(spark)
+    return _coefficient_scores(spark, sf_dir)
 
 
 @query("frame_no:i decoded:i margin:d low_confidence:b matches:b", f"{_SCORES} SELECT frame_no, CASE WHEN score > 6.0 * frame_no THEN 1 ELSE 0 END AS decoded, abs(score - 6.0 * frame_no) AS margin, abs(score - 6.0 * frame_no) < 5 AS low_confidence, CASE WHEN score > 6.0 * frame_no THEN 1 ELSE 0 END = 1 AS matches FROM scores")
 def c13_coefficient_verdict(spark, sf_dir):
     verdict = vo.coefficient_verdict(F.col("score"), 6.0 * F.col("frame_no"), F.lit(1))
-    return _coefficient_scores(spark).withColumns(verdict)
+    return _coefficient_scores(spark, sf_dir).withColumns(verdict)
 
 
 @query("u:i w:i low:d high:d", "SELECT u.u, w.w, CASE WHEN sqrt(u.u * u.u + w.w * w.w) <= 10 THEN 1.0 ELSE 0.0 END AS low, CASE WHEN sqrt(u.u * u.u + w.w * w.w) > 10 THEN 1.0 ELSE 0.0 END AS high FROM range(32) u(u), range(32) w(w)")
@@ -497,21 +502,21 @@ def c14_low_pass_mask(spark, sf_dir):
     return cells.withColumns({"low": tr.low_pass(F.col("u"), F.col("w"), 10), "high": tr.low_pass(F.col("u"), F.col("w"), 10, lower=False)})
 
 
-_BLUR = f"""WITH {fx.planes_sql(2, 32)}, {_BASIS.format(n=16)}, blocks AS (SELECT frame_no, y // 16 AS by_, x // 16 AS bx, y % 16 AS y, x % 16 AS x, v FROM pixels), {_DCT.format(keys='frame_no, by_, bx', source='blocks')},
+_BLUR = f"""WITH {fx.clip_sql(32)}, {_BASIS.format(n=16)}, blocks AS (SELECT frame_no, y // 16 AS by_, x // 16 AS bx, y % 16 AS y, x % 16 AS x, v FROM pixels), {_DCT.format(keys='frame_no, by_, bx', source='blocks')},
 low AS (SELECT frame_no, by_, bx, y.i AS y, x.i AS x, sum(c * y.b * x.b) AS v FROM spec s JOIN bas y ON y.k = s.u JOIN bas x ON x.k = s.w WHERE sqrt(s.u * s.u + s.w * s.w) <= 6 GROUP BY ALL)"""
 
 
 @query("frame_no:i by_:i bx:i y:i x:i v:d", f"{_BLUR} SELECT * FROM low")
 def c15_blur_region(spark, sf_dir):
-    return tr.blurred(_blocks(spark, n=16), ["frame_no", "by_", "bx"], 16, 6)
+    return tr.blurred(_blocks(spark, sf_dir, n=16), ["frame_no", "by_", "bx"], 16, 6)
 
 
 @query("frame_no:i y:i x:i v:d", f"{_BLUR} SELECT p.frame_no, p.y, p.x, CASE WHEN p.y // 16 = 1 AND p.x // 16 = p.frame_no % 2 THEN least(255.0, greatest(0.0, l.v)) ELSE p.v END AS v FROM pixels p JOIN low l ON l.frame_no = p.frame_no AND l.by_ = p.y // 16 AND l.bx = p.x // 16 AND l.y = p.y % 16 AND l.x = p.x % 16")
 def c16_blur_embed(spark, sf_dir):
-    frames = fx.frame_list(spark, 2, 32)
+    frames = fx.clip_frames(spark, sf_dir, 32)
     left, right = pa.middle_patches(F.col("width"), F.col("height"), 16)
     at = frames.select("frame_no", F.when(F.col("frame_no") % 2 == 0, left).otherwise(right).alias("p")).select("frame_no", "p.y0", "p.x0")
-    return ca.blur_embed(fx.planes(spark, 2, 32), at, 16, 6)
+    return ca.blur_embed(fx.clip(spark, sf_dir, 32), at, 16, 6)
 
 
 _CLIFF_SCORE = "avg(CASE WHEN sqrt(u * u + w * w) >= 2 AND sqrt(u * u + w * w) < 6 THEN c * c END) / (avg(CASE WHEN sqrt(u * u + w * w) >= 6 AND sqrt(u * u + w * w) < 10 THEN c * c END) + 1e-9)"
@@ -520,9 +525,9 @@ mspec AS (SELECT frame_no, by_, bx, u.k AS u, w.k AS w, round(sum(v * u.b * w.b)
 cells AS (SELECT frame_no, by_, bx, {_CLIFF_SCORE} AS score FROM mspec GROUP BY ALL)"""
 
 
-def _cliff_cells(spark):
+def _cliff_cells(spark, sf_dir):
     keys = ["frame_no", "by_", "bx"]
-    blocks = _blocks(spark, n=16)
+    blocks = _blocks(spark, sf_dir, n=16)
     soft = tr.blurred(blocks, keys, 16, 6).withColumnRenamed("v", "s")
     chosen = (F.col("by_") == 1) & (F.col("bx") == F.col("frame_no") % 2)
     mixed = blocks.join(soft, [*keys, "y", "x"]).withColumn("v", F.when(chosen, F.col("s")).otherwise(F.col("v")))
@@ -532,12 +537,12 @@ def _cliff_cells(spark):
 
 @query("frame_no:i by_:i bx:i log_score:d", f"{_CLIFF} SELECT frame_no, by_, bx, ln(score) AS log_score FROM cells")
 def c17_cliff_score(spark, sf_dir):
-    return _cliff_cells(spark).withColumn("log_score", F.log("score"))
+    return _cliff_cells(spark, sf_dir).withColumn("log_score", F.log("score"))
 
 
 @query("frame_no:i decided:b bit:i", f"{_CLIFF}, o AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY score DESC, by_, bx) AS k, lead(score) OVER (PARTITION BY frame_no ORDER BY score DESC, by_, bx) AS next FROM cells) SELECT frame_no, score / (next + 1e-9) >= 4 AS decided, CASE WHEN (bx * 16 + bx * 16 + 16) // 2 < 16 THEN 1 ELSE 0 END AS bit FROM o WHERE k = 1")
 def c18_blur_readout(spark, sf_dir):
-    cells = _cliff_cells(spark).select("frame_no", (F.col("bx") * 16).alias("x0"), (F.col("bx") * 16 + 16).alias("x1"), (F.col("by_") * 16).alias("y0"), "score")
+    cells = _cliff_cells(spark, sf_dir).select("frame_no", (F.col("bx") * 16).alias("x0"), (F.col("bx") * 16 + 16).alias("x1"), (F.col("by_") * 16).alias("y0"), "score")
     return vo.cliff_readout(cells, ["frame_no"], sc.middle_split(F.lit(32), 16))
 
 
@@ -545,7 +550,7 @@ def c18_blur_readout(spark, sf_dir):
 def w7_cell_ranking(spark, sf_dir):
     from pyspark.sql import Window
 
-    return _cliff_cells(spark).withColumn("place", F.row_number().over(Window.partitionBy("frame_no").orderBy(F.desc("score"), "by_", "bx")))
+    return _cliff_cells(spark, sf_dir).withColumn("place", F.row_number().over(Window.partitionBy("frame_no").orderBy(F.desc("score"), "by_", "bx")))
 
 
 @query(

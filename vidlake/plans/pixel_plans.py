@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ramp
 from ..operators import degrade as dg
+from ..operators import detector as de
 from ..operators import pixels as px
 from ..operators import views
 from ..sources import frames as src
@@ -19,11 +20,11 @@ from .registry import query
 
 N = 4
 KEYS = ["frame_no", "half"]
-HALVES = f"WITH {fx.planes_sql()}, {fx.half_pixelated_sql(N)}"
+HALVES = f"WITH {fx.clip_sql()}, {fx.half_pixelated_sql(N)}"
 
 
-def _halves(spark, n=N):
-    return fx.half_pixelated(fx.planes(spark), n)
+def _halves(spark, sf_dir, n=N):
+    return fx.half_pixelated(fx.clip(spark, sf_dir), n)
 
 
 def grads(table: str, keys: str = "frame_no, half") -> str:
@@ -60,12 +61,12 @@ def s2_video_metadata(spark, sf_dir):
     return src.videos(e.select(F.col("user_id").cast("string").alias("video_id"), F.lit(1920).alias("width"), F.lit(1080).alias("height")))
 
 
-_BGR = f"WITH {fx.planes_sql(2, 32)}, bgr AS (SELECT frame_no, y, x, v AS b, (CAST(v AS INT) * 3 + x) % 256 AS g, (CAST(v AS INT) * 5 + y) % 256 AS r FROM pixels)"
+_BGR = f"WITH {fx.clip_sql(32)}, bgr AS (SELECT frame_no, y, x, v AS b, (CAST(v AS INT) * 3 + x) % 256 AS g, (CAST(v AS INT) * 5 + y) % 256 AS r FROM pixels)"
 
 
-def _bgr(spark):
+def _bgr(spark, sf_dir):
     v = F.col("v").cast("int")
-    return fx.planes(spark, 2, 32).select("frame_no", "y", "x", F.col("v").alias("b"), ((v * 3 + F.col("x")) % 256).alias("g"), ((v * 5 + F.col("y")) % 256).alias("r"))
+    return fx.clip(spark, sf_dir, 32).select("frame_no", "y", "x", F.col("v").alias("b"), ((v * 3 + F.col("x")) % 256).alias("g"), ((v * 5 + F.col("y")) % 256).alias("r"))
 
 
 _YUV = "least(255, greatest(0, round_even({}, 0)))"
@@ -74,25 +75,31 @@ _YUV = "least(255, greatest(0, round_even({}, 0)))"
 @query("frame_no:i y:i x:i yy:i uu:i vv:i", f"{_BGR}, l AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS l FROM bgr) SELECT frame_no, y, x, {_YUV.format('l')} AS yy, {_YUV.format('0.492::DOUBLE * (b - l) + 128')} AS uu, {_YUV.format('0.877::DOUBLE * (r - l) + 128')} AS vv FROM l")
 def s3_colour_planes(spark, sf_dir):
     yuv = src.to_yuv(F.col("b"), F.col("g"), F.col("r"))
-    return _bgr(spark).select("frame_no", "y", "x", *[c.alias(n) for c, n in zip(yuv, ("yy", "uu", "vv"), strict=True)])
+    return _bgr(spark, sf_dir).select("frame_no", "y", "x", *[c.alias(n) for c, n in zip(yuv, ("yy", "uu", "vv"), strict=True)])
 
 
-_PAIR = f"WITH {fx.planes_sql(4, 32)}, pairs AS (SELECT frame_no, y, x, v AS src, floor(v / 48) * 48 AS imp FROM pixels WHERE frame_no < 3)"
+_PAIR = f"WITH {fx.clip_sql(32)}, pairs AS (SELECT frame_no, y, x, v AS src, floor(v / 48) * 48 AS imp FROM pixels WHERE frame_no < (SELECT max(s_suppkey) FROM supplier))"
 
 
-def _pairs(spark):
-    p = fx.planes(spark, 4, 32)
-    return src.paired(p, pr.quantised(p.where("frame_no < 3"), 48))
+def _shorter(spark, sf_dir, pixels):
+    """The clip without its last frame: a capture that ends first."""
+    last = fx.table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0]
+    return pixels.where(F.col("frame_no") < last)
+
+
+def _pairs(spark, sf_dir):
+    p = fx.clip(spark, sf_dir, 32)
+    return src.paired(p, pr.quantised(_shorter(spark, sf_dir, p), 48))
 
 
 @query("frame_no:i y:i x:i src:d imp:d", f"{_PAIR} SELECT * FROM pairs")
 def s6_paired_scan(spark, sf_dir):
-    return _pairs(spark)
+    return _pairs(spark, sf_dir)
 
 
 @query("frame_no:i y:i x:i luma:d", f"{_BGR} SELECT frame_no, y, x, 0.114::DOUBLE * b + 0.587::DOUBLE * g + 0.299::DOUBLE * r AS luma FROM bgr")
 def s7_p1_grey(spark, sf_dir):
-    return _bgr(spark).select("frame_no", "y", "x", px.luma(F.col("b"), F.col("g"), F.col("r")).alias("luma"))
+    return _bgr(spark, sf_dir).select("frame_no", "y", "x", px.luma(F.col("b"), F.col("g"), F.col("r")).alias("luma"))
 
 
 @query("id:i name:s", "SELECT vec_id AS id, printf('frame_%05d.png', vec_id) AS name FROM embeddings")
@@ -127,13 +134,13 @@ def s15_crf_sweep(spark, sf_dir):
 
 @query("frame_no:i y:i x:i diff:d panel:i", f"{_PAIR} SELECT frame_no, y, x, abs(src - imp) AS diff, CASE WHEN abs(src - imp) > 30 THEN 255 ELSE 0 END AS panel FROM pairs")
 def g12_frame_difference(spark, sf_dir):
-    return px.difference(_pairs(spark))
+    return px.difference(_pairs(spark, sf_dir))
 
 
 @query("frame_no:i image:s share:d largest:d", f"{_PAIR} SELECT frame_no, printf('frame_%05d.png', frame_no) AS image, avg(CASE WHEN abs(src - imp) > 30 THEN 1.0 ELSE 0.0 END) AS share, max(abs(src - imp)) AS largest FROM pairs GROUP BY frame_no")
 def g13_frame_views(spark, sf_dir):
-    p = fx.planes(spark, 4, 32)
-    return views.frame_views(p, pr.quantised(p.where("frame_no < 3"), 48))
+    p = fx.clip(spark, sf_dir, 32)
+    return views.frame_views(p, pr.quantised(_shorter(spark, sf_dir, p), 48))
 
 
 @query("id:i up:d down:d flat:d", f"SELECT event_id AS id, {ramp_sql('value', 20.0, 80.0)} AS up, {ramp_sql('value', 80.0, 20.0)} AS down, 0.0 AS flat FROM events")
@@ -143,28 +150,28 @@ def p2_ramp(spark, sf_dir):
     return e.select(F.col("event_id").alias("id"), ramp(v, 20.0, 80.0).alias("up"), ramp(v, 80.0, 20.0).alias("down"), ramp(v, 5.0, 5.0).alias("flat"))
 
 
-_PARTIAL = f"WITH {fx.planes_sql(3, 50)}"
+_PARTIAL = f"WITH {fx.clip_sql(50)}"
 
 
 @query("frame_no:i n_blocks:i", f"{_PARTIAL} SELECT frame_no, count(DISTINCT (y // 8) * 100 + x // 8) AS n_blocks FROM pixels WHERE y < 48 AND x < 48 GROUP BY frame_no")
 def p3_crop_to_blocks(spark, sf_dir):
-    return px.block_variances(fx.planes(spark, 3, 50), ["frame_no"], 8).groupBy("frame_no").agg(F.count("*").alias("n_blocks"))
+    return px.block_variances(fx.clip(spark, sf_dir, 50), ["frame_no"], 8).groupBy("frame_no").agg(F.count("*").alias("n_blocks"))
 
 
 @query("frame_no:i half:i axis:s idx:i p:d", f"{HALVES}, {grads('halves')} SELECT * FROM prof")
 def p4_gradient_profiles(spark, sf_dir):
-    return px.gradient_profiles(_halves(spark), KEYS)
+    return px.gradient_profiles(_halves(spark, sf_dir), KEYS)
 
 
 @query("frame_no:i half:i axis:s phase:i p:d", f"{HALVES}, {grads('halves')}, {ratios('prof', 'lens', '4')} SELECT * FROM folded")
 def p5_fold(spark, sf_dir):
-    arrays = px.as_arrays(px.gradient_profiles(_halves(spark), KEYS), KEYS)
+    arrays = px.as_arrays(px.gradient_profiles(_halves(spark, sf_dir), KEYS), KEYS)
     return arrays.select(*KEYS, "axis", F.posexplode(px.fold(F.col("profile"), F.lit(4))).alias("phase", "p"))
 
 
 @query("frame_no:i half:i axis:s r:d", f"{HALVES}, {grads('halves')}, {ratios('prof', 'lens', '4')} SELECT * FROM by_axis")
 def p6_boundary_ratio(spark, sf_dir):
-    arrays = px.as_arrays(px.gradient_profiles(_halves(spark), KEYS), KEYS)
+    arrays = px.as_arrays(px.gradient_profiles(_halves(spark, sf_dir), KEYS), KEYS)
     return arrays.select(*KEYS, "axis", px.boundary_ratio(F.col("profile"), F.lit(4)).alias("r"))
 
 
@@ -179,12 +186,12 @@ SELECT frame_no, half, min(n) AS block_size, min_by(ratio, n) AS ratio FROM m WH
 
 @query("frame_no:i half:i block_size:i ratio:d", _estimate_sql(HALVES))
 def p7_block_size(spark, sf_dir):
-    return px.block_size(_halves(spark), KEYS, (2, 4, 8, 16))
+    return px.block_size(_halves(spark, sf_dir), KEYS, (2, 4, 8, 16))
 
 
-@query("n_true:i frame_no:i half:i block_size:i", "\nUNION ALL ".join(f"SELECT {n} AS n_true, frame_no, half, block_size FROM ({_estimate_sql(f'WITH {fx.planes_sql()}, {fx.half_pixelated_sql(n)}')}) e{n}" for n in (2, 4, 8, 16)))
+@query("n_true:i frame_no:i half:i block_size:i", "\nUNION ALL ".join(f"SELECT {n} AS n_true, frame_no, half, block_size FROM ({_estimate_sql(f'WITH {fx.clip_sql()}, {fx.half_pixelated_sql(n)}')}) e{n}" for n in (2, 4, 8, 16)))
 def p18_check_block_size(spark, sf_dir):
-    parts = [px.block_size(_halves(spark, n), KEYS, (2, 4, 8, 16)).withColumn("n_true", F.lit(n)) for n in (2, 4, 8, 16)]
+    parts = [px.block_size(_halves(spark, sf_dir, n), KEYS, (2, 4, 8, 16)).withColumn("n_true", F.lit(n)) for n in (2, 4, 8, 16)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -194,7 +201,7 @@ def _var_sql(n: int, name: str) -> str:
 
 @query("frame_no:i half:i intra:d", f"{HALVES}, {_var_sql(8, 'b')} SELECT frame_no, half, avg(variance) AS intra FROM b GROUP BY ALL")
 def p8_intra_block_variance(spark, sf_dir):
-    return px.block_variances(_halves(spark), KEYS, 8).groupBy(*KEYS).agg(F.avg("variance").alias("intra"))
+    return px.block_variances(_halves(spark, sf_dir), KEYS, 8).groupBy(*KEYS).agg(F.avg("variance").alias("intra"))
 
 
 _VARIANCE = f"{_var_sql(N, 'fine')}, {_var_sql(2 * N, 'coarse_b')}, f AS (SELECT frame_no, half, avg(variance) AS intra FROM fine GROUP BY ALL), c AS (SELECT frame_no, half, avg(variance) AS coarse FROM coarse_b GROUP BY ALL), var_score AS (SELECT frame_no, half, intra / (coarse + 1e-6) AS variance_ratio, {ramp_sql('intra / (coarse + 1e-6)', 0.35, 0.05)} AS variance FROM f JOIN c USING (frame_no, half))"
@@ -202,12 +209,12 @@ _VARIANCE = f"{_var_sql(N, 'fine')}, {_var_sql(2 * N, 'coarse_b')}, f AS (SELECT
 
 @query("frame_no:i half:i variance_ratio:d variance:d", f"{HALVES}, {_VARIANCE} SELECT * FROM var_score")
 def p9_variance_score(spark, sf_dir):
-    return px.variance_score(_halves(spark), KEYS, N)
+    return px.variance_score(_halves(spark, sf_dir), KEYS, N)
 
 
 @query("frame_no:i half:i by:i bx:i variance:d", f'{HALVES}, {_var_sql(8, "b")} SELECT frame_no, half, by_ AS "by", bx, variance FROM b')
 def p10_variance_map(spark, sf_dir):
-    return px.block_variances(_halves(spark), KEYS, 8)
+    return px.block_variances(_halves(spark, sf_dir), KEYS, 8)
 
 
 _GRADIENT = f"{grads('halves')}, {ratios('prof', 'lens', '4')}, grad_score AS (SELECT frame_no, half, 0.5 * (ratio_cols + ratio_rows) AS gradient_ratio, {ramp_sql('0.5 * (ratio_cols + ratio_rows)', 2.0, 6.0)} AS gradient FROM ratio)"
@@ -215,7 +222,7 @@ _GRADIENT = f"{grads('halves')}, {ratios('prof', 'lens', '4')}, grad_score AS (S
 
 @query("frame_no:i half:i gradient_ratio:d gradient:d", f"{HALVES}, {_GRADIENT} SELECT * FROM grad_score")
 def p11_gradient_score(spark, sf_dir):
-    return px.gradient_score(_halves(spark), KEYS, N)
+    return px.gradient_score(_halves(spark, sf_dir), KEYS, N)
 
 
 _LAPLACE = f"""
@@ -229,7 +236,7 @@ lap_score AS (SELECT frame_no, half, 0.5 * (ratio_cols + ratio_rows) AS laplacia
 
 @query("frame_no:i half:i laplacian_ratio:d laplacian:d", f"{HALVES}, {_LAPLACE} SELECT * FROM lap_score")
 def p12_laplacian_score(spark, sf_dir):
-    return px.laplacian_score(_halves(spark), KEYS, N)
+    return px.laplacian_score(_halves(spark, sf_dir), KEYS, N)
 
 
 _FFT = f"""
@@ -242,7 +249,7 @@ fft_score AS (SELECT frame_no, half, coalesce(avg(CASE WHEN len >= 2 * {N} THEN
 
 @query("frame_no:i half:i fft_peak:d fft:d", f"{HALVES}, {grads('halves')}, {_FFT} SELECT *, {ramp_sql('fft_peak', 10.0, 30.0)} AS fft FROM fft_score")
 def p13_fft_score(spark, sf_dir):
-    return px.fft_score(_halves(spark), KEYS, N)
+    return px.fft_score(_halves(spark, sf_dir), KEYS, N)
 
 
 _NEIGHBOR = f"""
@@ -252,7 +259,7 @@ nei_score AS (SELECT frame_no, half, avg(i) - avg(b) AS neighbor_excess, {ramp_s
 
 @query("frame_no:i half:i neighbor_excess:d neighbor:d", f"{HALVES}, {grads('halves')}, {_NEIGHBOR} SELECT * FROM nei_score")
 def p15_neighbor_score(spark, sf_dir):
-    return px.neighbor_score(_halves(spark), KEYS, N)
+    return px.neighbor_score(_halves(spark, sf_dir), KEYS, N)
 
 
 DETECT = f"""{HALVES}, {_GRADIENT}, {_VARIANCE}, {_LAPLACE}, {_FFT}, {_NEIGHBOR},
@@ -262,12 +269,19 @@ detected AS (SELECT *, least(1.0, greatest(0.0, gradient * 0.35 + variance * 0.3
 
 @query("frame_no:i half:i gradient:d variance:d laplacian:d fft:d neighbor:d confidence:d", f"{DETECT} SELECT * FROM detected")
 def p16_detect_pixelation(spark, sf_dir):
-    return px.detect(_halves(spark), KEYS, N)
+    """All five statistics in one pass over packed halves."""
+    return de.detect_packed(fx.packed_halves(fx.stored_clip(spark, sf_dir), N), KEYS, N)
+
+
+@query("frame_no:i half:i gradient:d variance:d laplacian:d fft:d neighbor:d confidence:d", f"{DETECT} SELECT * FROM detected")
+def p16_detect_long_form(spark, sf_dir):
+    """The same from long-form pixels, each statistic a plan of its own."""
+    return px.detect(_halves(spark, sf_dir), KEYS, N)
 
 
 @query("frame_no:i left_conf:d right_conf:d", f"{DETECT} SELECT frame_no, max(CASE WHEN half = 0 THEN confidence END) AS left_conf, max(CASE WHEN half = 1 THEN confidence END) AS right_conf FROM detected GROUP BY frame_no")
 def p17_half_confidences(spark, sf_dir):
-    d = px.detect(_halves(spark), KEYS, N)
+    d = de.detect_packed(fx.packed_halves(fx.stored_clip(spark, sf_dir), N), KEYS, N)
     return d.groupBy("frame_no").agg(F.max(F.when(F.col("half") == 0, F.col("confidence"))).alias("left_conf"), F.max(F.when(F.col("half") == 1, F.col("confidence"))).alias("right_conf"))
 
 
@@ -280,7 +294,7 @@ def p8_variance_of_embedding_planes(spark, sf_dir):
     return px.block_variances(planes, ["frame_no"], 4).groupBy("frame_no").agg(F.round(F.avg("variance") * 1024).alias("intra"))
 
 
-_SSIM = f"""WITH {fx.planes_sql(4, 32)},
+_SSIM = f"""WITH {fx.clip_sql(32)},
 pairs AS (SELECT a.frame_no, a.y, a.x, a.v AS a, CASE WHEN a.frame_no = 2 THEN 255 - b.v ELSE b.v END AS b FROM pixels a JOIN pixels b ON b.frame_no = a.frame_no + CASE WHEN a.frame_no = 1 THEN 0 ELSE 1 END AND b.y = a.y AND b.x = a.x),
 r AS (SELECT frame_no, y, x, sum(a) OVER w AS sa, sum(b) OVER w AS sb, sum(a * a) OVER w AS saa, sum(b * b) OVER w AS sbb, sum(a * b) OVER w AS sab, count(*) OVER w AS n FROM pairs WINDOW w AS (PARTITION BY frame_no, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
 s AS (SELECT frame_no, sum(sa) OVER w AS sa, sum(sb) OVER w AS sb, sum(saa) OVER w AS saa, sum(sbb) OVER w AS sbb, sum(sab) OVER w AS sab, sum(n) OVER w AS n FROM r WINDOW w AS (PARTITION BY frame_no, x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
@@ -290,7 +304,7 @@ SELECT frame_no, avg((2 * ma * mb + 6.5025) * (2 * c + 58.5225) / ((ma * ma + mb
 
 @query("frame_no:i ssim:d changed:b", _SSIM)
 def t9_scene_change(spark, sf_dir):
-    p = fx.planes(spark, 4, 32)
+    p = fx.clip(spark, sf_dir, 32)
     b = p.select(F.col("frame_no").alias("_f"), "y", "x", F.col("v").alias("b"))
     a = p.select("frame_no", "y", "x", F.col("v").alias("a"), (F.col("frame_no") + F.when(F.col("frame_no") == 1, 0).otherwise(1)).alias("_f"))
     pairs = a.join(b, ["_f", "y", "x"]).withColumn("b", F.when(F.col("frame_no") == 2, 255 - F.col("b")).otherwise(F.col("b")))
@@ -312,23 +326,23 @@ def _photo_sql(c: str, gain: float) -> str:
 
 @query("frame_no:i y:i x:i b:i g:i r:i", f"{_BGR} SELECT frame_no, y, x, {_photo_sql('b', _CFG['wb_b'])} AS b, {_photo_sql('g', _CFG['wb_g'])} AS g, {_photo_sql('r', _CFG['wb_r'])} AS r FROM (SELECT frame_no, y, x, CAST(b AS DOUBLE) AS b, CAST(g AS DOUBLE) AS g, CAST(r AS DOUBLE) AS r FROM bgr)")
 def d_photo(spark, sf_dir):
-    rows = _bgr(spark)
+    rows = _bgr(spark, sf_dir)
     out = dg.photometric(F.col("b"), F.col("g"), F.col("r"), F.col("y"), F.col("x"), 32, 32, _CFG)
     return rows.select("frame_no", "y", "x", *[c.alias(n) for c, n in zip(out, "bgr", strict=True)])
 
 
 @query(
     "frame_no:i y:i x:i v:i",
-    f"WITH {fx.planes_sql(3, 32)}, t AS (SELECT *, 0.3::DOUBLE + frame_no * 0.4::DOUBLE AS th, 0.2::DOUBLE + frame_no * 0.05::DOUBLE AS f FROM pixels), u AS (SELECT *, x * cos(th) + y * sin(th) AS u, y * cos(th) - x * sin(th) AS w FROM t) SELECT frame_no, y, x, floor(least(255.0, greatest(0.0, v * (1.0 + 0.14::DOUBLE * (sin(2 * pi() * f * u) * sin(2 * pi() * f * 0.97::DOUBLE * w)))))) AS v FROM u",
+    f"WITH {fx.clip_sql(32)}, t AS (SELECT *, 0.3::DOUBLE + frame_no * 0.4::DOUBLE AS th, 0.2::DOUBLE + frame_no * 0.05::DOUBLE AS f FROM pixels), u AS (SELECT *, x * cos(th) + y * sin(th) AS u, y * cos(th) - x * sin(th) AS w FROM t) SELECT frame_no, y, x, floor(least(255.0, greatest(0.0, v * (1.0 + 0.14::DOUBLE * (sin(2 * pi() * f * u) * sin(2 * pi() * f * 0.97::DOUBLE * w)))))) AS v FROM u",
 )
 def d_moire(spark, sf_dir):
-    p = fx.planes(spark, 3, 32)
+    p = fx.clip(spark, sf_dir, 32)
     return p.withColumn("v", dg.moire(F.col("v"), F.col("y"), F.col("x"), 0.14, 0.3 + F.col("frame_no") * 0.4, 0.2 + F.col("frame_no") * 0.05))
 
 
-@query("frame_no:i y:i x:i v:d", f"WITH {fx.planes_sql(3, 64)} SELECT frame_no, y // 4 AS y, x // 4 AS x, (avg(v) / 255.0 - 0.485) / 0.229 AS v FROM pixels GROUP BY ALL")
+@query("frame_no:i y:i x:i v:d", f"WITH {fx.clip_sql(64)} SELECT frame_no, y // 4 AS y, x // 4 AS x, (avg(v) / 255.0 - 0.485) / 0.229 AS v FROM pixels GROUP BY ALL")
 def e3_preprocess(spark, sf_dir):
-    small = pr.area_mean(fx.planes(spark, 3, 64), ["frame_no"], 4)
+    small = pr.area_mean(fx.clip(spark, sf_dir, 64), ["frame_no"], 4)
     return small.withColumn("v", pr.channel_normalised(F.col("v"), 0.485, 0.229))
 
 
@@ -355,7 +369,7 @@ def e5_pooling(spark, sf_dir):
 
 
 _SIDE = 32
-_HIGH = f"""WITH {fx.planes_sql(3, _SIDE)},
+_HIGH = f"""WITH {fx.clip_sql(_SIDE)},
 taps AS (SELECT k - 8 AS o, exp(-pow(k - 8, 2) / 8.0) AS t FROM range(17) r(k)),
 kern AS (SELECT i.i AS to_, CASE WHEN abs(i.i + o) % {2 * _SIDE - 2} >= {_SIDE} THEN {2 * _SIDE - 2} - abs(i.i + o) % {2 * _SIDE - 2} ELSE abs(i.i + o) % {2 * _SIDE - 2} END AS spot, t / (SELECT sum(t) FROM taps) AS t FROM range({_SIDE}) i(i) CROSS JOIN taps),
 across AS (SELECT frame_no, y, to_ AS x, sum(v * t) AS v FROM pixels JOIN kern ON x = spot GROUP BY ALL),
@@ -367,4 +381,4 @@ SELECT frame_no, y, x, c / greatest(sqrt(sum(c * c) OVER (PARTITION BY frame_no)
 
 @query("frame_no:i y:i x:i v:d", _HIGH)
 def e7_pixel_encoder(spark, sf_dir):
-    return pr.high_pass(fx.planes(spark, 3, _SIDE), ["frame_no"], _SIDE)
+    return pr.high_pass(fx.clip(spark, sf_dir, _SIDE), ["frame_no"], _SIDE)

@@ -56,27 +56,27 @@ def stored_planes(spark, frames: int = 6, side: int = 64):
 @query("frame_no:i dim:i first:d")
 def e1_encode_frames(spark, sf_dir):
     """The weightless encoder over stored planes, in bounded batches."""
-    e = pr.build_encoder("pixel").encode(stored_planes(spark))
+    e = pr.build_encoder("pixel").encode(fx.stored_clip(spark, sf_dir))
     return e.select("frame_no", F.size("embedding").alias("dim"), F.element_at("embedding", 1).alias("first"))
 
 
-@query("frame_no:i y:i x:i v:d", f"WITH {fx.planes_sql()} SELECT frame_no, y, x, v FROM pixels")
+@query("frame_no:i y:i x:i v:d", f"WITH {fx.clip_sql()} SELECT frame_no, y, x, v FROM pixels")
 def s3_unpack_planes(spark, sf_dir):
     """Stored luma planes to long form."""
-    return pixels_of(stored_planes(spark))
+    return pixels_of(fx.stored_clip(spark, sf_dir))
 
 
 @query("frame_no:i height:i width:i digest:s")
 def t10_capture_simulation(spark, sf_dir):
     """The whole chain of the severe condition on stored planes, one seed by session and frame."""
-    out = im.simulate(stored_planes(spark), dg.condition("severe"), seed=7, out_size=(80, 60))
+    out = im.simulate(fx.stored_clip(spark, sf_dir), dg.condition("severe"), seed=7, out_size=(80, 60))
     return out.select("frame_no", "height", "width", F.md5("y").alias("digest"))
 
 
 @query("quality:i passes:i frame_no:i moved:d")
 def s14_chained_passes(spark, sf_dir):
     """Mean move of a pixel after one and three codec passes of four qualities, each on what the last one left."""
-    kept = stored_planes(spark)
+    kept = fx.stored_clip(spark, sf_dir)
     runs = []
     for quality in (90, 60, 30, 10):
         for passes in (1, 3):
@@ -85,18 +85,18 @@ def s14_chained_passes(spark, sf_dir):
     return reduce(DataFrame.unionAll, runs)
 
 
-_SMALL = """WITH small AS (SELECT f.range AS frame_no, y.range AS y, x.range AS x, (x.range * 7 + y.range * 13 + f.range * 31 + x.range * y.range) % 256 AS v
-  FROM range(6) f, range(32) y, range(32) x),
+_SMALL = f"""WITH {fx.clip_sql(32)}, small AS (SELECT * FROM pixels),
 taps AS (SELECT t.range AS at, least(31, greatest(0, CAST(floor(t.range / 2.0 - 0.25) AS INT) + s.range)) AS tap,
   CASE WHEN (t.range % 2 = 0) = (s.range = 0) THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END AS w FROM range(64) t, range(2) s),
 wide AS (SELECT frame_no, ty.at AS y, tx.at AS x, round_even(sum(v * ty.w * tx.w), 0) AS v FROM small JOIN taps ty ON ty.tap = small.y JOIN taps tx ON tx.tap = small.x GROUP BY ALL),
-moved AS (SELECT frame_no, abs((x * 7 + y * 13 + frame_no * 31 + x * y) % 256 - v) AS d FROM wide)"""
+{fx.clip_sql(64).strip().replace('pixels AS', 'large AS', 1)},
+moved AS (SELECT frame_no, abs(l.v - w.v) AS d FROM wide w JOIN large l USING (frame_no, y, x))"""
 
 
 @query("frame_no:i changed:i largest:d", f"{_SMALL} SELECT frame_no, count(*) FILTER (WHERE d > 30) AS changed, max(d) AS largest FROM moved GROUP BY frame_no")
 def g12_resized_difference(spark, sf_dir):
     """Frames of 64 x 64 against an impaired capture of 32 x 32, brought to their size first."""
-    found = im.plane_difference(stored_planes(spark), stored_planes(spark, side=32))
+    found = im.plane_difference(fx.stored_clip(spark, sf_dir), fx.stored_clip(spark, sf_dir, 32))
     size = pixels_of(found.withColumn("y", F.col("diff"))).groupBy("frame_no").agg(F.max("v").alias("largest"))
     panel = pixels_of(found.withColumn("y", F.col("panel"))).groupBy("frame_no").agg(F.count_if(F.col("v") > 0).alias("changed"))
     return size.join(panel, "frame_no")
@@ -113,7 +113,7 @@ def g11_warp_resample(spark, sf_dir):
             found = [im.warp_patch(np.frombuffer(r["y"], np.uint8).reshape(r["height"], r["width"]), 10.0 * r["frame_no"], 5.0, h, 16) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f is not None for f in found])], names=["frame_no", "accepted"])
 
-    return stored_planes(spark).mapInArrow(cut, "frame_no int, accepted boolean")
+    return fx.stored_clip(spark, sf_dir).mapInArrow(cut, "frame_no int, accepted boolean")
 
 
 @query("frame_no:i peak:d")
@@ -123,12 +123,12 @@ def p14_fft_spectrum(spark, sf_dir):
             rows = batch.to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([float(im.spectrum2d(np.frombuffer(r["y"], np.uint8).reshape(r["height"], r["width"]).astype(float)).max()) for r in rows])], names=["frame_no", "peak"])
 
-    return stored_planes(spark).mapInArrow(peak, "frame_no int, peak double")
+    return fx.stored_clip(spark, sf_dir).mapInArrow(peak, "frame_no int, peak double")
 
 
-@query("video_id:s frame_no:i bytes:i", "SELECT 'clip' AS video_id, range AS frame_no, 4096 AS bytes FROM range(6)")
+@query("video_id:s frame_no:i bytes:i", "SELECT 'clip' AS video_id, s_suppkey AS frame_no, 4096 AS bytes FROM supplier")
 def s4_write_frames(spark, sf_dir):
     """Frames written in order and read back."""
     path = scratch.folder(spark, "frames")
-    sinks.write_frames(stored_planes(spark), path)
+    sinks.write_frames(fx.stored_clip(spark, sf_dir), path)
     return spark.read.parquet(path).select("video_id", "frame_no", F.length("y").alias("bytes"))
