@@ -5,10 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Points that fix a projection, matches that a model needs, pixels within which a match agrees.
 LEAST, ENOUGH, REACH = 4, 10, 5.0
 ROUNDS, SURE = 2000, 0.995
+#: Fixed values of V6: inliers that a valid model has at least, and their greatest mean error in pixels.
+MIN_INLIERS, MAX_ERROR = 20, 5.0
 
 
 def _scaled(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -19,12 +22,15 @@ def _scaled(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """The least-squares projection of points ``a`` to ``b`` (direct linear transform), or None."""
+    """The least-squares projection of points ``a`` to ``b`` (direct linear transform), or None.
+
+    It is the least eigenvector of a 9 x 9 matrix, however many points there are.
+    """
     (p, s), (q, t) = _scaled(a), _scaled(b)
     one, zero = np.ones(len(p)), np.zeros((len(p), 3))
     near = np.column_stack([p, one])
     rows = np.concatenate([np.hstack([near, zero, -q[:, :1] * near]), np.hstack([zero, near, -q[:, 1:] * near])])
-    h = np.linalg.inv(t) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ s
+    h = np.linalg.inv(t) @ np.linalg.eigh(rows.T @ rows)[1][:, 0].reshape(3, 3) @ s
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 and np.isfinite(h).all() else None
 
 
@@ -62,6 +68,16 @@ def fit(a: np.ndarray, b: np.ndarray, reach: float = REACH, seed: int = 0) -> tu
     return best, held
 
 
+def validated(found: DataFrame, min_inliers: int = MIN_INLIERS, max_error: float = MAX_ERROR) -> DataFrame:
+    """V5 as a whole: ``fitted`` with ``valid`` (V6), and no projection where it is not.
+
+    A model stands with enough inliers whose mean error is under the limit.
+    """
+    mean = F.aggregate("inlier_errs", F.lit(0.0), lambda s, x: s + x) / F.size("inlier_errs")
+    valid = F.coalesce(F.col("homography_ok") & (F.col("num_inliers") >= min_inliers) & (mean < max_error), F.lit(False))
+    return found.withColumn("valid", valid).withColumn("homography", F.when(F.col("valid"), F.col("homography")))
+
+
 def fitted(matches: DataFrame, keys: list[str], enough: int = ENOUGH) -> DataFrame:
     """V5: ``keys``, num_matches, num_inliers, inlier_errs, homography_ok and homography (row by row) of each group of
     matched points (x0, y0, x1, y1).

@@ -10,7 +10,7 @@ from ..functions.vectors import l2_normalised
 from ..operators import alignment as al
 from ..operators import evaluation as ev
 from ..operators import search as se
-from ..operators.homography import fitted
+from ..operators.homography import fitted, validated
 from . import fixtures as fx
 from .registry import query
 
@@ -221,15 +221,34 @@ SELECT pair_id, count(*) AS num_matches, CASE WHEN count(*) < 10 THEN 0 ELSE cou
 @query("pair_id:i num_matches:i num_inliers:i homography_ok:b worst:d", _MATCHED)
 def v5_fitted_homography(spark, sf_dir):
     """Points under a known projection, one in five of them displaced; nine matches are too few for a model."""
+    found = fitted(_matched_points(spark, sf_dir), ["pair_id"])
+    return found.withColumn("worst", F.round(F.coalesce(F.array_max("inlier_errs"), F.lit(0.0)), 4))
+
+
+def _matched_points(spark, sf_dir, few=False):
     e = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair_id"))
     k, pair = F.col("k"), F.col("pair_id")
-    m = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(35)))).where(k < F.when(pair % 9 == 8, 9).otherwise(36))
+    held = F.when(pair % 9 == 8, 9).when((pair % 9 == 7) & F.lit(few), 22).otherwise(36)
+    m = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(35)))).where(k < held)
     m = m.withColumns({"x0": (k % 6 * 90 + pair % 7).cast("double"), "y0": (F.floor(k / 6) * 70 + k % 6 * 3).cast("double")})
     w = 1.0 + F.col("x0") * 0.0001 * (pair % 4) + F.col("y0") * 0.00005
     wild = F.when(k % 5 == 4, 60.0 + k * k % 37).otherwise(0.0)
-    m = m.withColumns({"x1": (F.col("x0") * 1.02 + F.col("y0") * 0.03 + 4.0) / w + wild, "y1": (F.col("x0") * -0.02 + F.col("y0") * 0.97 + 6.0) / w - wild * F.when(k % 2 == 0, 1).otherwise(-1)})
-    found = fitted(m, ["pair_id"])
-    return found.withColumn("worst", F.round(F.coalesce(F.array_max("inlier_errs"), F.lit(0.0)), 4))
+    return m.withColumns({"x1": (F.col("x0") * 1.02 + F.col("y0") * 0.03 + 4.0) / w + wild, "y1": (F.col("x0") * -0.02 + F.col("y0") * 0.97 + 6.0) / w - wild * F.when(k % 2 == 0, 1).otherwise(-1)})
+
+
+_CHECKED = """WITH m AS (SELECT e.vec_id AS pair_id, k.k, CASE WHEN e.vec_id % 9 = 8 THEN 9 WHEN e.vec_id % 9 = 7 THEN 22 ELSE 36 END AS n FROM embeddings e CROSS JOIN range(36) k(k)),
+g AS (SELECT pair_id, count(*) AS num_matches, count(*) FILTER (WHERE k % 5 <> 4) AS near FROM m WHERE k < n GROUP BY pair_id)
+SELECT pair_id, num_matches, CASE WHEN num_matches < 10 THEN 0 ELSE near END AS num_inliers, num_matches >= 10 AND near >= 20 AS valid,
+  CASE WHEN num_matches >= 10 AND near >= 20 THEN round((1.02 * 100 + 0.03 * 50 + 4.0) / (1.0 + 0.01 * (pair_id % 4) + 0.0025), 3) END AS seen_x FROM g"""
+
+
+@query("pair_id:i num_matches:i num_inliers:i valid:b seen_x:d", _CHECKED)
+def v5_validated_homography(spark, sf_dir):
+    """The whole of V5: fit, then V6 at its own limits; where (100, 50) is seen under a projection that stands."""
+    found = validated(fitted(_matched_points(spark, sf_dir, few=True), ["pair_id"]))
+    h = lambda i: F.element_at("homography", i + 1)
+    x = (h(0) * 100 + h(1) * 50 + h(2)) / (h(6) * 100 + h(7) * 50 + h(8))
+    return found.withColumn("seen_x", F.round(x, 3))
 
 
 _POINTS = """
@@ -258,6 +277,18 @@ def v6_valid_homography(spark, sf_dir):
     return ev.valid_homography(_points(spark, sf_dir), "pair_id", max_error=20.0)
 
 
+_NEAR = f"WITH {_POINTS}, near AS (SELECT pair_id, inlier, sqrt(pow(l_partkey % 7, 2) + pow(pair_id % 5, 2)) AS error FROM errs)"
+
+
+@query("pair_id:i n_inliers:i mean_error:d valid:b", f"{_NEAR} SELECT pair_id, count(*) FILTER (WHERE inlier) AS n_inliers, avg(error) FILTER (WHERE inlier) AS mean_error, coalesce(count(*) FILTER (WHERE inlier) >= 20 AND avg(error) FILTER (WHERE inlier) < 5.0, false) AS valid FROM near GROUP BY pair_id")
+def v6_default_limits(spark, sf_dir):
+    """The limits as they stand: 20 inliers, mean error under 5; points a few pixels off their projection."""
+    p = _points(spark, sf_dir)
+    w = 0.0001 * F.col("x0") + 0.00005 * F.col("y0") + 1.0
+    seen = {"x1": (1.01 * F.col("x0") + 0.02 * F.col("y0") + 3.0) / w + F.col("l_partkey") % 7, "y1": (-0.01 * F.col("x0") + 0.99 * F.col("y0") + 5.0) / w + F.col("pair_id") % 5}
+    return ev.valid_homography(p.withColumns(seen), "pair_id")
+
+
 @query("i:i k:i x:d", "WITH u AS (SELECT vec_id AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings) SELECT i, k - 1 AS k, v[k] / greatest(sqrt(list_dot_product(v, v)), 1e-8) AS x FROM u CROSS JOIN range(1, 65) r(k)")
 def e10_l2_normalise(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings")

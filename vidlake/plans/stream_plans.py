@@ -126,6 +126,50 @@ def p14_fft_spectrum(spark, sf_dir):
     return fx.stored_clip(spark, sf_dir).mapInArrow(peak, "frame_no int, peak double")
 
 
+_SPECTRUM = f"""WITH {fx.clip_sql(16)}, c AS (SELECT frame_no, y, x, v - avg(v) OVER (PARTITION BY frame_no) AS v FROM pixels),
+across AS (SELECT frame_no, y, k.k AS w, sum(v * cos(2 * pi() * k.k * x / 16)) AS re, sum(-v * sin(2 * pi() * k.k * x / 16)) AS im FROM c, range(16) k(k) GROUP BY ALL),
+down AS (SELECT frame_no, k.k AS u, w, sum(re * cos(2 * pi() * k.k * y / 16) + im * sin(2 * pi() * k.k * y / 16)) AS re, sum(im * cos(2 * pi() * k.k * y / 16) - re * sin(2 * pi() * k.k * y / 16)) AS im FROM across, range(16) k(k) GROUP BY ALL)
+SELECT frame_no, (u + 8) % 16 AS u, (w + 8) % 16 AS w, ln(1 + sqrt(re * re + im * im)) AS s FROM down"""
+
+
+@query("frame_no:i u:i w:i s:d", _SPECTRUM)
+def p14_spectrum_bins(spark, sf_dir):
+    """Every bin of the centred log spectrum."""
+
+    def bins(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                s = im.spectrum2d(np.frombuffer(r["y"], np.uint8).reshape(r["height"], r["width"]).astype(float))
+                u, w = np.indices(s.shape).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([r["frame_no"]] * s.size, pa.int32()), pa.array(u), pa.array(w), pa.array(s.ravel())], names=["frame_no", "u", "w", "s"])
+
+    return fx.stored_clip(spark, sf_dir, 16).mapInArrow(bins, "frame_no int, u long, w long, s double")
+
+
+_WARP = f"""WITH {fx.clip_sql(64)}, placed AS (SELECT DISTINCT frame_no, CAST(frame_no * 7 % 60 AS DOUBLE) AS x0 FROM pixels),
+inside AS (SELECT * FROM placed WHERE least(1.0103137 * x0 + 0.0207313 * 5.0 + 1.0, 1.0103137 * x0 + 0.0207313 * 21.0 + 1.0, -0.0109391 * (x0 + 16) + 0.9907177 * 5.0 + 2.0) >= -1.0 AND 1.0103137 * (x0 + 16) + 0.0207313 * 21.0 + 1.0 <= 64.0 AND -0.0109391 * x0 + 0.9907177 * 21.0 + 2.0 <= 64.0),
+spots AS (SELECT frame_no, y.y, x.x, 1.0103137::DOUBLE * (x0 + x.x) + 0.0207313::DOUBLE * (5.0 + y.y) + 1.0 AS sx, -0.0109391::DOUBLE * (x0 + x.x) + 0.9907177::DOUBLE * (5.0 + y.y) + 2.0 AS sy FROM inside, range(16) y(y), range(16) x(x)),
+taps AS (SELECT frame_no, y, x, least(63, greatest(0, CAST(floor(sy) AS INT) + dy.d)) AS ty, least(63, greatest(0, CAST(floor(sx) AS INT) + dx.d)) AS tx,
+  CASE WHEN dy.d = 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END * CASE WHEN dx.d = 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END AS w FROM spots, range(2) dy(d), range(2) dx(d))
+SELECT t.frame_no, t.y, t.x, round(sum(t.w * p.v)) AS v FROM taps t JOIN pixels p ON p.frame_no = t.frame_no AND p.y = t.ty AND p.x = t.tx GROUP BY ALL"""
+
+
+@query("frame_no:i y:i x:i v:i", _WARP)
+def g11_warp_pixels(spark, sf_dir):
+    """The resampled pixels of every patch whose projection stays in the frame."""
+    h = np.array([[1.0103137, 0.0207313, 1.0], [-0.0109391, 0.9907177, 2.0], [0.0, 0.0, 1.0]])
+
+    def cut(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = im.warp_patch(np.frombuffer(r["y"], np.uint8).reshape(r["height"], r["width"]), float(r["frame_no"] * 7 % 60), 5.0, h, 16)
+                if found is not None:
+                    y, x = np.indices(found.shape).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array([r["frame_no"]] * found.size, pa.int32()), pa.array(y), pa.array(x), pa.array(found.ravel().astype(np.int32))], names=["frame_no", "y", "x", "v"])
+
+    return fx.stored_clip(spark, sf_dir).mapInArrow(cut, "frame_no int, y long, x long, v int")
+
+
 @query("video_id:s frame_no:i bytes:i", "SELECT 'clip' AS video_id, s_suppkey AS frame_no, 4096 AS bytes FROM supplier")
 def s4_write_frames(spark, sf_dir):
     """Frames written in order and read back."""
