@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import middle_split, run_of
+from ..sources import scratch
 
 SIDE = 256
 
@@ -62,19 +63,82 @@ def spread_points(points: Column, side: int = SIDE) -> Column:
     return F.aggregate(points, none, lambda kept, p: F.when(F.exists(kept, lambda k: _near(k, p, side)), kept).otherwise(F.concat(kept, F.array(p))))
 
 
+def spread_in_cells(points: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
+    """G4 without an array: the same kept points of (keys..., o, x, y), ``o`` giving the order within a key.
+
+    On a grid of cells of ``side`` two points of a cell are always near each
+    other, so a cell's first point is the only one of it that can be kept
+    next, and only points of the 3 x 3 cells around can be near it. A round
+    takes each cell's first, keeps those before all points near them, and
+    drops what is near a kept one; rounds go on until no point is left. A point
+    kept is before every point that it drops, and everything before it
+    that is near was dropped by one kept earlier: the greedy walk's result.
+    Points of one key spread over tasks by their cells; rounds are staged.
+    """
+    spark = points.sparkSession
+    cell = [*keys, "_cy", "_cx"]
+    live = points.select(*keys, "o", "x", "y", F.floor(F.col("y") / side).cast("int").alias("_cy"), F.floor(F.col("x") / side).cast("int").alias("_cx"))
+    kept = None
+
+    def around(firsts: DataFrame) -> DataFrame:
+        """Each first in the cells whose points may be near it."""
+        shift = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+        return firsts.withColumn("_s", shift).select(*keys, (F.col("_cy") + F.col("_s.dy")).alias("_cy"), (F.col("_cx") + F.col("_s.dx")).alias("_cx"), "f")
+
+    near = (F.abs(F.col("x") - F.col("f.x")) < side) & (F.abs(F.col("y") - F.col("f.y")) < side)
+    while True:
+        firsts = live.groupBy(*cell).agg(F.min(F.struct("o", "x", "y")).alias("f"))
+        pairs = live.join(around(firsts), cell).where(near)
+        won = pairs.groupBy(*keys, "f").agg(F.min("o").alias("_least")).where(F.col("_least") == F.col("f.o")).select(*keys, "f")
+        path = scratch.folder(spark, "kept")
+        won.write.parquet(path)
+        now = spark.read.schema(won.schema).parquet(path)
+        kept = now if kept is None else kept.unionAll(now)
+        held = now.select(*keys, "f", F.floor(F.col("f.y") / side).cast("int").alias("_cy"), F.floor(F.col("f.x") / side).cast("int").alias("_cx"))
+        gone = around(held).withColumnRenamed("f", "g")
+        far = ~((F.abs(F.col("x") - F.col("g.x")) < side) & (F.abs(F.col("y") - F.col("g.y")) < side))
+        rest = live.join(gone, cell, "left").groupBy(*cell, "o", "x", "y").agg(F.min(F.when(F.col("g").isNull(), True).otherwise(far)).alias("_far")).where("_far").drop("_far")
+        path = scratch.folder(spark, "live")
+        rest.select(*live.columns).write.parquet(path)
+        live = spark.read.schema(live.schema).parquet(path)
+        if live.isEmpty():
+            break
+    return kept.select(*keys, "f.o", "f.x", "f.y")
+
+
 def suppressed(point: Column, pool: Column, side: int = SIDE) -> Column:
     """Whether a point is too near to one in the pool."""
     return F.exists(pool, lambda k: _near(k, point, side))
 
 
-def keypoint_patches(keypoints: DataFrame, frames: DataFrame, side: int = SIDE) -> DataFrame:
+def _ranked_point(*names: str) -> list[Column]:
+    """What orders keypoints, and their whole coordinates."""
+    return [(-F.col("size")).alias(names[0]), (-F.col("response")).alias(names[1]), F.col("kp_id").alias(names[2])]
+
+
+def spread_keypoints(keypoints: DataFrame, side: int = SIDE) -> DataFrame:
+    """G4 over (frame_no, kp_id, x, y, size, response) in cells: frame_no, ord, x, y of the kept points.
+
+    A frame keeps at most one point a cell, so numbering them is bounded by the frame's size.
+    """
+    points = keypoints.select("frame_no", F.struct(*_ranked_point("a", "b", "c")).alias("o"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    place = F.row_number().over(Window.partitionBy("frame_no").orderBy("o")) - 1
+    return spread_in_cells(points, ["frame_no"], side).select("frame_no", place.alias("ord"), "x", "y")
+
+
+def keypoint_patches(keypoints: DataFrame, frames: DataFrame, side: int = SIDE, in_cells: bool = False) -> DataFrame:
     """Per frame, patches around spread keypoints by (size, response) descending, with their half.
 
-    One row a patch: frame_no, ord, y0, y1, x0, x1, cx, cy, half (null: neither). A frame's keypoints are one array.
+    One row a patch: frame_no, ord, y0, y1, x0, x1, cx, cy, half (null: neither). A frame's keypoints are one array,
+    or with ``in_cells`` rows that spread over tasks; the patches are the same.
     """
-    point = F.struct((-F.col("size")).alias("a"), (-F.col("response")).alias("b"), F.col("kp_id").alias("c"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
-    listed = keypoints.groupBy("frame_no").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("points"))
-    kept = listed.select("frame_no", F.posexplode(spread_points(F.col("points"), side)).alias("ord", "p")).join(frames.select("frame_no", "width", "height"), "frame_no")
+    if in_cells:
+        spread = spread_keypoints(keypoints, side).select("frame_no", "ord", F.struct("x", "y").alias("p"))
+    else:
+        point = F.struct(*_ranked_point("a", "b", "c"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+        listed = keypoints.groupBy("frame_no").agg(F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("points"))
+        spread = listed.select("frame_no", F.posexplode(spread_points(F.col("points"), side)).alias("ord", "p"))
+    kept = spread.join(frames.select("frame_no", "width", "height"), "frame_no")
     cut = kept.withColumn("patch", patch(F.col("p.x"), F.col("p.y"), F.col("width"), F.col("height"), side, centred=True)).where("patch is not null")
     return cut.select("frame_no", "ord", "patch.*", F.col("p.x").alias("cx"), F.col("p.y").alias("cy"), half_of_keypoint(F.col("patch.x0"), F.col("patch.x1"), F.col("width")).alias("half"))
 

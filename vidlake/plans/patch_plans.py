@@ -101,6 +101,21 @@ def g6_keypoint_halves(spark, sf_dir, whole=False):
     return pa.keypoint_patches(_keypoints(spark, sf_dir, whole), _frames_97(spark)).where("half is not null")
 
 
+_WHOLE_SPREAD = _SPREAD.replace(" WHERE event_id < 4000", "")
+
+
+@query("frame_no:i ord:i x:i y:i", f"{_WHOLE_SPREAD} SELECT * FROM spread")
+def g4_spread_in_cells(spark, sf_dir):
+    """Ordered suppression over all keypoints, by rounds on grid cells instead of an array a frame."""
+    return pa.spread_keypoints(_keypoints(spark, sf_dir, True))
+
+
+@query("frame_no:i ord:i y0:i x0:i half:i", f"{_WHOLE_SPREAD} SELECT *, CASE WHEN x0 + 256 <= 960 THEN 0 WHEN x0 > 960 THEN 1 END AS half FROM cut")
+def g5_patches_in_cells(spark, sf_dir):
+    """Patches around all keypoints kept so, with their half (null: neither)."""
+    return pa.keypoint_patches(_keypoints(spark, sf_dir, True), _frames_97(spark), in_cells=True)
+
+
 @query("frame_no:i ord:i half:i", f"WITH {_SIZES}, {_GRID} SELECT frame_no, ord, CASE WHEN x0 + 256 < width // 2 THEN 0 ELSE 1 END AS half FROM cells", whole=True)
 def g7_grid_halves(spark, sf_dir, whole=False):
     return pa.grid(_sizes(spark, sf_dir, whole)).withColumn("half", pa.half_of_cell(F.col("x1"), F.col("width")))
