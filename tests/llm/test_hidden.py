@@ -151,3 +151,12 @@ def test_long_texts_are_split_in_bounded_runs(monkeypatch):
     monkeypatch.setattr(hidden, "TEXT_BYTES", 10)
     texts = pa.array(["aaaa", None, "B" * 50, "c", "d" * 9, ""])
     assert [x for first, run in hidden.pieces_of(texts) for x in run.to_pylist()] == ["aaaa", "", "b" * 50, "c", "d" * 9, ""]
+
+
+def test_most_frequent_words_with_ties(stored):
+    rng = random.Random(1)
+    rows = [(f"w{k}", rng.choice([1, 1, 1, 2, 3, 9, 100, 101, 5000])) for k in range(400)]
+    table = stored(rows, "word string, c long")
+    for size in (1, 7, 60, 399, 1000):
+        assert [tuple(r) for r in hidden.most_frequent(table, size)] == sorted(rows, key=lambda r: (-r[1], r[0]))[:size]
+    assert hidden.most_frequent(table.limit(0), 5) == []
