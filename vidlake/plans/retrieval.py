@@ -9,6 +9,7 @@ from ..functions import scalars as sc
 from ..functions.vectors import l2_normalised
 from ..operators import alignment as al
 from ..operators import evaluation as ev
+from ..operators import pruned as pr
 from ..operators import search as se
 from ..operators.homography import fitted, validated
 from . import fixtures as fx
@@ -40,6 +41,19 @@ def j1_topk_ip(spark, sf_dir):
     return se.topk_inner_product(fx.degraded(spark, sf_dir), fx.reference(spark, sf_dir), 10)
 
 
+@query("q:i rank:i ref_id:i score:d", f"{BASE}, {fx.topk_sql('refs', 10)} SELECT * FROM top")
+def j1_topk_pruned(spark, sf_dir):
+    """The same rows by blocks that a bound may skip."""
+    return pr.topk_pruned(fx.degraded(spark, sf_dir), fx.reference(spark, sf_dir), 10)[0]
+
+
+@query("cond:d q:i rank:i ref_id:i score:d", f"{SMOOTH}, {fx.topk_sql('smooth', 10, 'cond')} SELECT * FROM top")
+def j2_smooth_topk_pruned(spark, sf_dir):
+    """Frames that are like their neighbours, under three levels of noise."""
+    refs, queries = _smooth(spark, sf_dir)
+    return pr.topk_pruned(queries, refs, 10, ["cond"])[0]
+
+
 @query("q:i rank:i ref_id:i score:d", f"{BASE}, {fx.topk_sql('refs', 3)} SELECT * FROM top WHERE q % 10 = 0", whole=True)
 def j2_topk_expression(spark, sf_dir, whole=False):
     queries = fx.degraded(spark, sf_dir)
