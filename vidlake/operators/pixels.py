@@ -96,7 +96,7 @@ def variance_score(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Variance inside n blocks over that inside 2n blocks; 1 and score 0 where either is missing."""
     fine = block_variances(pixels, keys, n).groupBy(*keys).agg(F.avg("variance").alias("intra"))
     coarse = block_variances(pixels, keys, 2 * n).groupBy(*keys).agg(F.avg("variance").alias("coarse"))
-    both = fine.join(coarse, keys, "left")
+    both = fine.join(coarse.hint("merge"), keys, "left")
     ratio = F.col("intra") / (F.col("coarse") + EPS)
     ok = F.col("coarse").isNotNull() & F.lit(n >= 2)
     return both.withColumns({"variance_ratio": F.when(ok, ratio).otherwise(1.0), "variance": F.when(ok, ramp(ratio, *RAMPS["variance"])).otherwise(0.0)})
@@ -173,20 +173,25 @@ def detect(pixels: DataFrame, keys: list[str], n: int, weights: dict[str, float]
     names = ["gradient", "variance", "laplacian", "fft", "neighbor"]
     out = parts[0].select(*keys, names[0])
     for part, name in zip(parts[1:], names[1:], strict=True):
-        out = out.join(part.select(*keys, name), keys)
+        out = out.join(part.select(*keys, name).hint("merge"), keys)
     total = sum(weights.get(k, 0.0) for k in names)
     mean = sum((F.col(k) * weights.get(k, 0.0) for k in names), F.lit(0.0)) / total if total else F.lit(0.0)
     return out.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))
 
 
-def pixelated(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Every n x n block becomes the value that linear resampling takes at its centre.
+def block_value(keys: list[str], n: int) -> Column:
+    """C1 beside a pixel: the value that linear resampling takes at the centre of its n x n block.
 
     That is the rounded mean of the four middle pixels, or for odd n the middle one.
     """
     middle = [F.pmod(F.floor(F.col(c)), F.lit(n)).isin((n - 1) // 2, n // 2) for c in ("y", "x")]
     mean = F.avg(F.when(middle[0] & middle[1], F.col("v"))).over(Window.partitionBy(*keys, F.floor(F.col("y") / n), F.floor(F.col("x") / n)))
-    return pixels.withColumn("v", F.floor(mean + 0.5).cast("double"))
+    return F.floor(mean + 0.5).cast("double")
+
+
+def pixelated(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Every n x n block becomes the value at its centre."""
+    return pixels.withColumn("v", block_value(keys, n))
 
 
 def difference(pairs: DataFrame, threshold: float = 30) -> DataFrame:
