@@ -39,7 +39,7 @@ def to_yuv(b: Column, g: Column, r: Column) -> list[Column]:
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two captures in step; the shorter one ends the scan. Both have (frame_no, y, x, v)."""
     left = a.select("frame_no", "y", "x", F.col("v").alias("src"))
-    return left.join(b.select("frame_no", "y", "x", F.col("v").alias("imp")), ["frame_no", "y", "x"])
+    return left.join(b.select("frame_no", "y", "x", F.col("v").alias("imp")).hint("merge"), ["frame_no", "y", "x"])
 
 
 def planes(spark: SparkSession, frames: int, height: int, width: int) -> DataFrame:
