@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vidlake.operators import keypoints as kp
 from vidlake.operators import patches as pt
+from vidlake.operators import search as se
 from vidlake.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +59,30 @@ def test_keypoints_without_descriptors_are_the_same():
     plane = 120 + 90.0 * (np.hypot(y - 20, x - 26) < 6) - 70.0 * (np.hypot(y - 34, x - 12) < 4)
     full, plain = kp.found_in(plane), kp.found_in(plane, describe=False)
     assert full and [r[:6] for r in full] == [r[:6] for r in plain] and {r[6] for r in plain} == {None}
+
+
+def test_many_pairs_are_scored_in_blocks(spark, monkeypatch):
+    side = spark.range(300).selectExpr("id AS q", "id AS ref_id", "transform(sequence(1, 8), k -> sin(id * 7.3 + k * k)) AS vec")
+    q, r = side.select("q", "vec"), side.select("ref_id", "vec")
+    few = se.topk_by_expression(q, r, 3)
+    monkeypatch.setattr(se, "PAIRS", 1000)
+    many = se.topk_by_expression(q, r, 3)
+    assert "NestedLoop" not in plan(many) and "Cartesian" not in plan(many)
+    held = lambda df: sorted((x.q, x.rank, x.ref_id, round(x.score, 9)) for x in df.collect())
+    assert held(few) == held(many)
+    assert "NestedLoop" not in plan(QUERIES["j3_full_scores"](spark, SF)) and "Cartesian" not in plan(QUERIES["j3_full_scores"](spark, SF))
+
+
+def test_offsets_are_added_up_in_blocks(spark, monkeypatch):
+    """Gaps, several vectors at a position, a block's border and negative positions; vectors are not sent once an offset."""
+    monkeypatch.setattr(se, "SPAN", 7)
+    ids = [-9, -8, -3, 0, 1, 2, 4, 4, 6, 7, 8, 13, 14, 15, 20, 21, 29]
+    vectors = [[float((i * 7 + k) % 11), float(i % 5), 1.5] for k, i in enumerate(ids)]
+    refs = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "ref_id long, vec array<double>")
+    want = {}
+    for d in range(1, 6):
+        found = [sum(p * q for p, q in zip(v, w, strict=True)) for i, v in zip(ids, vectors, strict=True) for j, w in zip(ids, vectors, strict=True) if j == i + d]
+        if found:
+            want[d] = sum(found) / len(found)
+    assert {r.d: r.s_self for r in se.offset_similarity(refs, 5).collect()} == pytest.approx(want)
+    assert "Join" not in plan(se.offset_similarity(refs, 5))
