@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vidlake.operators import keypoints as kp
 from vidlake.operators import patches as pt
 from vidlake.operators import search as se
+from vidlake.plans import fixtures as fx
 from vidlake.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +87,20 @@ def test_offsets_are_added_up_in_blocks(spark, monkeypatch):
             want[d] = sum(found) / len(found)
     assert {r.d: r.s_self for r in se.offset_similarity(refs, 5).collect()} == pytest.approx(want)
     assert "Join" not in plan(se.offset_similarity(refs, 5))
+
+
+def test_smooth_reference_in_blocks(spark, tmp_path, monkeypatch):
+    """Blocks that meet at the ends, with gaps in the ids; a vector is not taken apart into cells."""
+    monkeypatch.setattr(fx, "SPAN", 20)
+    ids = [i for i in range(70) if i % 9 != 4]
+    vectors = {i: np.float32(np.sin([i * 1.7, i * i + 1.0, 3.0 + i])) for i in ids}
+    spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    n, want = len(ids), {}
+    for i, v in vectors.items():
+        for j in range(16):
+            want[(i - j) % n] = want.get((i - j) % n, 0.0) + v.astype(float)
+    smooth = fx.smooth_reference(spark, str(tmp_path))
+    found = {r.ref_id: np.array(r.vec) for r in smooth.collect()}
+    assert found.keys() == want.keys()
+    assert all(np.allclose(found[k], v / max(np.linalg.norm(v), 1e-8)) for k, v in want.items())
+    assert "posexplode" not in plan(smooth)
