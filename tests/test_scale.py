@@ -6,9 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vidlake.operators import carriers as ca
+from vidlake.operators import imaging as im
 from vidlake.operators import keypoints as kp
 from vidlake.operators import patches as pt
+from vidlake.operators import pixels as px
 from vidlake.operators import search as se
+from vidlake.operators import transforms as tr
 from vidlake.plans import fixtures as fx
 from vidlake.plans.catalog import QUERIES
 
@@ -104,3 +108,26 @@ def test_smooth_reference_in_blocks(spark, tmp_path, monkeypatch):
     assert found.keys() == want.keys()
     assert all(np.allclose(found[k], v / max(np.linalg.norm(v), 1e-8)) for k, v in want.items())
     assert "posexplode" not in plan(smooth)
+
+
+
+
+
+def test_coefficient_planes_meet_by_frame(spark):
+    """Both clips were shuffled and sorted by pixel. Only pixels of both planes count; a frame of one clip gives no row."""
+    rng = np.random.default_rng(5)
+    planes = {f: rng.uniform(50, 200, (64, 64)) for f in range(3)}
+    marked = {f: p + rng.uniform(0, 9, p.shape) for f, p in planes.items() if f < 2}
+    marked[1] = marked[1][:41, :50]
+    rows = lambda held: spark.createDataFrame([(f, y, x, float(v)) for f, p in held.items() for (y, x), v in np.ndenumerate(p)], "frame_no int, y int, x int, v double")
+    found = {r.frame_no: r for r in ca.coefficient_scores(rows(planes), rows(marked), ["frame_no"]).collect()}
+    assert found.keys() == {0, 1}
+    image = np.outer(tr.basis(8)[4], tr.basis(8)[5])
+    for f, r in found.items():
+        change = np.zeros((64, 64))
+        h, w = marked[f].shape
+        change[:h, :w] = marked[f] - planes[f][:h, :w]
+        cells = change.reshape(16, 4, 16, 4).sum((1, 3)) / 4
+        c = [(cells[y : y + 8, x : x + 8] * image).sum() for y in (0, 8) for x in (0, 8)]
+        assert (r.blocks, r.hits) == (4, sum(v > 10 for v in c)) and r.score == pytest.approx(np.mean(c))
+    assert plan(QUERIES["c13_coefficient_verdict"](spark, SF)).count("Exchange ") == 2
