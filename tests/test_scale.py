@@ -131,3 +131,15 @@ def test_coefficient_planes_meet_by_frame(spark):
         c = [(cells[y : y + 8, x : x + 8] * image).sum() for y in (0, 8) for x in (0, 8)]
         assert (r.blocks, r.hits) == (4, sum(v > 10 for v in c)) and r.score == pytest.approx(np.mean(c))
     assert plan(QUERIES["c13_coefficient_verdict"](spark, SF)).count("Exchange ") == 2
+
+
+def test_cells_of_a_plane_are_read_at_once():
+    """Each cell was warped by a call of its own; the patches and those that leave the frame are the same."""
+    plane = np.arange(48 * 40, dtype=np.uint32).reshape(48, 40).astype(np.uint8)
+    h = np.array([[1.01, 0.02, 3.0], [-0.01, 0.98, 2.0], [1e-4, 0.0, 1.0]])
+    spots = np.array([(x, y) for y in range(0, 48, 16) for x in range(0, 48, 16)], float)
+    stays, read = im.warp_patches(plane, spots, h, 16)
+    each = [im.warp_patch(plane, x, y, h, 16) for x, y in spots]
+    assert stays.tolist() == [p is not None for p in each] and 0 < stays.sum() < len(spots)
+    assert all(np.array_equal(a, b) for a, b in zip(read, [p for p in each if p is not None], strict=True))
+    assert im.warp_patches(plane, spots[:0], h, 16)[1].shape == (0, 16, 16)

@@ -8,20 +8,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .imaging import warp_patch
+from .imaging import warp_patches
 from .transforms import basis
 
 IDENTITY = np.eye(3)
 
 
-def cliff_of(patch: np.ndarray, radius: float, band: float) -> float:
-    """C17 of one square patch: mean energy of the ring inside the radius over that of the ring outside."""
-    side = len(patch)
-    energy = (basis(side) @ patch @ basis(side).T) ** 2
-    u, w = np.mgrid[0:side, 0:side]
-    far = np.hypot(u, w)
-    inner, outer = energy[(far >= radius - band) & (far < radius)], energy[(far >= radius) & (far < radius + band)]
-    return float(inner.mean() / (outer.mean() + 1e-9))
+#: Cells of a plane that are read at once.
+CELLS = 256
+
+
+def cliff_of(patches: np.ndarray, radius: float, band: float) -> np.ndarray:
+    """C17 of square patches: mean energy of the ring inside the radius over that of the ring outside."""
+    side = patches.shape[-1]
+    turn = basis(side)
+    energy = (turn @ patches @ turn.T) ** 2
+    far = np.hypot(*np.mgrid[0:side, 0:side])
+    inner, outer = energy[..., (far >= radius - band) & (far < radius)], energy[..., (far >= radius) & (far < radius + band)]
+    return inner.mean(-1) / (outer.mean(-1) + 1e-9)
 
 
 def aligned_cells(frames: DataFrame, keys: list[str], side: int, radius: float, band: float) -> DataFrame:
@@ -34,18 +38,22 @@ def aligned_cells(frames: DataFrame, keys: list[str], side: int, radius: float,
     names = [*keys, "y0", "y1", "x0", "x1", "aligned", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                value = lambda c: batch.column(c)[i].as_py()  # noqa: B023, E731
-                h = value("homography")
-                through = IDENTITY if h is None else np.array(h).reshape(3, 3)
-                plane = np.frombuffer(value("y"), np.uint8).reshape(value("height"), value("width"))
-                spots = [(y, x) for y in range(0, value("src_height") - side + 1, side) for x in range(0, value("src_width") - side + 1, side)]
-                read = [(y, x, warp_patch(plane, x, y, through, side)) for y, x in spots]
-                rows = [(y, y + side, x, x + side, cliff_of(p.astype(np.float64), radius, band)) for y, x, p in read if p is not None]
-                places = [pa.array([r[c] for r in rows], pa.int32()) for c in range(4)]
-                rest = [pa.array([h is not None] * len(rows), pa.bool_()), pa.array([r[4] for r in rows], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(k)[i], len(rows)) for k in keys), *places, *rest], names=names)
+        for whole in batches:
+            for batch in (whole.slice(k, 32) for k in range(0, whole.num_rows, 32)):
+                frame, aligned, places, scores = [], [], [np.zeros((0, 2))], [np.zeros(0)]
+                for i, r in enumerate(batch.to_pylist()):
+                    through = IDENTITY if r["homography"] is None else np.array(r["homography"]).reshape(3, 3)
+                    plane = np.frombuffer(r["y"], np.uint8).reshape(r["height"], r["width"])
+                    spots = np.array([(x, y) for y in range(0, r["src_height"] - side + 1, side) for x in range(0, r["src_width"] - side + 1, side)], float).reshape(-1, 2)
+                    for some in (spots[k : k + CELLS] for k in range(0, len(spots), CELLS)):
+                        stays, read = warp_patches(plane, some, through, side)
+                        places.append(some[stays])
+                        scores.append(cliff_of(read.astype(np.float64), radius, band))
+                        frame += [i] * len(read)
+                        aligned += [r["homography"] is not None] * len(read)
+                x, y = np.concatenate(places).astype(np.int32).T
+                rest = [pa.array(v, pa.int32()) for v in (y, y + side, x, x + side)] + [pa.array(aligned, pa.bool_()), pa.array(np.concatenate(scores))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(frame, pa.int32())) for k in keys), *rest], names=names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(*keys).schema)
     rows = frames.where("y is not null").select(*keys, "src_height", "src_width", "height", "width", "y", "homography")
