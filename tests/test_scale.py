@@ -110,7 +110,23 @@ def test_smooth_reference_in_blocks(spark, tmp_path, monkeypatch):
     assert "posexplode" not in plan(smooth)
 
 
-
+@pytest.mark.parametrize(("name", "most"), [("p16_detect_long_form", 7)])
+def test_statistics_share_sorts(spark, name, most):
+    """Each statistic sorted the pixels anew (22 sorts)."""
+    assert plan(QUERIES[name](spark, SF)).count("- Sort [") <= most
+
+
+def test_long_form_scores_are_those_of_each_statistic(spark):
+    """Also of planes of one row, of one column, and smaller than a block."""
+    shapes = {0: (16, 24), 1: (9, 13), 2: (1, 12), 3: (12, 1), 4: (3, 3), 5: (1, 1), 6: (8, 8)}
+    cells = [(f, y, x, float((x * x * 3 + y * 5 + f) % 11)) for f, (h, w) in shapes.items() for y in range(h) for x in range(w)]
+    p = spark.createDataFrame(cells, "f int, y int, x int, v double")
+    parts = {"gradient": px.gradient_score, "variance": px.variance_score, "laplacian": px.laplacian_score, "fft": px.fft_score, "neighbor": px.neighbor_score}
+    want = [{r.f: r[k] for r in score(p, ["f"], 4).collect()} for k, score in parts.items()]
+    found = {r.f: r for r in px.detect(p, ["f"], 4).collect()}
+    assert found.keys() == set.intersection(*(set(w) for w in want)) and {0, 1, 6} <= found.keys()
+    for f, r in found.items():
+        assert [r[k] for k in parts] == [pytest.approx(w[f]) for w in want]
 
 
 def test_coefficient_planes_meet_by_frame(spark):

@@ -6,6 +6,8 @@ keys, so frames spread over tasks and a frame's working set is its own pixels.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +26,28 @@ def luma(b: Column, g: Column, r: Column) -> Column:
     return 0.114 * b + 0.587 * g + 0.299 * r
 
 
+def by_axis(pixels: DataFrame, keys: list[str], measures: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Each pixel once for each axis, with the measures of that axis (across, down): (keys..., axis, idx, measures...)."""
+    sides = [F.struct(F.lit(axis).alias("axis"), F.col(idx).alias("idx"), *(m[k].alias(name) for name, m in measures.items())) for k, (axis, idx) in enumerate((("col", "x"), ("row", "y")))]
+    return pixels.select(*keys, F.explode(F.array(*sides)).alias("s")).select(*keys, "s.*")
+
+
+def stencils(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """First differences (dx, dy) and the Laplacian (lap) of each pixel, all absolute, from one sort down and one across.
+
+    The Laplacian is (2 0 2; 0 -8 0; 2 0 2) with edges mirrored without repeating the edge. What a caller does not select is not computed.
+    """
+    down, across = Window.partitionBy(*keys, "x").orderBy("y"), Window.partitionBy(*keys, "y").orderBy("x")
+    above, below = F.lag("v").over(down), F.lead("v").over(down)
+    rows = pixels.select(*keys, "y", "x", "v", F.abs(below - F.col("v")).alias("dy"), (F.coalesce(above, below) + F.coalesce(below, above)).alias("s"))
+    left, right = F.lag("s").over(across), F.lead("s").over(across)
+    lap = F.abs(2 * (F.coalesce(left, right) + F.coalesce(right, left)) - 8 * F.col("v"))
+    return rows.select(*keys, "y", "x", F.abs(F.lead("v").over(across) - F.col("v")).alias("dx"), "dy", lap.alias("lap"))
+
+
 def gradients(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """Absolute first differences along both axes: (keys..., axis, idx, d)."""
-    right = F.lead("v").over(Window.partitionBy(*keys, "y").orderBy("x"))
-    below = F.lead("v").over(Window.partitionBy(*keys, "x").orderBy("y"))
-    both = pixels.select(*keys, "y", "x", F.abs(right - F.col("v")).alias("dx"), F.abs(below - F.col("v")).alias("dy"))
-    sides = F.array(F.struct(F.lit("col").alias("axis"), F.col("x").alias("idx"), F.col("dx").alias("d")), F.struct(F.lit("row").alias("axis"), F.col("y").alias("idx"), F.col("dy").alias("d")))
-    return both.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*").where("d is not null")
+    return by_axis(stencils(pixels, keys), keys, {"d": (F.col("dx"), F.col("dy"))}).where("d is not null")
 
 
 def gradient_profiles(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,6 +55,17 @@ def gradient_profiles(pixels: DataFrame, keys: list[str]) -> DataFrame:
     return gradients(pixels, keys).groupBy(*keys, "axis", "idx").agg(F.avg("d").alias("p"))
 
 
+def profiles_of(pixels: DataFrame, keys: list[str], versions: dict[int, str], name: str) -> DataFrame:
+    """P4 of several versions of the same planes, one column each, from one sort an axis: (keys..., ``name``, axis, idx, p)."""
+    across, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    steps = {f"_{axis}{n}": F.abs(F.lead(v).over(w) - F.col(v)) for n, v in versions.items() for axis, w in (("x", across), ("y", down))}
+    both = pixels.select(*keys, "y", "x", *(d.alias(k) for k, d in steps.items()))
+    rows = by_axis(both, keys, {f"d{n}": (F.col(f"_x{n}"), F.col(f"_y{n}")) for n in versions})
+    means = rows.groupBy(*keys, "axis", "idx").agg(*(F.avg(f"d{n}").alias(f"p{n}") for n in versions))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias(name), F.col(f"p{n}").alias("p")) for n in versions)))
+    return means.select(*keys, "axis", "idx", each.alias("s")).select(*keys, "axis", "idx", "s.*").where("p is not null")
+
+
 def as_arrays(profiles: DataFrame, keys: list[str]) -> DataFrame:
     """A profile as one array an axis, by offset."""
     return profiles.groupBy(*keys, "axis").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "p"))), lambda s: s.p).alias("profile"))
@@ -47,18 +75,22 @@ def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: what a lambda names twice is otherwise worked out twice."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fold(profile: Column, n: Column) -> Column:
     """P5: mean of each phase over whole periods; null if there is none."""
     periods = F.floor(F.size(profile) / n).cast("int")
-    phase = lambda k: _mean(F.transform(F.sequence(F.lit(0), periods - 1), lambda j: F.element_at(profile, (j * n + k + 1).cast("int"))))
+    phase = lambda k: F.aggregate(F.sequence(F.lit(0), periods - 1), F.lit(0.0), lambda s, j: s + F.element_at(profile, (j * n + k + 1).cast("int"))) / periods
     return F.when(periods >= 1, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), phase))
 
 
 def boundary_ratio(profile: Column, n: Column) -> Column:
     """Energy at the block boundary over the mean inside; 1 where there is no inside or no whole period."""
-    folded = fold(profile, n)
-    ratio = F.element_at(folded, n.cast("int")) / (_mean(F.slice(folded, F.lit(1), (n - 1).cast("int"))) + EPS)
-    return F.when((n >= 2) & folded.isNotNull(), ratio).otherwise(1.0)
+    ratio = _bound(fold(profile, n), lambda f: F.element_at(f, n.cast("int")) / (_mean(F.slice(f, F.lit(1), (n - 1).cast("int"))) + EPS))
+    return F.when((n >= 2) & (F.size(profile) >= n), ratio).otherwise(1.0)
 
 
 def _axes(arrays: DataFrame, keys: list[str], measure: Column) -> DataFrame:
@@ -68,7 +100,12 @@ def _axes(arrays: DataFrame, keys: list[str], measure: Column) -> DataFrame:
 
 def block_size(pixels: DataFrame, keys: list[str], candidates=CANDIDATES) -> DataFrame:
     """The least period within a tenth of the strongest contrast: (keys..., block_size, ratio)."""
-    arrays = as_arrays(gradient_profiles(pixels, keys), keys).withColumn("n", F.explode(F.array(*map(F.lit, candidates))))
+    return block_size_of(gradient_profiles(pixels, keys), keys, candidates)
+
+
+def block_size_of(profiles: DataFrame, keys: list[str], candidates=CANDIDATES) -> DataFrame:
+    """P7 from gradient profiles."""
+    arrays = as_arrays(profiles, keys).withColumn("n", F.explode(F.array(*map(F.lit, candidates))))
     each = _axes(arrays.withColumn("r", boundary_ratio(F.col("profile"), F.col("n"))), [*keys, "n"], F.col("r"))
     each = each.withColumn("ratio", 0.5 * (F.col("ratio_cols") + F.col("ratio_rows")))
     best = F.max("ratio").over(Window.partitionBy(*keys)) if keys else F.max("ratio").over(Window.partitionBy(F.lit(0)))
@@ -86,36 +123,40 @@ def gradient_score(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def block_variances(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Population variance of every whole n x n block: (keys..., by, bx, variance)."""
+    return variances_of_sizes(pixels, keys, (n,)).select(*keys, "by", "bx", "variance")
+
+
+def variances_of_sizes(pixels: DataFrame, keys: list[str], sizes: tuple[int, ...]) -> DataFrame:
+    """Variances of the whole blocks of several sizes in one pass: (keys..., _n, by, bx, variance).
+
+    A plane's size is the largest place of its blocks, so that only blocks are gathered by plane, not pixels.
+    """
+    rows = pixels.withColumn("_n", F.explode(F.array(*map(F.lit, sizes))))
+    at = {f"b{k}": F.floor(F.col(k) / F.col("_n")) for k in ("y", "x")}
+    blocks = rows.groupBy(*keys, "_n", *(v.alias(k) for k, v in at.items())).agg(F.var_pop("v").alias("variance"), *(F.max(k).alias(f"_{k}") for k in ("y", "x")))
     size = Window.partitionBy(*keys)
-    w, h = F.max("x").over(size) + 1, F.max("y").over(size) + 1
-    whole = pixels.withColumns({"w": w, "h": h}).where((F.col("x") < F.floor(F.col("w") / n) * n) & (F.col("y") < F.floor(F.col("h") / n) * n))
-    return whole.groupBy(*keys, F.floor(F.col("y") / n).alias("by"), F.floor(F.col("x") / n).alias("bx")).agg(F.var_pop("v").alias("variance"))
+    whole = blocks.withColumns({f"_{k}": F.max(f"_{k}").over(size) + 1 for k in ("y", "x")}).where("(by + 1) * _n <= _y and (bx + 1) * _n <= _x")
+    return whole.drop("_y", "_x")
 
 
 def variance_score(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Variance inside n blocks over that inside 2n blocks; 1 and score 0 where either is missing."""
-    fine = block_variances(pixels, keys, n).groupBy(*keys).agg(F.avg("variance").alias("intra"))
-    coarse = block_variances(pixels, keys, 2 * n).groupBy(*keys).agg(F.avg("variance").alias("coarse"))
-    both = fine.join(coarse.hint("merge"), keys, "left")
+    of = lambda side: F.avg(F.when(F.col("_n") == side, F.col("variance")))
+    both = variances_of_sizes(pixels, keys, (n, 2 * n)).groupBy(*keys).agg(of(n).alias("intra"), of(2 * n).alias("coarse"))
     ratio = F.col("intra") / (F.col("coarse") + EPS)
     ok = F.col("coarse").isNotNull() & F.lit(n >= 2)
     return both.withColumns({"variance_ratio": F.when(ok, ratio).otherwise(1.0), "variance": F.when(ok, ramp(ratio, *RAMPS["variance"])).otherwise(0.0)})
 
 
 def laplacian(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Absolute 3x3 Laplacian (2 0 2; 0 -8 0; 2 0 2), edges mirrored without repeating the edge."""
-    down, across = Window.partitionBy(*keys, "x").orderBy("y"), Window.partitionBy(*keys, "y").orderBy("x")
-    above, below = F.lag("v").over(down), F.lead("v").over(down)
-    rows = pixels.select(*keys, "y", "x", "v", (F.coalesce(above, below) + F.coalesce(below, above)).alias("s"))
-    left, right = F.lag("s").over(across), F.lead("s").over(across)
-    return rows.select(*keys, "y", "x", F.abs(2 * (F.coalesce(left, right) + F.coalesce(right, left)) - 8 * F.col("v")).alias("v"))
+    """Absolute 3x3 Laplacian: (keys..., y, x, v)."""
+    return stencils(pixels, keys).select(*keys, "y", "x", F.col("lap").alias("v"))
 
 
 def laplacian_score(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The boundary ratio of mean |Laplacian| profiles over full width and height."""
     lap = laplacian(pixels, keys)
-    sides = F.array(F.struct(F.lit("col").alias("axis"), F.col("x").alias("idx")), F.struct(F.lit("row").alias("axis"), F.col("y").alias("idx")))
-    profiles = lap.select(*keys, "v", F.explode(sides).alias("s")).groupBy(*keys, "s.axis", "s.idx").agg(F.avg("v").alias("p"))
+    profiles = by_axis(lap, keys, {"v": (F.col("v"), F.col("v"))}).groupBy(*keys, "axis", "idx").agg(F.avg("v").alias("p"))
     both = _axes(as_arrays(profiles, keys).withColumn("r", boundary_ratio(F.col("profile"), F.lit(n))), keys, F.col("r"))
     ratio = 0.5 * (F.col("ratio_cols") + F.col("ratio_rows"))
     return both.withColumns({"laplacian_ratio": ratio, "laplacian": ramp(ratio, *RAMPS["laplacian"])})
@@ -126,13 +167,16 @@ def spectrum(profile: Column) -> Column:
     n = F.size(profile)
     centred = F.zip_with(profile, F.array_repeat(_mean(profile), n), lambda p, m: p - m)
 
-    def size_at(k: Column) -> Column:
-        angle = lambda j: F.lit(2.0) * F.pi() * k * j / n
-        re = F.aggregate(F.transform(centred, lambda p, j: p * F.cos(angle(j))), F.lit(0.0), lambda s, x: s + x)
-        im = F.aggregate(F.transform(centred, lambda p, j: p * F.sin(angle(j))), F.lit(0.0), lambda s, x: s + x)
-        return F.sqrt(re * re + im * im)
+    def sizes(centred: Column) -> Column:
+        def size_at(k: Column) -> Column:
+            angle = lambda j: F.lit(2.0) * F.pi() * k * j / n
+            re = F.aggregate(F.transform(centred, lambda p, j: p * F.cos(angle(j))), F.lit(0.0), lambda s, x: s + x)
+            im = F.aggregate(F.transform(centred, lambda p, j: p * F.sin(angle(j))), F.lit(0.0), lambda s, x: s + x)
+            return F.sqrt(re * re + im * im)
 
-    return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), size_at)
+        return F.transform(F.sequence(F.lit(0), F.floor(n / 2).cast("int")), size_at)
+
+    return _bound(centred, sizes)
 
 
 def peaks(arrays: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -141,7 +185,7 @@ def peaks(arrays: DataFrame, keys: list[str], n: int) -> DataFrame:
     The spectrum is exploded once to rows; a profile too short, or a bin without neighbours, has a null peak.
     """
     size = F.col("size")
-    rows = arrays.select(*keys, "axis", F.size("profile").alias("size"), F.posexplode(spectrum(F.col("profile"))).alias("k", "m"))
+    rows = arrays.select(*keys, "axis", F.size("profile").alias("size"), F.posexplode_outer(spectrum(F.col("profile"))).alias("k", "m"))
     at = F.least(F.bround(size / F.lit(float(n)), 0).cast("int"), F.floor(size / 2).cast("int"))
     rows = rows.withColumn("at", at).withColumn("width", F.greatest(F.lit(8), F.floor(F.col("at") / 8).cast("int")))
     k, at, width = F.col("k"), F.col("at"), F.col("width")
@@ -166,14 +210,36 @@ def neighbor_score(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
     return both.withColumns({"neighbor_excess": excess, "neighbor": ramp(excess, *RAMPS["neighbor"])})
 
 
+def axis_measures(pixels: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """P11-P15 of each axis, from one pass: (keys..., axis, profile, gradient, laplacian, inside, edge).
+
+    ``profile`` is the gradient profile and ``gradient`` its boundary ratio (null if the axis has no neighbours), ``laplacian`` the ratio
+    of the mean |Laplacian|; ``inside`` and ``edge`` are shares of flat neighbours inside blocks and across their boundaries.
+    """
+    measures = {"d": (F.col("dx"), F.col("dy")), "lap": (F.col("lap"), F.col("lap"))}
+    offsets = by_axis(stencils(pixels, keys), keys, measures).groupBy(*keys, "axis", "idx").agg(F.avg("d").alias("p"), F.avg("lap").alias("l"), F.count_if(F.col("d") < FLAT).alias("flat"), F.count("d").alias("all"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s.p)
+    last = F.pmod("idx", F.lit(n)) == n - 1
+    share = lambda here: F.try_divide(F.sum(F.when(here, F.col("flat"))), F.sum(F.when(here, F.col("all"))))
+    arrays = offsets.groupBy(*keys, "axis").agg(listed(F.when(F.col("p").isNotNull(), F.struct("idx", "p"))).alias("profile"), listed(F.struct("idx", F.col("l").alias("p"))).alias("lap"), share(~last).alias("inside"), share(last).alias("edge"))
+    arrays = arrays.withColumn("profile", F.when(F.size("profile") > 0, F.col("profile")))
+    gradient = F.when(F.col("profile").isNotNull(), boundary_ratio(F.col("profile"), F.lit(n)))
+    return arrays.select(*keys, "axis", "profile", gradient.alias("gradient"), boundary_ratio(F.col("lap"), F.lit(n)).alias("laplacian"), "inside", "edge")
+
+
 def detect(pixels: DataFrame, keys: list[str], n: int, weights: dict[str, float] | None = None) -> DataFrame:
     """Five scores at period n and their weighted mean, by key."""
     weights = WEIGHTS if weights is None else weights
-    parts = [gradient_score(pixels, keys, n), variance_score(pixels, keys, n), laplacian_score(pixels, keys, n), fft_score(pixels, keys, n), neighbor_score(pixels, keys, n)]
     names = ["gradient", "variance", "laplacian", "fft", "neighbor"]
-    out = parts[0].select(*keys, names[0])
-    for part, name in zip(parts[1:], names[1:], strict=True):
-        out = out.join(part.select(*keys, name).hint("merge"), keys)
+    lines = axis_measures(pixels, keys, n)
+    # profiles and flat neighbours of an axis go along as keys of its spectrum
+    kept = ["gradient", "laplacian", "inside", "edge"]
+    axes = peaks(lines, [*keys, *kept], n)
+    mean = {k: 0.5 * (F.max(F.when(F.col("axis") == "col", F.col(k))) + F.max(F.when(F.col("axis") == "row", F.col(k)))) for k in kept[:2]}
+    raw = {**mean, "fft": F.coalesce(F.avg("peak"), F.lit(1.0)), "neighbor": F.avg("inside") - F.avg("edge")}
+    found = axes.groupBy(*keys).agg(*(v.alias(k) for k, v in raw.items()), F.max("gradient").alias("_any")).where("_any is not null")
+    found = found.select(*keys, *(ramp(F.col(k), *RAMPS[k]).alias(k) for k in raw))
+    out = found.join(variance_score(pixels, keys, n).select(*keys, "variance").hint("merge"), keys).select(*keys, *names)
     total = sum(weights.get(k, 0.0) for k in names)
     mean = sum((F.col(k) * weights.get(k, 0.0) for k in names), F.lit(0.0)) / total if total else F.lit(0.0)
     return out.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), mean)))

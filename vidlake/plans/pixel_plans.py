@@ -275,7 +275,7 @@ def p16_detect_pixelation(spark, sf_dir):
 
 @query("frame_no:i half:i gradient:d variance:d laplacian:d fft:d neighbor:d confidence:d", f"{DETECT} SELECT * FROM detected")
 def p16_detect_long_form(spark, sf_dir):
-    """The same from long-form pixels, each statistic a plan of its own."""
+    """The same from long-form pixels, by sorts and aggregates."""
     return px.detect(_halves(spark, sf_dir), KEYS, N)
 
 
