@@ -110,12 +110,20 @@ def test_smooth_reference_in_blocks(spark, tmp_path, monkeypatch):
     assert "posexplode" not in plan(smooth)
 
 
-@pytest.mark.parametrize(("name", "most"), [("p16_detect_long_form", 7)])
+@pytest.mark.parametrize(("name", "most"), [("p16_detect_long_form", 7), ("p18_check_block_size", 7)])
 def test_statistics_share_sorts(spark, name, most):
-    """Each statistic sorted the pixels anew (22 sorts)."""
+    """Each statistic (22 sorts) and each block size (16) sorted the pixels anew."""
     assert plan(QUERIES[name](spark, SF)).count("- Sort [") <= most
 
 
+def test_halves_of_several_sizes_are_those_of_each(spark):
+    clip = fx.clip(spark, SF)
+    several = fx.half_pixelated_sizes(clip, (2, 4, 16))
+    for n in (2, 4, 16):
+        one = fx.half_pixelated(clip, n).select("frame_no", "half", "y", "x", "v")
+        assert one.exceptAll(several.select("frame_no", "half", "y", "x", f"w{n}")).isEmpty()
+
+
 def test_long_form_scores_are_those_of_each_statistic(spark):
     """Also of planes of one row, of one column, and smaller than a block."""
     shapes = {0: (16, 24), 1: (9, 13), 2: (1, 12), 3: (12, 1), 4: (3, 3), 5: (1, 1), 6: (8, 8)}

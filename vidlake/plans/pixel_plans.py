@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ramp
@@ -191,8 +188,9 @@ def p7_block_size(spark, sf_dir):
 
 @query("n_true:i frame_no:i half:i block_size:i", "\nUNION ALL ".join(f"SELECT {n} AS n_true, frame_no, half, block_size FROM ({_estimate_sql(f'WITH {fx.clip_sql()}, {fx.half_pixelated_sql(n)}')}) e{n}" for n in (2, 4, 8, 16)))
 def p18_check_block_size(spark, sf_dir):
-    parts = [px.block_size(_halves(spark, sf_dir, n), KEYS, (2, 4, 8, 16)).withColumn("n_true", F.lit(n)) for n in (2, 4, 8, 16)]
-    return reduce(DataFrame.unionByName, parts)
+    sizes = (2, 4, 8, 16)
+    profiles = px.profiles_of(fx.half_pixelated_sizes(fx.clip(spark, sf_dir), sizes), KEYS, {n: f"w{n}" for n in sizes}, "n_true")
+    return px.block_size_of(profiles, ["n_true", *KEYS], sizes)
 
 
 def _var_sql(n: int, name: str) -> str:
