@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Pixels of the planes that are worked on at once.
+PIXELS = 1 << 18
+
 FRAMES = T.StructType([T.StructField(n, k) for n, k in (("video_id", T.StringType()), ("frame_no", T.IntegerType()), ("height", T.IntegerType()), ("width", T.IntegerType()), ("y", T.BinaryType()), ("u", T.BinaryType()), ("v", T.BinaryType()))])
 
 
@@ -50,18 +55,34 @@ def planes(spark: SparkSession, frames: int, height: int, width: int) -> DataFra
     return rows.withColumn("v", F.pmod(F.col("x") * 7 + F.col("y") * 13 + F.col("frame_no") * 31 + F.col("x") * F.col("y"), F.lit(256)).cast("double"))
 
 
+def stacks(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Packed planes (height, width, y) in their order, as bytes (plane, y, x): neighbours of one size together, up to ``PIXELS``."""
+    heights, widths, planes = (batch.column(c) for c in ("height", "width", "y"))
+    sizes = list(zip(heights.to_pylist(), widths.to_pylist(), strict=True))
+    first = 0
+    while first < len(sizes):
+        height, width = sizes[first]
+        last, most = first + 1, first + max(1, PIXELS // max(1, height * width))
+        while last < min(len(sizes), most) and sizes[last] == sizes[first]:
+            last += 1
+        yield np.frombuffer(b"".join(planes.slice(first, last - first).to_pylist()), np.uint8).reshape(last - first, height, width)
+        first = last
+
+
 def pixels_of(frames: DataFrame) -> DataFrame:
-    """Explode stored luma planes (y: one byte a pixel) to long form, in Arrow batches."""
+    """Explode stored luma planes (y: one byte a pixel) to long form, in Arrow batches of several planes."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                plane = np.frombuffer(row["y"], np.uint8).astype(np.float64)
-                n, width = len(plane), row["width"]
-                at = np.arange(n, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([row["video_id"]] * n), pa.array(np.full(n, row["frame_no"], np.int32)), pa.array(at // width), pa.array(at % width), pa.array(plane)], names=["video_id", "frame_no", "y", "x", "v"])
-
-    return frames.select("video_id", "frame_no", "width", "y").mapInArrow(run, "video_id string, frame_no int, y int, x int, v double")
+            first = 0
+            for planes in stacks(batch):
+                count, height, width = planes.shape
+                n, rows = height * width, pa.array(np.repeat(np.arange(first, first + count), height * width))
+                at = np.tile(np.arange(n, dtype=np.int32), count)
+                yield pa.RecordBatch.from_arrays([batch.column("video_id").take(rows), batch.column("frame_no").take(rows), pa.array(at // max(1, width)), pa.array(at % max(1, width)), pa.array(planes.reshape(-1).astype(np.float64))], names=["video_id", "frame_no", "y", "x", "v"])
+                first += count
+
+    return frames.select("video_id", "frame_no", "height", "width", "y").mapInArrow(run, "video_id string, frame_no int, y int, x int, v double")
 
 
 def embedding_planes(embeddings: DataFrame) -> DataFrame:
