@@ -1,6 +1,7 @@
 """The packed detector against the long-form statistics, and block transforms against plain sums."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,31 @@ def test_many_matches_and_validation(spark):
     rows = [(1, 30, 30, [1.0] * 30, True, [1.0] * 9), (2, 30, 19, [1.0] * 19, True, [1.0] * 9), (3, 30, 25, [5.0] * 25, True, [1.0] * 9), (4, 9, 0, [], False, None)]
     found = hg.validated(spark.createDataFrame(rows, "p int, num_matches int, num_inliers int, inlier_errs array<double>, homography_ok boolean, homography array<double>"))
     assert [(r.p, r.valid, r.homography is not None) for r in found.orderBy("p").collect()] == [(1, True, True), (2, False, False), (3, False, False), (4, False, False)]
+
+
+def test_planes_of_one_size_are_measured_together(spark, monkeypatch):
+    """Each half was measured by a call of its own. Sizes that alternate, a stack's border and a null plane; numbers stay with their planes."""
+    from vidlake.plans import fixtures as fx
+    from vidlake.sources import frames as src
+
+    monkeypatch.setattr(src, "PIXELS", 3 * 24 * 32)
+    rng = np.random.default_rng(8)
+    shapes = [(24, 32)] * 7 + [(16, 40), (24, 32), (24, 33), (24, 33), (1, 8)]
+    planes = [rng.integers(0, 256, s).astype(np.uint8) for s in shapes]
+    batch = pa.RecordBatch.from_pydict({"height": [s[0] for s in shapes], "width": [s[1] for s in shapes], "y": [p.tobytes() for p in planes]})
+    stacked = list(src.stacks(batch))
+    assert [s.shape for s in stacked] == [(3, 24, 32), (3, 24, 32), (1, 24, 32), (1, 16, 40), (1, 24, 32), (2, 24, 33), (1, 1, 8)]
+    assert all(np.array_equal(a, b) for a, b in zip((p for s in stacked for p in s), planes, strict=True))
+    frames = spark.createDataFrame([("c", k, *p.shape, p.tobytes()) for k, p in enumerate(planes)], "video_id string, frame_no int, height int, width int, y binary").coalesce(1)
+    found = {(r.frame_no, r.half): r for r in fx.packed_halves(frames, 4).collect()}
+    assert len(found) == 2 * len(planes)
+    for k, p in enumerate(planes):
+        right = found[k, 1]
+        assert bytes(right.y) == p[:, p.shape[1] // 2 :].tobytes() and (right.height, right.width) == (p.shape[0], p.shape[1] - p.shape[1] // 2)
+        left = px.pixelated(spark.createDataFrame([(k, y, x, float(v)) for (y, x), v in np.ndenumerate(p)], "f int, y int, x int, v double"), ["f"], 4) if k in (3, 9) else None
+        for r in left.where(f"x < {p.shape[1] // 2}").collect() if left else []:
+            assert found[k, 0].y[r.y * (p.shape[1] // 2) + r.x] == r.v
+    assert sorted((r.frame_no, r.y, r.x, r.v) for r in src.pixels_of(frames).collect()) == sorted((k, y, x, float(v)) for k, p in enumerate(planes) for (y, x), v in np.ndenumerate(p))
+    whole = np.stack(planes[:7]).astype(float)
+    together, each = de.measures(whole, 4), [de.measures(p[None], 4) for p in whole]
+    assert all(np.allclose(v, [e[k][0] for e in each], atol=1e-12) for k, v in together.items())
