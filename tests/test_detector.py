@@ -1,5 +1,7 @@
 """The packed detector against the long-form statistics, and block transforms against plain sums."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -9,6 +11,7 @@ from vidlake.operators import detector as de
 from vidlake.operators import homography as hg
 from vidlake.operators import pixels as px
 from vidlake.operators import transforms as tr
+from vidlake.plans.catalog import QUERIES
 
 
 @pytest.mark.parametrize("shape, n", [((40, 56), 4), ((33, 47), 8), ((16, 16), 2), ((9, 30), 4), ((64, 64), 16)])
@@ -26,6 +29,26 @@ def test_packed_equals_long_form(spark, shape, n):
             assert r[c] == pytest.approx(want[r.f][c], abs=1e-9), c
 
 
+def test_packed_profiles_equal_long_form(spark):
+    """Planes of several sizes in one batch, of one row, of one column and of one pixel; nothing is sorted or shuffled, no pixel becomes a row."""
+    rng = np.random.default_rng(3)
+    planes = {k: rng.integers(0, 256, s) for k, s in enumerate([(8, 12), (8, 12), (5, 3), (1, 9), (7, 1), (1, 1), (33, 47)])}
+    packed = spark.createDataFrame([(k, *p.shape, p.astype(np.uint8).tobytes()) for k, p in planes.items()] + [(90, 4, 4, None), (91, 0, 5, b"")], "f int, height int, width int, y binary").coalesce(1)
+    cells = spark.createDataFrame([(k, y, x, float(v)) for k, p in planes.items() for (y, x), v in np.ndenumerate(p)], "f int, y int, x int, v double")
+    held = lambda df: {(r.f, r.axis): r.profile for r in df.collect()}
+    found = de.profiles_packed(packed, ["f"])
+    assert held(found) == held(px.as_arrays(px.gradient_profiles(cells, ["f"]), ["f"]))
+
+
+@pytest.mark.parametrize("name", ["p4_gradient_profiles", "p5_fold", "p6_boundary_ratio"])
+def test_profiles_sort_no_pixels(spark, name):
+    """Each sorted the clip's pixels three times."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no driver tables here")
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(0, 63" not in plan and plan.count("- Sort [") == 0
+
+
 def test_packed_odd_planes_and_one_scan(spark):
     rows = [(1, 1, 8, b"\x05" * 8), (2, 3, 3, bytes(range(9))), (3, 8, 8, None), (4, 8, 8, b"\x07" * 64)]
     planes = spark.createDataFrame(rows, "f int, height int, width int, y binary")

@@ -87,6 +87,31 @@ def measures(planes: np.ndarray, n: int) -> dict[str, np.ndarray]:
     return {**raw, **scores}
 
 
+def profiles_packed(planes: DataFrame, keys: list[str]) -> DataFrame:
+    """P4 of packed planes (height, width, y): (keys..., axis, profile), the mean gradient at each offset of an axis as one array.
+
+    An axis without neighbours, and a null plane, give no row.
+    """
+    schema = planes.select(*keys).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            for planes in stacks(batch):
+                held = batch.slice(first, len(planes))
+                first += len(planes)
+                planes = planes.astype(np.int16)
+                for axis, along, over in (("col", 2, 1), ("row", 1, 2)):
+                    if planes.shape[along] < 2 or not planes.shape[over]:
+                        continue
+                    found = np.abs(np.diff(planes, axis=along)).mean(over)
+                    ends = pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([*(held.column(k) for k in keys), pa.array([axis] * len(found)), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], names=[*keys, "axis", "profile"])
+
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", axis string, profile array<double>"
+    return planes.where("y is not null").select(*keys, "height", "width", "y").mapInArrow(run, out)
+
+
 def detect_packed(planes: DataFrame, keys: list[str], n: int, weights: dict[str, float] | None = None) -> DataFrame:
     """(keys..., five scores, confidence, five raw statistics) of each plane (height, width, y) at period n.
 

@@ -24,6 +24,11 @@ def _halves(spark, sf_dir, n=N):
     return fx.half_pixelated(fx.clip(spark, sf_dir), n)
 
 
+def _profiles(spark, sf_dir, n=N):
+    """Gradient profiles of the same halves, an array an axis, from packed planes: no row a pixel."""
+    return de.profiles_packed(fx.packed_halves(fx.stored_clip(spark, sf_dir), n), KEYS)
+
+
 def grads(table: str, keys: str = "frame_no, half") -> str:
     return f"""
 g AS (SELECT {keys}, 'col' AS axis, x AS idx, abs(lead(v) OVER (PARTITION BY {keys}, y ORDER BY x) - v) AS d FROM {table}
@@ -157,19 +162,17 @@ def p3_crop_to_blocks(spark, sf_dir):
 
 @query("frame_no:i half:i axis:s idx:i p:d", f"{HALVES}, {grads('halves')} SELECT * FROM prof")
 def p4_gradient_profiles(spark, sf_dir):
-    return px.gradient_profiles(_halves(spark, sf_dir), KEYS)
+    return _profiles(spark, sf_dir).select(*KEYS, "axis", F.posexplode("profile").alias("idx", "p"))
 
 
 @query("frame_no:i half:i axis:s phase:i p:d", f"{HALVES}, {grads('halves')}, {ratios('prof', 'lens', '4')} SELECT * FROM folded")
 def p5_fold(spark, sf_dir):
-    arrays = px.as_arrays(px.gradient_profiles(_halves(spark, sf_dir), KEYS), KEYS)
-    return arrays.select(*KEYS, "axis", F.posexplode(px.fold(F.col("profile"), F.lit(4))).alias("phase", "p"))
+    return _profiles(spark, sf_dir).select(*KEYS, "axis", F.posexplode(px.fold(F.col("profile"), F.lit(4))).alias("phase", "p"))
 
 
 @query("frame_no:i half:i axis:s r:d", f"{HALVES}, {grads('halves')}, {ratios('prof', 'lens', '4')} SELECT * FROM by_axis")
 def p6_boundary_ratio(spark, sf_dir):
-    arrays = px.as_arrays(px.gradient_profiles(_halves(spark, sf_dir), KEYS), KEYS)
-    return arrays.select(*KEYS, "axis", px.boundary_ratio(F.col("profile"), F.lit(4)).alias("r"))
+    return _profiles(spark, sf_dir).select(*KEYS, "axis", px.boundary_ratio(F.col("profile"), F.lit(4)).alias("r"))
 
 
 _SIZES = f"""{{ctes}}, {grads('halves')}, {ratios('prof', 'lens', 'c.n', extra='CROSS JOIN (VALUES (2), (4), (8), (16)) c(n)', more=', c.n')}"""
