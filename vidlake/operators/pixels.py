@@ -105,7 +105,12 @@ def block_size(pixels: DataFrame, keys: list[str], candidates=CANDIDATES) -> Dat
 
 def block_size_of(profiles: DataFrame, keys: list[str], candidates=CANDIDATES) -> DataFrame:
     """P7 from gradient profiles."""
-    arrays = as_arrays(profiles, keys).withColumn("n", F.explode(F.array(*map(F.lit, candidates))))
+    return block_size_of_arrays(as_arrays(profiles, keys), keys, candidates)
+
+
+def block_size_of_arrays(arrays: DataFrame, keys: list[str], candidates=CANDIDATES) -> DataFrame:
+    """P7 from gradient profiles that are one array an axis."""
+    arrays = arrays.withColumn("n", F.explode(F.array(*map(F.lit, candidates))))
     each = _axes(arrays.withColumn("r", boundary_ratio(F.col("profile"), F.col("n"))), [*keys, "n"], F.col("r"))
     each = each.withColumn("ratio", 0.5 * (F.col("ratio_cols") + F.col("ratio_rows")))
     best = F.max("ratio").over(Window.partitionBy(*keys)) if keys else F.max("ratio").over(Window.partitionBy(F.lit(0)))

@@ -186,7 +186,7 @@ SELECT frame_no, half, min(n) AS block_size, min_by(ratio, n) AS ratio FROM m WH
 
 @query("frame_no:i half:i block_size:i ratio:d", _estimate_sql(HALVES))
 def p7_block_size(spark, sf_dir):
-    return px.block_size(_halves(spark, sf_dir), KEYS, (2, 4, 8, 16))
+    return px.block_size_of_arrays(_profiles(spark, sf_dir), KEYS, (2, 4, 8, 16))
 
 
 @query("n_true:i frame_no:i half:i block_size:i", "\nUNION ALL ".join(f"SELECT {n} AS n_true, frame_no, half, block_size FROM ({_estimate_sql(f'WITH {fx.clip_sql()}, {fx.half_pixelated_sql(n)}')}) e{n}" for n in (2, 4, 8, 16)))
