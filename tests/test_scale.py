@@ -175,3 +175,20 @@ def test_resized_difference_makes_planes_once(spark):
     planes = [("c", 0, bytearray([3, 40, 7]), bytearray([0, 255, 0])), ("c", 1, bytearray(), bytearray()), ("c", 2, bytearray([0, 0]), bytearray([0, 0]))]
     found = im.difference_extent(spark.createDataFrame(planes, "video_id string, frame_no int, diff binary, panel binary")).collect()
     assert sorted((r.frame_no, r.changed, r.largest) for r in found) == [(0, 1, 40.0), (2, 0, 0.0)]
+
+
+def test_residuals_of_packed_planes(spark):
+    """C2 sorted all pixels by block; planes of two sizes in a batch, with cells and blocks cut at the edges."""
+    assert "Window" not in plan(QUERIES["c2_pixelation_residual"](spark, SF))
+    rng = np.random.default_rng(8)
+    planes = {f: rng.integers(0, 256, s) for f, s in enumerate([(24, 37), (24, 37), (17, 16), (7, 40)])}
+    packed = spark.createDataFrame([(f, *p.shape, p.astype(np.uint8).tobytes()) for f, p in planes.items()] + [(9, 8, 8, None)], "frame_no int, height int, width int, y binary").coalesce(1)
+    rows = spark.createDataFrame([(f, y, x, float(v)) for f, p in planes.items() for (y, x), v in np.ndenumerate(p)], "frame_no int, y int, x int, v double")
+    candidates = ca.cell_candidates(packed, 8)
+    held = lambda df: {(r.frame_no, r.y0, r.x0): (r.half, r.ord, r.residual) for r in df.collect()}
+    for n in (2, 4):
+        found, want = held(ca.residuals_packed(packed, candidates, 8, n)), held(ca.residuals(rows, candidates, 8, n))
+        assert len(found) == 12 + 12 + 4 and found.keys() == want.keys()
+        assert all(found[k] == pytest.approx(want[k]) for k in want)
+    with pytest.raises(ValueError):
+        ca.residuals_packed(packed, candidates, 8, 3)
