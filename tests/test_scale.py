@@ -192,3 +192,22 @@ def test_residuals_of_packed_planes(spark):
         assert all(found[k] == pytest.approx(want[k]) for k in want)
     with pytest.raises(ValueError):
         ca.residuals_packed(packed, candidates, 8, 3)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_only_touched_blocks_are_flattened(spark, n):
+    """C3 sorted all pixels; patches that begin and end inside a block or leave the plane, and a frame without one."""
+    rng = np.random.default_rng(n)
+    planes = {f: rng.integers(0, 256, (19, 22)).astype(float) for f in range(4)}
+    rows = spark.createDataFrame([(f, y, x, float(v)) for f, p in planes.items() for (y, x), v in np.ndenumerate(p)], "frame_no int, y int, x int, v double")
+    spots = {0: (5, 3), 1: (0, 0), 2: (14, 17)}
+    chosen = spark.createDataFrame([(f, *s) for f, s in spots.items()], "frame_no int, y0 int, x0 int")
+    flat = {(r.frame_no, r.y, r.x): r.v for r in px.pixelated(rows, ["frame_no"], n).collect()}
+    want = {}
+    for f, p in planes.items():
+        for (y, x), v in np.ndenumerate(p):
+            inside = f in spots and spots[f][0] <= y < spots[f][0] + 7 and spots[f][1] <= x < spots[f][1] + 7
+            want[f, y, x] = (flat[f, y, x] if inside else v, v)
+    found = ca.pixelate_embed(rows, chosen, 7, n, source="src").collect()
+    assert len(found) == len(want) and {(r.frame_no, r.y, r.x): (r.v, r.src) for r in found} == want
+    assert plan(QUERIES["c3_pixelate_embed"](spark, SF)).count("Window [avg") == 1
