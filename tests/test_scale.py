@@ -1,6 +1,7 @@
 """Steps whose rows grow with the tables: nothing of their size goes through the driver or one task."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -211,3 +212,10 @@ def test_only_touched_blocks_are_flattened(spark, n):
     found = ca.pixelate_embed(rows, chosen, 7, n, source="src").collect()
     assert len(found) == len(want) and {(r.frame_no, r.y, r.x): (r.v, r.src) for r in found} == want
     assert plan(QUERIES["c3_pixelate_embed"](spark, SF)).count("Window [avg") == 1
+
+
+@pytest.mark.parametrize("name", ["c20_replay_difference"])
+def test_marked_pixels_bring_their_source(spark, name):
+    """Both clips were made and shuffled by pixel to be paired."""
+    text = plan(QUERIES[name](spark, SF))
+    assert not re.search(r"Join \[frame_no#\d+, half#\d+, y#", text)
