@@ -214,8 +214,21 @@ def test_only_touched_blocks_are_flattened(spark, n):
     assert plan(QUERIES["c3_pixelate_embed"](spark, SF)).count("Window [avg") == 1
 
 
-@pytest.mark.parametrize("name", ["c20_replay_difference"])
+@pytest.mark.parametrize("name", ["c20_replay_difference", "c6_dc_response", "c8_dc_detect"])
 def test_marked_pixels_bring_their_source(spark, name):
     """Both clips were made and shuffled by pixel to be paired."""
     text = plan(QUERIES[name](spark, SF))
     assert not re.search(r"Join \[frame_no#\d+, half#\d+, y#", text)
+
+
+def test_responses_of_paired_pixels(spark):
+    rng = np.random.default_rng(4)
+    cells = [(f, y, x, float(rng.integers(0, 256))) for f in range(3) for y in range(16) for x in range(32)]
+    original = spark.createDataFrame(cells, "frame_no int, y int, x int, v double")
+    picks = spark.createDataFrame([(f, h, 4, 16 * h + 3) for f in range(3) for h in (0, 1) if (f, h) != (2, 1)], "frame_no int, half int, y0 int, x0 int")
+    chosen = picks.where("half = frame_no % 2")
+    leak = ca.dc_embed(original, chosen, 8)
+    pairs = ca.dc_embed(original, chosen, 8, source="org").withColumnRenamed("v", "imp")
+    held = lambda df: {r.frame_no: (r.left, r.right, r.response) for r in df.collect()}
+    found, want = held(ca.paired_dc_responses(pairs, picks, 8)), held(ca.dc_responses(original, leak, picks, 8))
+    assert found.keys() == want.keys() == {0, 1} and all(found[f] == pytest.approx(want[f]) for f in want)
