@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..sources.frames import stacks
 from .imaging import warp_patches
 from .transforms import basis
 
@@ -58,3 +59,36 @@ def aligned_cells(frames: DataFrame, keys: list[str], side: int, radius: float,
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.select(*keys).schema)
     rows = frames.where("y is not null").select(*keys, "src_height", "src_width", "height", "width", "y", "homography")
     return rows.mapInArrow(run, f"{fields}, y0 int, y1 int, x0 int, x1 int, aligned boolean, score double")
+
+
+def softened_cells(frames: DataFrame, side: int, radius: float, band: float) -> DataFrame:
+    """C15 and C17 from packed planes: (frame_no, by_, bx, score) of every grid cell, no row a pixel or a coefficient.
+
+    ``frames`` has (frame_no, height, width, y, soft_by, soft_bx); the cell (soft_by, soft_bx) is scored without its coefficients beyond
+    the radius. Coefficients are rounded to six places, halves away from zero; what a cell lacks at the edges is 0.
+    """
+    turn = basis(side)
+    u, w = np.mgrid[0:side, 0:side]
+    far = np.sqrt(u * u + w * w)
+    kept, inner, outer = far <= radius, (far >= radius - band) & (far < radius), (far >= radius) & (far < radius + band)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = 0
+            for planes in stacks(batch):
+                count, (height, width) = len(planes), planes.shape[1:]
+                whole = np.pad(planes, ((0, 0), (0, -height % side), (0, -width % side))).astype(np.float64)
+                h, w = whole.shape[1] // side, whole.shape[2] // side
+                spectra = turn @ whole.reshape(count, h, side, w, side).swapaxes(2, 3) @ turn.T
+                at, row, col = (k.ravel() for k in np.mgrid[first : first + count, 0:h, 0:w])
+                soft = [batch.column(c).take(pa.array(at)).to_numpy(zero_copy_only=False) for c in ("soft_by", "soft_bx")]
+                spectra = spectra.reshape(-1, side, side)
+                spectra[(soft[0] == row) & (soft[1] == col)] *= kept
+                energy = (np.sign(spectra) * np.floor(np.abs(spectra) * 1e6 + 0.5) / 1e6) ** 2
+                score = energy[:, inner].mean(1) / (energy[:, outer].mean(1) + 1e-9)
+                first += count
+                yield pa.RecordBatch.from_arrays([batch.column("frame_no").take(pa.array(at)), pa.array(row, pa.int64()), pa.array(col, pa.int64()), pa.array(score)], names=["frame_no", "by_", "bx", "score"])
+
+    kind = frames.schema["frame_no"].dataType.simpleString()
+    rows = frames.where("y is not null").select("frame_no", "height", "width", "y", "soft_by", "soft_bx")
+    return rows.mapInArrow(run, f"frame_no {kind}, by_ long, bx long, score double")
