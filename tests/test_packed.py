@@ -10,6 +10,7 @@ from vidlake.operators import readout as ro
 from vidlake.operators import transforms as tr
 from vidlake.plans import fixtures as fx
 from vidlake.plans.catalog import QUERIES
+from vidlake.sources import providers as pr
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,14 @@ def test_softened_cells_are_those_of_the_long_form(spark):
     found = {tuple(r)[:3]: r.score for r in ro.softened_cells(frames, 16, 6, 4).collect()}
     assert found.keys() == want.keys() and len(found) == 12
     assert all(found[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_high_pass_from_packed_planes(spark):
+    made = plan(QUERIES["e7_pixel_encoder"](spark, SF))
+    assert "Broadcast" not in made and "Generate" not in made
+    planes = [*noise(2, 12, 20), np.full((6, 5), 9)]
+    rows = pr.high_pass_packed(packed(spark, planes)).collect()
+    for n, p in enumerate(planes):
+        own = sorted((r.y, r.x, r.v) for r in rows if r.frame_no == n)
+        assert [r[:2] for r in own] == list(np.ndindex(p.shape))
+        assert np.allclose([r[2] for r in own], pr.high_pass_vector(p), atol=1e-6)

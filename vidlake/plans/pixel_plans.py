@@ -382,4 +382,4 @@ SELECT frame_no, y, x, c / greatest(sqrt(sum(c * c) OVER (PARTITION BY frame_no)
 
 @query("frame_no:i y:i x:i v:d", _HIGH)
 def e7_pixel_encoder(spark, sf_dir):
-    return pr.high_pass(fx.clip(spark, sf_dir, _SIDE), ["frame_no"], _SIDE)
+    return pr.high_pass_packed(fx.stored_clip(spark, sf_dir, _SIDE))
