@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vidlake.operators import imaging as im
+from vidlake.operators import pixels as px
 from vidlake.operators import readout as ro
 from vidlake.operators import transforms as tr
 from vidlake.plans import fixtures as fx
@@ -74,3 +75,17 @@ def test_codec_moves_are_those_of_chained_passes(spark):
             seen = im.apply_codec(seen, quality)
         assert moved == pytest.approx(np.abs(planes[n] - seen[0]).mean())
     assert len(found) == 12
+
+
+def test_ssim_from_packed_planes(spark):
+    made = plan(QUERIES["t9_scene_change"](spark, SF))
+    assert "Broadcast" not in made and "Generate" not in made
+    a, b = noise(2, 9, 11), np.clip(noise(2, 9, 11) + noise(2, 9, 11, seed=6) % 20, 0, 255)
+    small = noise(1, 6, 11)[0]  # no full window: no row
+    left, right = (packed(spark, [*p, small]) for p in (a, b))
+    pairs = left.withColumnRenamed("y", "a").join(right.select("frame_no", F.col("y").alias("b")), "frame_no")
+    cells = [(n, y, x, float(a[n, y, x]), float(b[n, y, x])) for n, y, x in np.ndindex(a.shape)]
+    want = {r.frame_no: r.ssim for r in px.ssim(spark.createDataFrame(cells, "frame_no int, y int, x int, a double, b double"), ["frame_no"]).collect()}
+    found = {r.frame_no: r.ssim for r in px.ssim_packed(pairs).collect()}
+    assert found.keys() == want.keys() == {0, 1}
+    assert all(found[k] == pytest.approx(want[k], rel=1e-9) for k in want)

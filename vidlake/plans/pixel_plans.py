@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ramp
 from ..operators import degrade as dg
 from ..operators import detector as de
+from ..operators import imaging as im
 from ..operators import pixels as px
 from ..operators import views
 from ..sources import frames as src
@@ -305,11 +306,11 @@ SELECT frame_no, avg((2 * ma * mb + 6.5025) * (2 * c + 58.5225) / ((ma * ma + mb
 
 @query("frame_no:i ssim:d changed:b", _SSIM)
 def t9_scene_change(spark, sf_dir):
-    p = fx.clip(spark, sf_dir, 32)
-    b = p.select(F.col("frame_no").alias("_f"), "y", "x", F.col("v").alias("b"))
-    a = p.select("frame_no", "y", "x", F.col("v").alias("a"), (F.col("frame_no") + F.when(F.col("frame_no") == 1, 0).otherwise(1)).alias("_f"))
-    pairs = a.join(b, ["_f", "y", "x"]).withColumn("b", F.when(F.col("frame_no") == 2, 255 - F.col("b")).otherwise(F.col("b")))
-    return px.ssim(pairs, ["frame_no"]).withColumn("changed", F.col("ssim") < 0.6)
+    clip = fx.stored_clip(spark, sf_dir, 32)
+    # frame 3 is compared with frame 2 alone, and as its negative
+    later = im.on_planes(clip, lambda video, frame, planes: 255 - planes if frame == 3 else planes).select(F.col("frame_no").alias("_f"), F.col("y").alias("b"))
+    now = clip.select("frame_no", "height", "width", F.col("y").alias("a"), (F.col("frame_no") + F.when(F.col("frame_no") == 1, 0).otherwise(1)).alias("_f"))
+    return px.ssim_packed(now.join(later.hint("merge"), "_f")).withColumn("changed", F.col("ssim") < 0.6)
 
 
 @query("name:s perspective:d gamma:d exposure:d wb_b:d wb_r:d contrast:d vignette:d moire:d resample:d jpeg_quality:i", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([f"'{n}'"] + [f"{dg.condition(n)[k]}::DOUBLE" for k in ("perspective", "gamma", "exposure", "wb_b", "wb_r", "contrast", "vignette", "moire", "resample")] + [str(dg.condition(n)["jpeg_quality"])]) + ")" for n in dg.CONDITIONS) + ") t(name, perspective, gamma, exposure, wb_b, wb_r, contrast, vignette, moire, resample, jpeg_quality)")
