@@ -7,7 +7,8 @@ few blocks whose centres promise most; the k-th best score so far is then a
 floor for each query. In the second round a pack is sent to a block only with
 those of its queries whose bound reaches their floor, so what is shipped is
 the blocks once and each query as often as it needs to be. No bound, no loss:
-where vectors do not cluster every pair survives and the search is a plain one.
+where vectors do not cluster most pairs survive, and then the rows come from the
+plain search, which ships no query more than once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import scratch
-from .search import best_of, ranked
+from .search import best_of, ranked, topk_inner_product
 
 #: Most pivots, vectors a block or pack is meant to hold, block centres of one map, blocks of the first round.
 PIVOTS, BLOCK, MAP, FIRST = 4096, 512, 2048, 2
@@ -101,21 +102,35 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column("pack")[i].as_py()] * len(best), pa.int64()), pa.array(blocks[best]), pa.array(score[best])], names=["pack", "block", "promise"])
 
 
+def _alive(batch: pa.RecordBatch, i: int, asked: np.ndarray, blocks: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Whether a query's bound in a block reaches its floor; blocks done are left out."""
+    floors = np.array(batch.column("floors")[i].as_py())
+    radii = batch.column("radii")[i].values.to_numpy(zero_copy_only=False)
+    bound = asked @ centres.T + np.linalg.norm(asked, axis=1)[:, None] * radii
+    alive = bound + SLACK * (1 + np.abs(bound)) >= floors[:, None]
+    alive[:, np.isin(blocks, batch.column("done")[i].values.to_numpy(zero_copy_only=False))] = False
+    return alive
+
+
 def _surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pack, block, ids, matrix): the queries of a pack whose bound in a block reaches their floor; blocks done are left out."""
+    """(pack, block, ids, matrix): the queries of a pack that are alive in a block."""
     for batch in batches:
         for i in range(batch.num_rows):
             ids, asked, blocks, centres = _rows_of(batch, i)
-            floors = np.array(batch.column("floors")[i].as_py())
-            radii = batch.column("radii")[i].values.to_numpy(zero_copy_only=False)
-            bound = asked @ centres.T + np.linalg.norm(asked, axis=1)[:, None] * radii
-            alive = bound + SLACK * (1 + np.abs(bound)) >= floors[:, None]
-            alive[:, np.isin(blocks, batch.column("done")[i].values.to_numpy(zero_copy_only=False))] = False
+            alive = _alive(batch, i, asked, blocks, centres)
             for b in np.flatnonzero(alive.any(0)):
                 own = np.flatnonzero(alive[:, b])
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("pack")[i].as_py()], pa.int64()), pa.array([blocks[b]], pa.int64()), pa.array([ids[own].tolist()], pa.list_(pa.int64())), pa.array([asked[own].tobytes()], pa.binary())], names=["pack", "block", "ids", "matrix"])
 
 
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n): the queries that ``_surviving`` would send to blocks, of each pack and map; no vector."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            sent = _alive(batch, i, *_rows_of(batch, i)[1:]).sum()
+            yield pa.RecordBatch.from_arrays([pa.array([sent], pa.int64())], names=["n"])
+
+
 def _scored(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(pack, row, ref_id, score): the k best of one block for each query sent to it."""
@@ -154,9 +169,12 @@ def topk_pruned(queries: DataFrame, refs: DataFrame, k: int, by: list[str] | Non
     floors = members.groupBy("pack").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("floor", F.lit(float("-inf"))).alias("f")))), lambda s: s.f).alias("floors"))
     done = first.groupBy("pack").agg(F.collect_list("block").alias("done"))
     alive = on_maps.join(floors, "pack").join(done, "pack").select("pack", "ids", "matrix", "blocks", "centres", "radii", "floors", "done")
+    n = packs.agg(F.count("*").alias("p")).crossJoin(blocks.agg(F.count("*").alias("b")))  # two single rows
+    sent = alive.mapInArrow(_survivors, "n long").agg(F.sum("n")).first()[0] or 0
+    if 2 * sent > asked.count() * blocks.count():  # bounds that skip little: every block for every query, without shipping them so often
+        return topk_inner_product(asked, held, k, by), n.select((F.col("p") * F.col("b")).alias("pairs"), (F.col("p") * F.col("b")).alias("scored"))
     left = _held(alive.mapInArrow(_surviving, "pack long, block long, ids array<long>, matrix binary"), "left")
     two = left.join(side, "block").select("pack", "ids", "matrix", "ref_ids", "ref_matrix").mapInArrow(_scored(k), found)
     scores = one.unionAll(two).join(asked.select(*by, "q", "row"), "row").select(*by, "q", "ref_id", "score")
-    n = packs.agg(F.count("*").alias("p")).crossJoin(blocks.agg(F.count("*").alias("b")))  # two single rows
     counts = n.select((F.col("p") * F.col("b")).alias("pairs")).crossJoin(first.select("pack").unionAll(left.select("pack")).agg(F.count("*").alias("scored")))
     return ranked(scores, k, by), counts
