@@ -89,3 +89,8 @@ def test_ssim_from_packed_planes(spark):
     found = {r.frame_no: r.ssim for r in px.ssim_packed(pairs).collect()}
     assert found.keys() == want.keys() == {0, 1}
     assert all(found[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_descriptors_are_not_broadcast(spark):
+    """Spark takes them for small, as they come from a small file."""
+    assert "Broadcast" not in plan(QUERIES["v1_own_matches"](spark, SF))
