@@ -23,10 +23,13 @@ def leaked_frames(spark, sf_dir):
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     e = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("leak_id"), order.cast("long").alias("leak_frame"), F.col("event_id").alias("q"))
     jump = F.when(F.col("q") % 29 < 4, 60).otherwise(0)
-    shown = e.withColumn("ref_id", F.pmod(F.col("leak_frame") + F.col("leak_id") % 50 + 100 + jump, n)).withColumn("_next", F.pmod(F.col("ref_id") + 1, n))
-    both = shown.join(refs, "ref_id").join(refs.select(F.col("ref_id").alias("_next"), F.col("vec").alias("_b")), "_next")
-    mixed = both.select("leak_id", "leak_frame", "q", plus("vec", "_b", F.pmod("q", F.lit(5)) * 0.3).alias("v"))
-    return mixed.select("leak_id", "leak_frame", "q", l2_normalised(F.col("v")).alias("vec"))
+    shown = e.withColumn("ref_id", F.pmod(F.col("leak_frame") + F.col("leak_id") % 50 + 100 + jump, n))
+    # a frame and its blend make few vectors, which are made once; events bring only their numbers to them
+    share = F.pmod("q", F.lit(5))
+    both = refs.join(refs.select(F.col("ref_id").alias("_next"), F.col("vec").alias("_b")), F.pmod(F.col("ref_id") + 1, n) == F.col("_next"))
+    blends = both.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("ref_id", F.col("_share").cast("long").alias("_share"), plus("vec", "_b", F.col("_share") * 0.3).alias("v"))
+    views = blends.select("ref_id", "_share", l2_normalised(F.col("v")).alias("vec"))
+    return shown.withColumn("_share", share.cast("long")).join(views, ["ref_id", "_share"]).select("leak_id", "leak_frame", "q", "vec")
 
 
 _LEAKS = f"""{fx.REFERENCE},
